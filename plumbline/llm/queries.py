@@ -8,13 +8,33 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import langid, quality, simhash
 from .bpe import encoding_digests
 from .common import table
 
 
+def op1_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op8_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_bpe_automaton": op4_bpe_automaton}
+def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_crf_language_id": op1_crf_language_id,
+    "op4_bpe_automaton": op4_bpe_automaton,
+    "op8_ftrl_quality": op8_ftrl_quality,
+    "op10_gray_simhash": op10_gray_simhash,
+}
 ORACLES: dict[str, str] = {}
