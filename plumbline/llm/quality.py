@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     shares = {r.y: r["count"] for r in marks.groupBy("y").count().collect()}  # two rows
     rank = W.partitionBy("y").orderBy(F.xxhash64("id"), "id")
     ids = F.broadcast(marks.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= TRAIN_DOCS).select("id", "y"))  # 2 * TRAIN_DOCS rows
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id").where(F.col("text").isNotNull())
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id").withColumn("id", F.col("id").cast("string")).where(F.col("text").isNotNull())
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = Features()
