@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, simhash
+from . import langid, mixing, quality, sharding, simhash, url_filter
 from .bpe import encoding_digests
 from .common import table
 
@@ -27,13 +27,28 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op7_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(table(spark, sf_dir, "documents"))
+
+
 def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_language_id": op1_crf_language_id,
+    "op3_link_graph_filter": op3_link_graph_filter,
     "op4_bpe_automaton": op4_bpe_automaton,
+    "op5_virtual_slots": op5_virtual_slots,
+    "op7_hierarchical_mixing": op7_hierarchical_mixing,
     "op8_ftrl_quality": op8_ftrl_quality,
     "op10_gray_simhash": op10_gray_simhash,
 }
