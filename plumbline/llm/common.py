@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +80,23 @@ def slices(texts: list[str | None], limit: int = 2_000_000) -> Iterator[tuple[in
         size += n
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], least: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups from sorted batches, many groups at once."""
+    held: list[pd.DataFrame] = []
+    rows = 0
+    for b in batches:
+        if not len(b):
+            continue
+        held.append(b)
+        rows += len(b)
+        if rows >= least:
+            all_rows = pd.concat(held, ignore_index=True)
+            last = (all_rows[keys] == all_rows[keys].iloc[-1]).all(axis=1).to_numpy()
+            cut = len(last) - int(last[::-1].argmin()) if not last.all() else 0
+            if cut:
+                yield all_rows.iloc[:cut]
+            held, rows = [all_rows.iloc[cut:]], len(all_rows) - cut
+    if rows:
+        yield pd.concat(held, ignore_index=True)

@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, quality, sharding, simhash, url_filter
+from . import langid, mixing, quality, sharding, simhash, suffix_dedup, url_filter
 from .bpe import encoding_digests
 from .common import table
 
@@ -27,6 +27,10 @@ def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op3_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
@@ -45,6 +49,7 @@ def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_language_id": op1_crf_language_id,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_link_graph_filter": op3_link_graph_filter,
     "op4_bpe_automaton": op4_bpe_automaton,
     "op5_virtual_slots": op5_virtual_slots,

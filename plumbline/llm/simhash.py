@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import prepare, stored, whole_groups
 from .components import components, roots
 
 WORDS, SEED = 4, 42
@@ -144,26 +144,6 @@ class GrayIndex:
             yield q[later], node[later]
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], least: int = 20_000) -> Iterator[pd.DataFrame]:
-    """Frames of whole groups from sorted batches, many groups at once."""
-    held: list[pd.DataFrame] = []
-    rows = 0
-    for b in batches:
-        if not len(b):
-            continue
-        held.append(b)
-        rows += len(b)
-        if rows >= least:
-            all_rows = pd.concat(held, ignore_index=True)
-            last = (all_rows[keys] == all_rows[keys].iloc[-1]).all(axis=1).to_numpy()
-            cut = len(last) - int(last[::-1].argmin()) if not last.all() else 0
-            if cut:
-                yield all_rows.iloc[:cut]
-            held, rows = [all_rows.iloc[cut:]], len(all_rows) - cut
-    if rows:
-        yield pd.concat(held, ignore_index=True)
-
-
 def links(classes: DataFrame) -> DataFrame:
     """classes(fp, rep) with distinct fp -> links (a, b) between reps, a spanning forest of each task's."""
     band = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("bits")) for i, (s, w) in enumerate(BANDS)]))
@@ -178,7 +158,7 @@ def links(classes: DataFrame) -> DataFrame:
     rows = rows.select("fp", "rep", "band", "bits", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _whole_groups(batches, keys):
+        for b in whole_groups(batches, keys):
             group = (b[keys] != b[keys].shift()).any(axis=1).cumsum().to_numpy()
             size = np.bincount(group)[group]
             b, group = b[size > 1], group[size > 1]
