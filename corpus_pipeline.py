@@ -1,6 +1,62 @@
-"""The corpus pipeline: documents through the stages of STAGES, each a step of plumbline.llm."""
+"""The corpus pipeline: documents through the stages of STAGES, each a step of plumbline.llm.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs. All but the last keep the columns of documents.
+Null texts score as empty ones in the first stage and so mostly go there; an empty table
+passes through all stages as an empty table.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.llm import bpe, mixing, quality, simhash, suffix_dedup
+from plumbline.llm.common import stored, table
+
+PLAN = mixing.Plan(share=0.8, epochs=1)
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts as label 1."""
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of every group of near-duplicates."""
+    return simhash.deduplicated(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with strings that an earlier text or place has taken out."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents up to their leaf's quota, one epoch."""
+    return mixing.mixed(docs, PLAN)
+
+
+def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every document."""
+    return bpe.encode_documents(docs, VOCABULARY)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("mix_to_weights", mix_to_weights),
+    ("bpe_encode", bpe_encode),
+]
+
+#: Trained weights, Gray-order search and suffix sorting have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -148,30 +148,40 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train([(np.array(r.rows, dtype=np.int64), np.array(r.vals), r.y) for r in found], (float(shares.get(0, 0)), float(shares.get(1, 0))))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row's whole text; with keep, those columns instead of held_out.
-
-    Null and empty texts get the model's bias. Repeated rows score alike; a null doc_id is
-    not held out; other columns are not read.
-    """
-    spark = docs.sparkSession
+def _judge(spark: SparkSession, model: Model):
+    """A column function: text -> struct(score, predicted)."""
     prepare(spark)
     held = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))  # 2^BITS weights
-    kept = keep or ["doc_id", "held_out"]
-    rows = docs if keep else docs.withColumn("held_out", held_out(F.col("doc_id")))
-    rows = rows.select(*kept, F.col("text").cast("string").alias("__text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("score double, predicted int")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         make = Features()
         weights, bias = held.value
         for b in batches:
-            texts = b["__text"].tolist()
+            texts = b.tolist()
             s = np.full(len(texts), float(bias))
             for lo, hi in slices(texts):
                 doc, feature, value = make(texts[lo:hi])
                 s[lo:hi] += np.bincount(doc, weights[feature] * value, hi - lo)
             p = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
-            yield b.drop(columns="__text").assign(score=p, predicted=(p >= THRESHOLD).astype("int32"))
+            yield pd.DataFrame({"score": p, "predicted": (p >= THRESHOLD).astype("int32")})
+
+    return judge.asNondeterministic()  # computed once for each row
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row's whole text.
+
+    Null and empty texts get the model's bias. Repeated rows score alike; a null doc_id is
+    not held out; other columns are not read.
+    """
+    judge = _judge(docs.sparkSession, model)
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), judge(F.col("text").cast("string")).alias("p"))
+    return rows.select("doc_id", "held_out", "p.score", "p.predicted")
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInPandas(run, f"{schema}, score double, predicted int")
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs predicted as 1, with all their columns."""
+    judge = _judge(docs.sparkSession, model)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), judge(F.col("text").cast("string")).alias("p"))
+    return rows.where("p.predicted = 1").select("row.*")

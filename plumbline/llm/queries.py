@@ -56,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_hierarchical_mixing": op7_hierarchical_mixing,
     "op8_ftrl_quality": op8_ftrl_quality,
     "op10_gray_simhash": op10_gray_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
