@@ -239,10 +239,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     prepare(spark)
     held = spark.sparkContext.broadcast(model)  # 2^BITS + LEXICON * labels rows at most
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = held.value
         for b in batches:
-            texts = b["text"].tolist()
+            texts = b.tolist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             for lo, hi in slices(texts) if m else ():
                 for i, (ws, p) in enumerate(label_words(m, texts[lo:hi]), lo):
@@ -250,7 +251,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                         mean = p.mean(axis=0)
                         best = int(mean.argmax())
                         lang[i], score[i] = m.labels[best], min(1.0, float(mean[best]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": lang, "score": score})
+            yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(predict, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    text = predict.asNondeterministic()(F.col("text").cast("string"))  # computed once for each row
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), text.alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")

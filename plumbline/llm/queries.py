@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, quality, sharding, simhash, suffix_dedup, url_filter
+from . import bm25, covertree, langid, mixing, quality, sharding, simhash, suffix_dedup, url_filter
 from .bpe import encoding_digests
 from .common import table
 
@@ -39,6 +39,15 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op6_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where("doc_id % 20 = 0"))
+
+
 def op7_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.selection(table(spark, sf_dir, "documents"))
 
@@ -53,8 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_link_graph_filter": op3_link_graph_filter,
     "op4_bpe_automaton": op4_bpe_automaton,
     "op5_virtual_slots": op5_virtual_slots,
+    "op6_cover_tree_dedup": op6_cover_tree_dedup,
     "op7_hierarchical_mixing": op7_hierarchical_mixing,
     "op8_ftrl_quality": op8_ftrl_quality,
+    "op9_block_max_wand": op9_block_max_wand,
     "op10_gray_simhash": op10_gray_simhash,
     "pipeline": corpus_pipeline.run,
 }
