@@ -36,7 +36,7 @@ from .gsaca import suffix_arrays
 
 WIDTH, GRAM = 100, 32
 PORTION = 2048  # contexts of an anchor that one portion is meant for
-SYMBOLS = 400_000  # bytes sorted side by side
+SYMBOLS = 2_000_000  # bytes sorted side by side
 LAST = (1 << 63) - 1  # stands for a null doc_id, after all others
 
 
@@ -50,7 +50,7 @@ def anchors(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
     m = np.uint64(0x9E3779B97F4A7C15)
     for half in (1, 2, 4, 8, 16):  # GRAM is 32
         h = h[:-half] * m + h[half:]
-        m *= m
+        m = np.uint64(int(m) ** 2 & 0xFFFFFFFFFFFFFFFF)
         h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
@@ -76,12 +76,65 @@ def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
 
 
+def _string_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the WIDTH bytes from each place on (WIDTH is 64 + 32 + 4)."""
+    h, m, of = data.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15, {}
+    for half in (1, 2, 4, 8, 16, 32):
+        h = h[:-half] * np.uint64(m) + h[half:]
+        h ^= h >> np.uint64(31)
+        m = m * m & 0xFFFFFFFFFFFFFFFF
+        of[2 * half] = h
+    n = len(data) - WIDTH + 1
+    return (of[64][:n] * np.uint64(m) + of[32][64 : 64 + n]) * np.uint64(0xD6E8FEB86659FD93) + of[4][96 : 96 + n]
+
+
 def repeats(groups: list[list[bytes]]) -> list[list[np.ndarray]]:
     """Of contexts in order, by group: for each start of a string, the number of its first equal in the group.
 
     The starts of a group's contexts are numbered one after another; those numbers are the
-    result too, so a start whose entry is its own number is no repeat.
+    result too, so a start whose entry is its own number is no repeat. Strings whose hash
+    occurs once in their group have no equal, so contexts are sorted only from the first to
+    the last string that may have one.
     """
+    lens = np.array([len(c) for g in groups for c in g], np.int64)
+    fits = np.maximum(lens - WIDTH + 1, 0)
+    of_group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    first_number = np.cumsum(fits) - fits
+    per_group = np.array([0, *np.cumsum(np.bincount(of_group, fits, len(groups)).astype(np.int64))])
+    whole = [[np.arange(n, n + f) for n, f in zip(a, b, strict=True)] for a, b in zip(*(np.split(x, np.cumsum([len(g) for g in groups])[:-1]) for x in (first_number - per_group[of_group], fits)), strict=True)] if groups else []
+    if not fits.sum():
+        return whole
+    ends = np.cumsum(lens)
+    start = np.repeat(ends - lens - first_number, fits) + np.arange(fits.sum())
+    context = np.repeat(np.arange(len(lens)), fits)
+    key = _string_hashes(np.frombuffer(b"".join(c for g in groups for c in g), np.uint8))[start] * np.uint64(0xBF58476D1CE4E5B9) + of_group[context].astype(np.uint64)
+    _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
+    hits = np.flatnonzero(times[inverse] > 1)
+    lo, hi = np.full(len(lens), -1), np.full(len(lens), -2)
+    hi[context[hits]] = hits - first_number[context[hits]]
+    back = hits[::-1]
+    lo[context[back]] = back - first_number[context[back]]
+    parts: list[list[bytes]] = [[] for _ in groups]
+    which: list[list[int]] = [[] for _ in groups]
+    at = 0
+    for g, contexts in enumerate(groups):
+        for k, c in enumerate(contexts):
+            if lo[at] >= 0:
+                parts[g].append(c[lo[at] : hi[at] + WIDTH])
+                which[g].append(k)
+            at += 1
+    begin = np.cumsum([0, *[len(g) for g in groups]])
+    some = [g for g, p in enumerate(parts) if p]
+    for g, found in zip(some, _sorted_repeats([parts[g] for g in some]), strict=True):
+        number = np.concatenate([whole[g][k][lo[begin[g] + k] : hi[begin[g] + k] + 1] for k in which[g]])
+        for k, f in zip(which[g], found, strict=True):
+            whole[g][k] = whole[g][k].copy()
+            whole[g][k][lo[begin[g] + k] : hi[begin[g] + k] + 1] = number[f]
+    return whole
+
+
+def _sorted_repeats(groups: list[list[bytes]]) -> list[list[np.ndarray]]:
+    """repeats() by suffix arrays."""
     out: list[list[np.ndarray]] = [[] for _ in groups]
     sizes = [sum(map(len, g)) + len(g) for g in groups]
     order = sorted(range(len(groups)), key=sizes.__getitem__)[::-1]
@@ -218,7 +271,7 @@ def spans(docs: DataFrame) -> DataFrame:
     met = stored(table.mapInPandas(contexts, "kind int, h long, portion int, d long, t long, begin int, end int, context binary"))
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in whole_groups(batches, ["h", "portion"], 4000):
+        for b in whole_groups(batches, ["h", "portion"], 40_000):
             h, portion, d, t, begin, context = (b[c].to_numpy() for c in ("h", "portion", "d", "t", "begin", "context"))
             out, groups, owners = [], [], []
             cuts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (portion[1:] != portion[:-1]))).tolist() + [len(h)]
