@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import valuation
+from . import comparables, texts, valuation
 
 FLAGSHIP = "robust_valuation_by_area"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (valuation,):
+for module in (valuation, comparables, texts):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

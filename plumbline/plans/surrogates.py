@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The day that the queries take as today; no operator reads the clock.
-AS_OF = "2002-06-01"
+AS_OF = "2001-11-05"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
