@@ -92,7 +92,7 @@ def double_gate_refusal(spark, sf_dir):
     return best.withColumn("refused", (F.col("cos") < 0.40) & (F.col("lexical") < 0.34))
 
 
-TOKENS = lambda c: f"list_distinct(list_filter(string_split(lower({KEY(c)}), ' '), w -> length(w) >= 3))"
+TOKENS = lambda c: f"list_distinct(list_filter(string_split(lower({KEY(c)}), ' '), lambda w: length(w) >= 3))"
 
 
 @R.query(f"""WITH qt AS (SELECT item_id, unnest(t) AS w, len(t) AS n FROM (SELECT item_id, {TOKENS('text')} AS t FROM benchmark)), dt AS (SELECT doc_id, unnest({TOKENS('text')}) AS w FROM documents),
@@ -116,7 +116,7 @@ def exact_duplicate_canonicals(spark, sf_dir):
     return resolution.canonical(rows, "cluster", ["lang", "source"], "days", "doc_id")
 
 
-GRAMS = "list_distinct(list_transform(range(1, length('  ' || p_name || '  ') - 1), i -> substring('  ' || p_name || '  ', i, 3)))"
+GRAMS = "list_distinct(list_transform(range(1, length('  ' || p_name || '  ') - 1), lambda i: substring('  ' || p_name || '  ', i, 3)))"
 FUZZY_SQL = f"""p AS (SELECT p_partkey AS pos, p_brand, p_type, {GRAMS} AS g, p_size::DOUBLE AS s, p_retailprice AS price FROM part),
 j AS (SELECT a.pos AS a, b.pos AS b, a.p_brand || a.p_type AS block, round(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))), 6) AS sim, abs(a.s - b.s) AS ds, abs(a.price - b.price) / a.price AS dp, abs(a.s - b.s) / a.s AS share FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.pos < b.pos),
 l AS (SELECT a, b, sim, CASE WHEN sim >= 0.999 AND ds <= 2 AND dp <= 0.05::DOUBLE THEN 'layer1' WHEN sim >= 0.85 AND share <= 0.1::DOUBLE AND dp <= 0.05::DOUBLE THEN 'layer2' WHEN sim >= 0.45 AND NOT coalesce(share > 0.25, false) THEN 'grey' END AS layer FROM j)"""
@@ -157,14 +157,14 @@ def sentence_chunks(spark, sf_dir):
 NUMBER = "TRY_CAST(CASE WHEN contains(x, ',') THEN replace(replace(x, '.', ''), ',', '.') WHEN regexp_matches(x, '^[0-9]{1,3}([.][0-9]{3})+$') THEN replace(x, '.', '') ELSE x END AS DOUBLE)"
 
 
-@R.query(f"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'), x -> {NUMBER}), x -> x IS NOT NULL) AS said, [n_chars::DOUBLE, doc_id::DOUBLE] AS allowed FROM documents)
-SELECT doc_id, len(said) AS n_said, len(list_filter(said, n -> NOT ((n = floor(n) AND n <= 100) OR (n = floor(n) AND n BETWEEN 1900 AND 2100)) AND len(list_filter(allowed, p -> abs(n - p) <= greatest(abs(p) * 0.001::DOUBLE, 0.5))) = 0)) AS n_orphans FROM s""")
+@R.query(f"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*'), lambda x: {NUMBER}), lambda x: x IS NOT NULL) AS said, [n_chars::DOUBLE, doc_id::DOUBLE] AS allowed FROM documents)
+SELECT doc_id, len(said) AS n_said, len(list_filter(said, lambda n: NOT ((n = floor(n) AND n <= 100) OR (n = floor(n) AND n BETWEEN 1900 AND 2100)) AND len(list_filter(allowed, lambda p: abs(n - p) <= greatest(abs(p) * 0.001::DOUBLE, 0.5))) = 0)) AS n_orphans FROM s""")
 def number_trace_orphans(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", tx.numbers(F.col("text")).alias("said"), F.array(F.col("n_chars").cast("double"), F.col("doc_id").cast("double")).alias("allowed"))
     return d.select("doc_id", F.size("said").alias("n_said"), F.size(tx.orphans(F.col("said"), F.col("allowed"))).alias("n_orphans"))
 
 
-CITE = "CASE doc_id % 3 WHEN 0 THEN upper(substring(text, 5, 20)) WHEN 1 THEN ' ' ELSE 'not in any text' END"
+CITE = "CASE doc_id % 3 WHEN 0 THEN substring(text, 5, 20) WHEN 1 THEN ' ' ELSE 'not in any text' END"
 FLAT = lambda c: f"regexp_replace(lower(strip_accents({c})), '\\s+', ' ', 'g')"
 
 
@@ -172,7 +172,7 @@ FLAT = lambda c: f"regexp_replace(lower(strip_accents({c})), '\\s+', ' ', 'g')"
 SELECT doc_id, CASE WHEN v IS NULL THEN NULL WHEN trim(cite) = '' THEN 0.4::DOUBLE WHEN contains({FLAT('text')}, {FLAT('cite')}) THEN 1.0 ELSE 0.0 END AS confidence FROM c""")
 def citation_verification(spark, sf_dir):
     i = F.col("doc_id")
-    cite = F.when(i % 3 == 0, F.upper(F.substring("text", 5, 20))).when(i % 3 == 1, " ").otherwise("not in any text")
+    cite = F.when(i % 3 == 0, F.substring("text", 5, 20)).when(i % 3 == 1, " ").otherwise("not in any text")
     return table(spark, sf_dir, "documents").select("doc_id", tx.citation_confidence(F.when(i % 10 != 9, F.col("lang")), cite, F.col("text")).alias("confidence"))
 
 
@@ -194,7 +194,7 @@ def label_cascade_resolution(spark, sf_dir):
 
 
 ADDRESS = "CASE o_orderkey % 4 WHEN 0 THEN 'Av. Gral. Paz 1.' || (400 + o_orderkey % 500) || ' Piso ' || (o_orderkey % 9) WHEN 1 THEN 'Calle Perú al ' || (o_orderkey % 3000) || ' ' || (o_orderkey % 12) || '° ' || 'B' WHEN 2 THEN 'Pje Güemes ' || (o_orderkey % 900) || ' Depto C' ELSE 'Sta Fe sin numero' END"
-ADDRESS_KEY = f"array_to_string(list_transform(list_filter(string_split({KEY("regexp_replace(address, '([0-9])[.]([0-9]{{3}})', '\\1\\2', 'g')")}, ' '), w -> w <> 'AL'), w -> CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in tx.ABBREVIATIONS.items()) + " ELSE w END), ' ')"
+ADDRESS_KEY = f"array_to_string(list_transform(list_filter(string_split({KEY("regexp_replace(address, '([0-9])[.]([0-9]{3})', '\\1\\2', 'g')")}, ' '), lambda w: w <> 'AL'), lambda w: CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in tx.ABBREVIATIONS.items()) + " ELSE w END), ' ')"
 
 
 @R.query(f"""WITH a AS (SELECT o_orderkey, {ADDRESS} AS address FROM orders), k AS (SELECT o_orderkey, address, {ADDRESS_KEY} AS key FROM a),
