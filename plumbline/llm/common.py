@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,16 +36,20 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get()
 
 
-def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def stored(df: DataFrame, release: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs no recomputation of what came
-    before. The folder goes when the driver's JVM ends.
+    before. The folder goes when the driver's JVM ends. With release, Spark is made to look
+    for shuffle files that nothing refers to any more, which else stay for long.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    df.write.parquet(path)
     jvm = spark.sparkContext._jvm
+    if release:
+        gc.collect()
+        jvm.System.gc()
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, stored, whole_groups
+from .common import drop, prepare, slices, stored, whole_groups
 from .gsaca import suffix_arrays
 
 WIDTH, GRAM = 100, 32
@@ -204,7 +204,7 @@ def _documents(docs: DataFrame, *extra: str) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """d, t, spans (sorted, overlapping array<struct<begin, end>>) of documents with removed bytes."""
+    """d, t, spans (sorted, overlapping array<struct<begin, end>>) of documents with removed bytes, as a stored table."""
     prepare(docs.sparkSession)
     rows = _documents(docs)
 
@@ -225,7 +225,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
     counted = rows.select("t", "text").mapInArrow(count, "h long, lo long, hi long, twice boolean, n long")
     counted = counted.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("twice").alias("twice"), F.sum("n").alias("n"))
-    repeated = stored(counted.where("lo <> hi or twice").select("h", F.ceil(F.col("n") / PORTION).cast("int").alias("portions")))
+    repeated = stored(counted.where("lo <> hi or twice").select("h", F.ceil(F.col("n") / PORTION).cast("int").alias("portions")), release=True)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -268,7 +268,7 @@ def spans(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame(found, columns=["kind", "h", "portion", "d", "t", "begin", "end", "context"])
 
     table = rows.select("u", "d", "t", "text").join(of_doc, "u").select("d", "t", "text", "which")
-    met = stored(table.mapInPandas(contexts, "kind int, h long, portion int, d long, t long, begin int, end int, context binary"))
+    met = stored(table.mapInPandas(contexts, "kind int, h long, portion int, d long, t long, begin int, end int, context binary"), release=True)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in whole_groups(batches, ["h", "portion"], 40_000):
@@ -296,14 +296,17 @@ def spans(docs: DataFrame) -> DataFrame:
 
     keys = ["h", "portion"]
     todo = met.where("kind = 0").select("h", "portion", "d", "t", "begin", "context").repartition(*keys).sortWithinPartitions(*keys)
-    sorted_ = stored(todo.mapInPandas(sort, "kind int, d long, t long, begin int, end int, string binary"))
+    sorted_ = stored(todo.mapInPandas(sort, "kind int, d long, t long, begin int, end int, string binary"), release=True)
     # Strings of frequent anchors: the earliest of each portion, compared over the portions.
     place = F.struct("d", "t", "begin")
     shared = sorted_.where("kind = 2").select("string", "d", "t", "begin")
     earliest = stored(shared.groupBy("string").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = shared.join(earliest, "string").where(place != F.col("first")).select("d", "t", "begin", (F.col("begin") + WIDTH).alias("end"))
     both = met.where("kind = 1").select("d", "t", "begin", "end").unionByName(sorted_.where("kind = 1").select("d", "t", "begin", "end")).unionByName(later)
-    return both.groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
+    found = stored(both.groupBy("d", "t").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans")), release=True)
+    for t in (repeated, firsts, met, sorted_, earliest):
+        drop(t)
+    return found
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:
@@ -319,7 +322,7 @@ def merged(spans: list | None) -> list[tuple[int, int]]:
 
 def _with_spans(docs: DataFrame, *extra: str) -> DataFrame:
     """extra, text, copy (an exact copy of an earlier document) and spans of every row."""
-    found = stored(spans(docs))
+    found = spans(docs)
     rows = _documents(docs, *extra)
     by_text = stored(_documents(docs).groupBy("t", F.sha2("text", 256).alias("digest")).agg(F.min("d").alias("first"), F.count_distinct("d").alias("n")).where("n > 1").select("t", "digest", "first"))
     copies = stored(_documents(docs).select("d", "t", F.sha2("text", 256).alias("digest")).join(by_text, ["t", "digest"]).where("d <> first").select("d", "t").distinct())
