@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import comparables, texts, valuation
+from . import comparables, contracts, texts, valuation
 
 FLAGSHIP = "robust_valuation_by_area"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (valuation, comparables, texts):
+for module in (valuation, comparables, texts, contracts):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
