@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, covertree, langid, mixing, quality, sharding, simhash, suffix_dedup, url_filter
+from . import bm25, covertree, langid, mixing, oracles, quality, sharding, simhash, suffix_dedup, url_filter
 from .bpe import encoding_digests
 from .common import table
 
@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_gray_simhash": op10_gray_simhash,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_hierarchical_mixing": oracles.OP7}
