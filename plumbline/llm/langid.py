@@ -247,7 +247,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             for lo, hi in slices(texts) if m else ():
                 for i, (ws, p) in enumerate(label_words(m, texts[lo:hi]), lo):
-                    if ws:
+                    if any(any(map(str.isalpha, w)) for w in ws):  # superscripts and fractions are no letters
                         mean = p.mean(axis=0)
                         best = int(mean.argmax())
                         lang[i], score[i] = m.labels[best], min(1.0, float(mean[best]))

@@ -41,7 +41,7 @@ def test_held_out_accuracy_and_code_switching(spark):
 
 
 def test_odd_rows(spark):
-    docs = spark.createDataFrame([(1, None, "en", 1), (2, "123 !?", "en", 1), (None, "the of and", None, 1), (4, "der die das " * 60000, "de", 1), (4, "", "de", 1), (5, "the of and", "en", 1)], "doc_id long, text string, lang string, score int")
+    docs = spark.createDataFrame([(1, None, "en", 1), (2, "123 !? ² ½", "en", 1), (None, "the of and", None, 1), (4, "der die das " * 60000, "de", 1), (4, "", "de", 1), (5, "the of and", "en", 1)], "doc_id long, text string, lang string, score int")
     model = langid.train([("de", ["der", "die", "das"] * 5), ("en", ["the", "of", "and"] * 5)])
     out = [(r.doc_id, r.lang_pred) for r in langid.identify(docs, model).collect()]
     assert sorted(out, key=str) == sorted([(1, "und"), (2, "und"), (None, "en"), (4, "de"), (4, "und"), (5, "en")], key=str)
