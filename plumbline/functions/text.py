@@ -144,3 +144,24 @@ def escaped(text: Column) -> Column:
 def money(value: Column) -> Column:
     """1234567.5 as 1.234.568 (thousands with dots, whole)."""
     return F.translate(F.format_number(value, 0), ",", ".")
+
+
+def fragments(markdown: Column) -> Column:
+    """Parts of a text by its headings, each with its heading; what stands before the first has none."""
+    parts = F.split(F.concat(F.lit("\n"), markdown), r"\n(?=#{1,6} )")
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+
+def header(columns: list[Column]) -> Column:
+    """Known facts joined by a middle dot; unknown ones are left out."""
+    return F.concat_ws(" · ", *columns)
+
+
+def needs_review(confidences: Column) -> Column:
+    """Any false cite (0.0) among the confidences."""
+    return F.exists(confidences, lambda c: c == 0.0)
+
+
+def applied(portal: Column, extracted: Column, confidence: Column, least: float = 0.70) -> Column:
+    """The portal's fact, else the extracted one if it is sure enough."""
+    return F.coalesce(portal, F.when(confidence >= least, extracted))

@@ -193,6 +193,18 @@ def label_cascade_resolution(spark, sf_dir):
     return lookup.cascade(p.select("p_partkey", label.alias("label")), "p_partkey", "label", index)
 
 
+@R.query(f"""WITH idx0 AS (SELECT DISTINCT {KEY('p_type')} AS key, 'type ' || p_type AS id FROM part UNION SELECT DISTINCT {KEY('p_name')}, 'name ' || p_name FROM part WHERE p_name LIKE '%g%' UNION SELECT DISTINCT {KEY("string_split(p_name, ' ')[1]")}, 'word ' || string_split(p_name, ' ')[1] FROM part),
+idx AS (SELECT key, min(id) AS id FROM idx0 GROUP BY key), t AS (SELECT p_partkey, {KEY("'en ' || p_type || ', zona ' || p_name || '.'")} AS text FROM part),
+m AS (SELECT p_partkey, id, row_number() OVER (PARTITION BY p_partkey ORDER BY length(key) DESC, instr(' ' || text || ' ', ' ' || key || ' ')) AS n FROM t JOIN idx ON contains(' ' || text || ' ', ' ' || key || ' '))
+SELECT p_partkey, id FROM m WHERE n = 1""")
+def containment_lookup(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    named = lambda c, kind: p.select(c.alias("name"), F.concat(F.lit(kind + " "), c).alias("id")).distinct()
+    index = lookup.alias_index(named(F.col("p_type"), "type").union(named(F.col("p_name"), "name").where("name like '%g%'")).union(named(F.split("p_name", " ")[0], "word")))
+    text = F.concat(F.lit("en "), F.col("p_type"), F.lit(", zona "), F.col("p_name"), F.lit("."))
+    return lookup.contained(p.select("p_partkey", text.alias("text")), "p_partkey", "text", index)
+
+
 ADDRESS = "CASE o_orderkey % 4 WHEN 0 THEN 'Av. Gral. Paz 1.' || (400 + o_orderkey % 500) || ' Piso ' || (o_orderkey % 9) WHEN 1 THEN 'Calle Perú al ' || (o_orderkey % 3000) || ' ' || (o_orderkey % 12) || '° ' || 'B' WHEN 2 THEN 'Pje Güemes ' || (o_orderkey % 900) || ' Depto C' ELSE 'Sta Fe sin numero' END"
 ADDRESS_KEY = f"array_to_string(list_transform(list_filter(string_split({KEY("regexp_replace(address, '([0-9])[.]([0-9]{3})', '\\1\\2', 'g')")}, ' '), lambda w: w <> 'AL'), lambda w: CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in tx.ABBREVIATIONS.items()) + " ELSE w END), ' ')"
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.config import DEFAULT, Config
+from plumbline.functions.text import fold
 from plumbline.operators.rules import ingest_discard
 
 #: File formats from worst to best, columns that make a file a listing file.
@@ -134,3 +135,28 @@ def historical(spark: SparkSession, path: str) -> DataFrame:
 def write_reports(df: DataFrame, path: str, key: str = "report_id") -> None:
     """Replace the partitions of the reports in df, leave the others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def new_index_rows(index: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
+    """Index rows whose key is absent; unknown parts of a key are equal to each other."""
+    other = have.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return index.join(other, same, "left_anti")
+
+
+def external(spark: SparkSession, url: str, relation: str, **options: str) -> DataFrame:
+    """A view of an external database; partition it with partitionColumn, lowerBound, upperBound, numPartitions."""
+    return spark.read.format("jdbc").options(url=url, dbtable=relation, **options).load()
+
+
+def mapped(value: Column, vocabulary: dict[str, str]) -> Column:
+    """The vocabulary's word for a folded lower-case value, null for any other."""
+    table = F.create_map(*[F.lit(x) for pair in vocabulary.items() for x in pair])
+    return F.element_at(table, F.lower(F.trim(fold(value))))
+
+
+def golden(rows: DataFrame) -> DataFrame:
+    """Reviewed cases (absent means reviewed), stratum `azar` by default."""
+    return rows.where(F.coalesce(F.col("revisado"), F.lit(True))).withColumn("estrato", F.coalesce("estrato", F.lit("azar")))

@@ -69,6 +69,20 @@ def test_text_functions(spark):
     assert one(spark, geo.haversine(L(0.0), L(0.0), L(0.0), L(1.0))) == 111195
 
 
+def test_small_text_contracts(spark):
+    L = F.lit
+    assert one(spark, tx.fragments(L("intro\n# A\ntext\n## B\nmore"))) == ["intro", "# A\ntext", "## B\nmore"]
+    assert one(spark, tx.header([L("2 amb"), L(None).cast("string"), L("50 m2")])) == "2 amb · 50 m2"
+    assert one(spark, tx.needs_review(F.array(L(1.0), L(0.0)))) and not one(spark, tx.needs_review(F.array(L(1.0), L(0.4))))
+    assert one(spark, tx.applied(L(None).cast("int"), L(3), L(0.7))) == 3 and one(spark, tx.applied(L(None).cast("int"), L(3), L(0.6))) is None
+    assert one(spark, feeds.mapped(L(" Depósito"), {"deposito": "DEPOSITO"})) == "DEPOSITO" and one(spark, feeds.mapped(L("x"), {"a": "b"})) is None
+    rows = spark.createDataFrame([(1, None, True), (2, "dificil", None), (3, "x", False)], "id int, estrato string, revisado boolean")
+    assert sorted((r.id, r.estrato) for r in feeds.golden(rows).collect()) == [(1, "azar"), (2, "dificil")]
+    have = spark.createDataFrame([("a", None)], "area string, rooms int")
+    new = spark.createDataFrame([("a", None, 1.0), ("a", 2, 2.0), ("b", None, 3.0)], "area string, rooms int, v double")
+    assert sorted(r.v for r in feeds.new_index_rows(new, have, ["area", "rooms"]).collect()) == [2.0, 3.0]
+
+
 def test_cliques_drop_chains_and_crowds(spark):
     chain = [("c", 1, 2), ("c", 2, 3)]
     crowd = [("d", i, j) for i in range(9) for j in range(i)]
