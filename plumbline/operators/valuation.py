@@ -6,7 +6,8 @@ counter for each distinct price of a group, however many comparables it has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.config import DEFAULT, Config
@@ -74,17 +75,34 @@ def trimmed(rows: DataFrame, keys: list[str], cfg: Config = DEFAULT) -> DataFram
     return out.withColumn("reason", F.when(beyond, "trimmed").otherwise(F.col("reason"))).drop("cut_lo", "cut_hi")
 
 
+def _quantile(value: Column, upto: Column, n: Column, p: float, part: WindowSpec) -> Column:
+    """Interpolated percentile of a histogram: upto counts the entries up to a value, n all of them."""
+    pos = (n - 1) * p
+    at = lambda k: F.min(F.when(upto > k, value)).over(part)
+    lo = at(F.floor(pos))
+    return F.round(lo + (at(F.ceil(pos)) - lo) * (pos - F.floor(pos)), 6)
+
+
 def statistics(rows: DataFrame, keys: list[str], cfg: Config = DEFAULT) -> DataFrame:
-    """Per group, over the rows without a reason: n, median, dispersion (MAD / median), winsorised quartiles."""
-    good = rows.where("reason is null").groupBy(*keys, "adj_m2").agg(F.count("*").alias("w"))  # one row for each distinct price
-    at = F.array(F.lit(0.5), F.lit(cfg.winsor[0]), F.lit(cfg.winsor[1]))
-    q = good.groupBy(*keys).agg(F.sum("w").alias("n"), F.percentile("adj_m2", at, F.col("w")).alias("q"))
-    q = q.select(*keys, "n", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("median", "w_lo", "w_hi"))])
-    both = good.join(q, keys)
-    clipped = F.least(F.greatest("adj_m2", "w_lo"), "w_hi")
-    band = F.array(F.lit(0.5), F.lit(cfg.band[0]), F.lit(cfg.band[1]))
-    out = both.groupBy(*keys, "n", "median").agg(F.percentile(F.abs(F.col("adj_m2") - F.col("median")), F.lit(0.5), F.col("w")).alias("mad"), F.percentile(clipped, band, F.col("w")).alias("p"))
-    return out.select(*keys, "n", "median", F.round(F.col("mad") / F.col("median"), 4).alias("dispersion"), *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(("w_median", "p_lo", "p_hi"))])
+    """Per group, over the rows without a reason and within the trim percentiles: n, median, dispersion
+    (MAD / median), winsorised quartiles.
+
+    One shuffle makes a histogram, a row for each distinct price of a group; everything else
+    is windows over it in the same partitioning.
+    """
+    part = W.partitionBy(*keys)
+    upto = lambda order: F.sum("w").over(part.orderBy(order))
+    q = lambda v, c, p: _quantile(F.col(v), F.col(c), F.col("n"), p, part)
+    h = rows.where("reason is null").groupBy(*keys, "adj_m2").agg(F.count("*").alias("w"))
+    h = h.withColumns({"n": F.sum("w").over(part), "c": upto("adj_m2")})
+    h = h.withColumns({"cut_lo": q("adj_m2", "c", cfg.trim), "cut_hi": q("adj_m2", "c", 1 - cfg.trim)})
+    h = h.where((F.col("n") < cfg.trim_from) | F.col("adj_m2").between(F.col("cut_lo"), F.col("cut_hi"))).select(*keys, "adj_m2", "w")
+    h = h.withColumns({"n": F.sum("w").over(part), "c": upto("adj_m2")})
+    h = h.withColumns({"median": q("adj_m2", "c", 0.5), "w_lo": q("adj_m2", "c", cfg.winsor[0]), "w_hi": q("adj_m2", "c", cfg.winsor[1])})
+    h = h.withColumns({"clip": F.least(F.greatest("adj_m2", "w_lo"), "w_hi"), "dev": F.abs(F.col("adj_m2") - F.col("median"))}).withColumn("dc", upto("dev"))
+    h = h.withColumns({"mad": q("dev", "dc", 0.5), "w_median": q("clip", "c", 0.5), "p_lo": q("clip", "c", cfg.band[0]), "p_hi": q("clip", "c", cfg.band[1])})
+    h = h.withColumn("dispersion", F.round(F.col("mad") / F.col("median"), 4))
+    return h.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("n", "median", "dispersion", "w_median", "p_lo", "p_hi")])
 
 
 def confidence(n: Column, dispersion: Column, days: Column, step: Column, complete: Column, manual_share: Column, cfg: Config = DEFAULT) -> Column:
@@ -106,7 +124,7 @@ def value(comps: DataFrame, keys: list[str], cfg: Config = DEFAULT) -> DataFrame
     comparables, the rest over those used. Too few comparables or no surface of the
     subject: a status and nulls.
     """
-    rows = trimmed(adjusted(comps, cfg), keys, cfg)
+    rows = adjusted(comps, cfg)
     subject = [F.first(c).alias(c) for c in ("subject_surface", "subject_parking", "subject_step", "subject_complete")]
     whole = rows.groupBy(*keys).agg(F.count("*").alias("n_found"), F.median("days").alias("days"), F.avg(F.col("manual").cast("int")).alias("manual_share"), *subject)
     out = whole.join(statistics(rows, keys, cfg), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -75,8 +75,7 @@ ORACLES["trim_and_exclusion_reasons"] = "WITH " + ADJUSTED_SQL + " SELECT listin
 
 
 def winsorised_range_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.trimmed(v.adjusted(comparables(spark, sf_dir)), ["area_id"])
-    return v.statistics(rows, ["area_id"])
+    return v.statistics(v.adjusted(comparables(spark, sf_dir)), ["area_id"])
 
 
 QUERIES["winsorised_range_statistics"] = winsorised_range_statistics
