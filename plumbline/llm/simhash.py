@@ -192,6 +192,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs of whose component they are the smallest doc_id; repeated rows once, null ids never."""
-    ids = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(ids, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of docs of every component of fingerprints: the smallest by doc_id (null last), fingerprint and text hash.
+
+    Components are those of the texts alone, so different texts under one doc_id, or under
+    none, each keep a row. Rows equal in doc_id and text are one.
+    """
+    text = F.col("text").cast("string")
+    hashes = [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = pa.array(fingerprints_of(b.column(3).to_pylist()).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), fps, b.column(1), b.column(2)], names=["doc_id", "fp", "h1", "h2"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", hashes[0].alias("h1"), hashes[1].alias("h2"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, fp long, h1 long, h2 long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "h1", "h2")).alias("first")
+    classes = stored(rows.groupBy("fp").agg(first))
+    found = components(links(classes.select("fp", F.col("fp").alias("rep"))))
+    named = classes.join(found, classes.fp == found.node, "left").select(F.coalesce("component", "fp").alias("component"), "first")
+    keep = stored(named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), "first.h1", "first.h2"))
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), hashes[0].alias("own_h1"), hashes[1].alias("own_h2"))
+    out = d.join(keep, (F.col("own_h1") == F.col("h1")) & (F.col("own_h2") == F.col("h2")) & F.col("own_id").eqNullSafe(F.col("kept_id")))
+    return out.dropDuplicates(["own_h1", "own_h2", "own_id"]).select("row.*")

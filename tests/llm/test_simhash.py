@@ -70,3 +70,12 @@ def test_components_of_a_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).union(spark.createDataFrame([(1000, 900), (900, 950), (5, 5), (None, 3)], "a long, b long"))
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {i: 1 for i in range(1, 201)} | {1000: 900, 900: 900, 950: 900}
+
+
+def test_null_and_shared_ids_lose_only_near_duplicates(spark):
+    text = lambda i: " ".join(f"word{i}x{j}" for j in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (None, text(5)), (8, text(5)), (9, text(5)), (None, None), (None, "")]
+    out = simhash.deduplicated(spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long"))
+    assert out.columns == ["text", "doc_id"]
+    got = sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str)
+    assert got == sorted([(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(5)), (None, "")], key=str)
