@@ -20,7 +20,9 @@ from .common import drop, stored
 
 #: The rules of the registered query (verdict, rule).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+ROUNDS = 10  # between two tests of convergence
+TOLERANCE = 1e-6  # the largest share of a score that may still change in a round
 
 
 def _after_scheme(url: Column) -> Column:
@@ -68,11 +70,13 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("count").alias("links"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """edges(src, dst, links), seeds(host, trust, distrust: each sums to 1 or is all 0) -> host, trust, distrust.
 
     Trust moves from src to dst by src's share of links, distrust from dst to src by dst's.
-    A round is one join on the host and one sum; it is written to the shared folder.
+    A round is one join on the host and one sum; it is written to the shared folder. Every
+    `rounds` rounds the last two are compared, and it ends once no host is new and no score
+    has changed by more than `tolerance` of itself, so that far hosts are as settled as near.
     """
     forward = edges.groupBy("src").agg(F.sum("links").alias("out_links"))
     backward = edges.groupBy("dst").agg(F.sum("links").alias("in_links"))
@@ -82,11 +86,17 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     moves = stored(moves.unionByName(e.select(F.col("dst").alias("from"), F.col("src").alias("to"), none.alias("t"), (F.col("links") / F.col("in_links")).alias("d"))))
     rank = stored(seeds.select("host", "trust", "distrust"))
     base = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
-    for _ in range(rounds):
-        sent = moves.join(rank, moves["from"] == rank["host"]).select(F.col("to").alias("host"), (F.col("t") * F.col("trust") * damping).alias("trust"), (F.col("d") * F.col("distrust") * damping).alias("distrust"))
-        after = stored(sent.unionByName(base).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
-        drop(rank)
-        rank = after
+    moved = lambda c: F.abs(F.col(f"after.{c}") - F.coalesce(f"before.{c}", F.lit(0.0))) > tolerance * F.col(f"after.{c}")
+    unsettled = True
+    while unsettled:
+        for i in range(rounds):
+            sent = moves.join(rank, moves["from"] == rank["host"]).select(F.col("to").alias("host"), (F.col("t") * F.col("trust") * damping).alias("trust"), (F.col("d") * F.col("distrust") * damping).alias("distrust"))
+            after = stored(sent.unionByName(base).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+            if i == rounds - 1:
+                pairs = after.alias("after").join(rank.alias("before"), "host", "left")
+                unsettled = not pairs.where(F.col("before.trust").isNull() | moved("trust") | moved("distrust")).isEmpty()
+            drop(rank)
+            rank = after
     return rank
 
 
@@ -107,6 +117,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     total = F.broadcast(counts.agg(F.greatest(F.sum("a"), F.lit(1)).alias("all_a"), F.greatest(F.sum("b"), F.lit(1)).alias("all_b")))  # one row
     seeds = stored(counts.crossJoin(total).select("host", (F.col("a") / F.col("all_a")).alias("trust"), (F.col("b") / F.col("all_b")).alias("distrust")))
     scores = spread(stored(host_edges(named.select("host", "html"))), seeds)
-    blocked = scores.where(F.col("distrust") > THRESHOLD * (F.col("trust") + F.col("distrust"))).select("host", F.lit("block").alias("by_host"))
+    # What is left of the walk, TOLERANCE / (1 - DAMPING) of a score, must not part equals.
+    over = THRESHOLD * (1 + 2 * TOLERANCE / (1 - DAMPING))
+    blocked = scores.where(F.col("distrust") > over * (F.col("trust") + F.col("distrust"))).select("host", F.lit("block").alias("by_host"))
     out = rows.join(stored(blocked), "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_host", F.lit("allow")).alias("verdict"))

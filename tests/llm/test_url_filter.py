@@ -62,3 +62,19 @@ def test_links_and_odd_rows(spark):
     verdict = {r[0]: r[4] for r in got}
     assert verdict[2] == "block" and verdict[4] == "allow" and verdict[6] == "allow"
     assert u.judged(pages.limit(0)).count() == 0
+
+
+def test_far_hosts_are_judged_by_the_converged_walk(spark):
+    n = 25
+    at = lambda i: f"http://h{i:02}.net/"
+    rows = [(0, "http://bad.com/de/1", None), (1, at(1), "<a href='http://bad.com/de/1'>")]
+    rows += [(i, at(i), f"<a href='{at(i - 1)}'>") for i in range(2, n)]
+    rows += [(100, "http://good.org/", f"<a href='{at(n - 1)}'>"), (101, "http://alone.net/", None)]
+    got = {r.page_id: r.verdict for r in u.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    trust, distrust = {"good.org": 1.0}, {"bad.com": 1.0}  # a chain: the walk moves on whole
+    chain = ["good.org", *[f"h{i:02}.net" for i in range(n - 1, 0, -1)], "bad.com"]
+    for _ in range(400):
+        trust = {h: u.DAMPING * trust.get(p, 0.0) + (1 - u.DAMPING) * (h == "good.org") for p, h in zip([None, *chain], chain, strict=False)}
+        distrust = {h: u.DAMPING * distrust.get(p, 0.0) + (1 - u.DAMPING) * (h == "bad.com") for h, p in zip(chain, [*chain[1:], None], strict=True)}
+    want = {i: "block" if distrust[f"h{i:02}.net"] > u.THRESHOLD * (trust[f"h{i:02}.net"] + distrust[f"h{i:02}.net"]) else "allow" for i in range(1, n)}
+    assert {i: got[i] for i in want} == want and got[12] == "block" and got[14] == "allow" and got[101] == "allow"
