@@ -4,12 +4,12 @@ index() turns runs of up to SHARD_DOCS rows into shards: a row for each term of
 its postings, written to the shared folder. Document counts, frequencies and the mean
 length are taken over all shards, so a score does not depend on how rows fell into shards.
 
-A query is a text; its terms are the QUERY_TERMS that tell most about it (inverse
-frequency times saturated count over the whole text, terms that another row has first,
-then the term that sorts first). A shard sees the queries that share a term with it. It
-scores a document only if the maxima of the blocks it lies in can reach the k-th best
-score so far; everything else is skipped. The shards' best are merged by score, then
-smaller doc_id.
+A query is a text; all of its terms count, each once. A task has some shards and one block
+of queries. Queries of up to WAND_TERMS terms of a shard go through block-max WAND: a
+document is scored only if the maxima of the blocks it lies in can reach the k-th best score
+so far. With more terms the bounds add up to more than any score and skip next to nothing,
+so all postings are added up at once. Both are exact. The shards' best are merged by score,
+then smaller doc_id.
 """
 
 from __future__ import annotations
@@ -30,10 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import prepare, stored
 
-K, QUERY_TERMS = 10, 8
+K = 10
+QUERY_TERMS = None  # no bound: all terms of a query count
+WAND_TERMS = 8  # how a query is searched, not what is found
 K1, B = 1.2, 0.75
 BLOCK = 64  # postings
 SHARD_DOCS, SHARD_CHARS = 4096, 16_000_000
+TASK_SHARDS, TASK_QUERIES = 4, 2048  # of a task, on average
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -109,9 +112,7 @@ def query_terms(queries: DataFrame, frequencies: DataFrame, rows: float) -> Data
     asked = queries.where("doc_id is not null").select(F.xxhash64("doc_id", text).alias("query"), F.col("doc_id").cast("long").alias("query_id"), text.alias("text"))
     terms = asked.mapInPandas(split, kind).join(frequencies, "term")
     idf = F.log(1 + (F.lit(float(rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = terms.withColumn("idf", idf).withColumn("tells", F.round(F.col("idf") * F.col("tf") / (F.col("tf") + K1), 9)).dropDuplicates(["query", "query_id", "term"])
-    place = F.row_number().over(W.partitionBy("query", "query_id").orderBy(F.col("df") < 2, F.desc("tells"), "term"))
-    return terms.withColumn("place", place).where(F.col("place") <= QUERY_TERMS).select("query", "query_id", "term", "idf")
+    return terms.withColumn("idf", idf).dropDuplicates(["query", "query_id", "term"]).select("query", "query_id", "term", "idf")
 
 
 class Postings:
@@ -206,6 +207,41 @@ def wand(lists: list[tuple[Postings, float]], k: int) -> list[tuple[float, int]]
                     seek(i, ahead)
 
 
+class Shard:
+    """The postings of a shard in flat arrays, by term."""
+
+    def __init__(self, terms: list[int], posts: list[bytes], norm: np.ndarray) -> None:
+        order = np.argsort(np.array(terms, np.int64))
+        self.terms = np.array(terms, np.int64)[order]
+        pairs = np.frombuffer(b"".join(posts[i] for i in order), "<i4").reshape(-1, 2)
+        self.ends = np.cumsum([len(posts[i]) // 8 for i in order])
+        self.docs, self.tf, self.norm = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(float), norm
+        self.scores = self.tf * (K1 + 1) / (self.tf + norm[self.docs])
+        self.made: dict[int, Postings] = {}
+
+    def postings(self, at: int) -> Postings:
+        if at not in self.made:
+            part = slice(self.ends[at - 1] if at else 0, self.ends[at])
+            self.made[at] = Postings(self.docs[part], self.tf[part], self.norm)
+        return self.made[at]
+
+    def best(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k best (score, document) for a query; of equal scores the smaller documents."""
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        has = self.terms[at] == terms
+        at, idf = at[has], idf[has]
+        if len(at) <= WAND_TERMS:
+            return wand([(self.postings(i), w) for i, w in zip(at.tolist(), idf.tolist(), strict=True)], k)
+        ends = self.ends[at]
+        n = ends - np.where(at > 0, self.ends[at - 1], 0)
+        place = np.arange(n.sum()) + np.repeat(ends - np.cumsum(n), n)
+        score = np.bincount(self.docs[place], self.scores[place] * np.repeat(idf, n), len(self.norm))
+        low = np.partition(score, -k)[-k] if len(score) > k else 0.0
+        found = np.flatnonzero((score >= low) & (score > 0))
+        found = found[np.lexsort((found, -score[found]))][:k]
+        return list(zip(score[found].tolist(), found.tolist(), strict=True))
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, doc_id and score: the k best rows of docs for each row of queries(doc_id, text).
 
@@ -223,37 +259,40 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     rows, mean = rows or 0, (words or 0) / max(1, rows or 0) or 1.0
     frequencies = postings.groupBy("term").agg(F.sum("df").alias("df"))
     terms = stored(query_terms(queries, frequencies, rows))
-    asked = stored(postings.join(terms.select("term").distinct(), "term", "left_semi"))
-    by_query = asked.select("shard", "term").join(terms, "term")
-    none = {"post": "binary", "query": "long", "query_id": "long", "idf": "double", "ids": "binary", "lens": "binary"}
-    fill = lambda df: df.select("shard", *[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in {"term": "long", **none}.items()])
-    hit = asked.select("shard").distinct()
-    parts = fill(asked.drop("df")).unionByName(fill(by_query)).unionByName(fill(members.join(hit, "shard", "left_semi").drop("rows")))
+    asked = stored(postings.join(terms.select("term").distinct(), "term", "left_semi").drop("df"))
+    whole = stored(terms.groupBy("query", "query_id").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("t")).select("query", "query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs")))
+    blocks, parts = max(1, -(-whole.count() // TASK_QUERIES)), max(1, -(-members.count() // TASK_SHARDS))
+    part = F.pmod(F.xxhash64("shard"), F.lit(parts)).cast("int").alias("part")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kinds = {"shard": "long", "term": "long", "post": "binary", "ids": "binary", "lens": "binary", "query": "long", "query_id": "long", "terms": "array<long>", "idfs": "array<double>"}
+    # Longs are 0 and not null where a row has none: pandas would make them doubles.
+    fill = lambda df: df.select("part", "block", *[F.col(c) if c in df.columns else F.lit(0 if t == "long" else None).cast(t).alias(c) for c, t in kinds.items()])
+    rows_of = [df.select("*", part).select("*", each(blocks).alias("block")) for df in (asked, members.drop("rows"))]
+    rows_of.append(whole.select("*", F.pmod(F.xxhash64("query", "query_id"), F.lit(blocks)).cast("int").alias("block")).select("*", each(parts).alias("part")))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        member = g[g["lens"].notna()].iloc[0]
-        lens = np.frombuffer(member["lens"], "<i8")
-        ids = np.frombuffer(member["ids"][: 8 * len(lens)], "<i8")
-        valid = np.frombuffer(member["ids"][8 * len(lens) :], bool)
-        norm = K1 * (1 - B + B * lens / mean)
-        lists = {}
-        p = g[g["post"].notna()]
-        for term, post in zip(p["term"].astype("int64"), p["post"], strict=True):
-            pair = np.frombuffer(post, "<i4").reshape(-1, 2)
-            lists[term] = Postings(pair[:, 0].astype(np.int64), pair[:, 1].astype(float), norm)
+        own = g[g["terms"].notna()]
+        asks = list(zip(own["query"].astype("int64"), own["query_id"].astype("int64"), own["terms"], own["idfs"], strict=True))
+        best: list[list] = [[] for _ in asks]
+        posts = dict(iter(g[g["post"].notna()].groupby("shard")))
+        member = g[g["lens"].notna()]
+        for number, ids_, lens_ in zip(member["shard"], member["ids"], member["lens"], strict=True):
+            if number not in posts:
+                continue
+            lens = np.frombuffer(lens_, "<i8")
+            ids = np.frombuffer(ids_[: 8 * len(lens)], "<i8")
+            valid = np.frombuffer(ids_[8 * len(lens) :], bool)
+            p = posts[number]
+            shard = Shard(p["term"].astype("int64").tolist(), p["post"].tolist(), K1 * (1 - B + B * lens / mean))
+            for i, (_, _, t, w) in enumerate(asks):
+                best[i] += [(s, int(ids[d]) if valid[d] else None) for s, d in shard.best(np.asarray(t, np.int64), np.asarray(w, float), k)]
         out = []
-        q = g[g["idf"].notna()].sort_values(["query", "query_id", "term"])
-        for (_, query_id), own in q.groupby(["query", "query_id"], sort=False):
-            found = wand([(lists[t], w) for t, w in zip(own["term"], own["idf"], strict=True)], k)
-            query = own["query"].iloc[0]
-            out += [(int(query), int(query_id), int(ids[d]) if valid[d] else None, s) for s, d in found]
-        frame = pd.DataFrame(out, columns=["query", "query_id", "doc_id", "score"])
-        return frame.astype({"doc_id": "Int64"})
-
-    parts = parts.withColumn("term", F.coalesce("term", F.lit(0)))
-    for c in ("query", "query_id"):
-        parts = parts.withColumn(c, F.coalesce(c, F.lit(0)))
-    found = parts.groupBy("shard").applyInPandas(run, "query long, query_id long, doc_id long, score double")
+        for (query, query_id, _, _), found in zip(asks, best, strict=True):
+            out += [(query, query_id, i, s) for s, i in sorted(found, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]]
+        return pd.DataFrame(out, columns=["query", "query_id", "doc_id", "score"]).astype({"doc_id": "Int64"})
+
+    together = fill(rows_of[0]).unionByName(fill(rows_of[1])).unionByName(fill(rows_of[2]))
+    found = together.groupBy("part", "block").applyInPandas(run, "query long, query_id long, doc_id long, score double")
     rank = F.row_number().over(W.partitionBy("query", "query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 

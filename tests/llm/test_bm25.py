@@ -68,3 +68,30 @@ def test_odd_rows(spark):
     got = m.search(docs, docs.where("doc_id % 20 = 0")).collect()
     same([(r.query_id, r.doc_id, r.score) for r in got], brute(rows, [r for r in rows if r[0] and r[0] % 20 == 0]))
     assert m.search(docs.limit(0), docs).count() == 0 and m.search(docs, docs.limit(0)).count() == 0
+
+
+def test_whole_queries_against_brute_force(spark):
+    """No bound on a query's terms anywhere, neither here nor in the operator."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    words = [Counter(m.WORD.findall((t or "").lower())) for _, t in rows]
+    lens = [sum(w.values()) for w in words]
+    df = Counter(t for w in words for t in w)
+    want = []
+    for q, text in rows[::20]:
+        own = set(m.WORD.findall((text or "").lower()))
+        scores = [(sum(m.bm25_score(w[t], df[t], n, len(rows), sum(lens) / len(lens)) for t in own if w[t]), i) for (i, _), w, n in zip(rows, words, lens, strict=True) if own & w.keys()]
+        want += [(q, i, s) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:10]]
+    got = m.search(docs, docs.where(docs.doc_id.isin([i for i, _ in rows[::20]]))).collect()
+    same([(r.query_id, r.doc_id, r.score) for r in got], want)
+
+
+def test_long_queries_find_what_only_late_terms_share(spark, monkeypatch):
+    query = [f"w{i}" for i in range(40)]
+    rows = [(0, " ".join(query)), *[(i + 1, w) for i, w in enumerate(query)], (99, " ".join(query[:20])), (None, "w3 w4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in m.search(docs, docs.where("doc_id = 0"), k=100).collect()} == {i for i, _ in rows}
+    got = sorted((r.rank, r.doc_id or -1, r.score) for r in m.search(docs, docs.where("doc_id = 0"), k=7).collect())
+    for name, value in (("WAND_TERMS", 100), ("TASK_QUERIES", 1), ("TASK_SHARDS", 1), ("SHARD_DOCS", 3)):
+        monkeypatch.setattr(m, name, value)
+        assert sorted((r.rank, r.doc_id or -1, r.score) for r in m.search(docs, docs.where("doc_id = 0"), k=7).collect()) == got
