@@ -54,6 +54,12 @@ def floor_and_unit(text: Column) -> tuple[Column, Column]:
     return floor.cast("int"), unit
 
 
+def whole_unit(text: Column) -> tuple[Column, Column]:
+    """Floor and unit together (null where neither is said), and whether it names a flat and not only a floor."""
+    floor, unit = floor_and_unit(text)
+    return F.nullif(F.concat(F.coalesce(floor.cast("string"), F.lit("")), F.coalesce(unit, F.lit(""))), F.lit("")), unit.isNotNull()
+
+
 def same_unit(a: Column, b: Column) -> Column:
     """True, false, or null when either is unknown."""
     return a == b

@@ -6,25 +6,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import jaccard
+from plumbline.functions.text import jaccard, same_unit
 
 SAME, CLOSE, GREY = 0.999, 0.85, 0.45
 LARGEST = 8  # members of a group that is believed
 
 
-def blocked_pairs(rows: DataFrame, block: list[str], pos: str, grams: str, surface: str, price: str) -> DataFrame:
+def blocked_pairs(rows: DataFrame, block: list[str], pos: str, grams: str, surface: str, price: str, unit: str | None = None, specific: str | None = None, rooms: str | None = None) -> DataFrame:
     """Pairs (a before b) of a block with their similarity and layer: layer1, layer2 or grey.
 
     Keys and trigram sets are columns made once for each row; the join is on the block, and
-    the tolerances are relative to a.
+    the tolerances are relative to a. Different units are no pair in any layer; the same
+    unit under the same key is layer1 outright if it is specific (a flat, not only a floor)
+    in both. Known rooms must be equal in layer1; 0 is unknown. Without the columns nothing is.
     """
-    a = rows.select(*block, *[F.col(c).alias(f"a_{c}") for c in (pos, grams, surface, price)])
-    b = rows.select(*block, *[F.col(c).alias(f"b_{c}") for c in (pos, grams, surface, price)])
+    rows = rows.select(*block, *[F.col(c).alias(c) for c in (pos, grams, surface, price)], (F.col(unit) if unit else F.lit(None).cast("string")).alias("_unit"), (F.col(specific) if specific else F.lit(False)).alias("_specific"), (F.col(rooms) if rooms else F.lit(0)).alias("_rooms"))
+    names = (pos, grams, surface, price, "_unit", "_specific", "_rooms")
+    a = rows.select(*block, *[F.col(c).alias(f"a_{c}") for c in names])
+    b = rows.select(*block, *[F.col(c).alias(f"b_{c}") for c in names])
     pairs = a.join(b, block).where(F.col(f"a_{pos}") < F.col(f"b_{pos}")).withColumn("sim", F.round(jaccard(F.col(f"a_{grams}"), F.col(f"b_{grams}")), 6))
     ds = F.abs(F.col(f"a_{surface}") - F.col(f"b_{surface}"))
     dp = F.abs(F.col(f"a_{price}") - F.col(f"b_{price}")) / F.col(f"a_{price}")
     share = ds / F.col(f"a_{surface}")
-    layer = F.when((F.col("sim") >= SAME) & (ds <= 2) & (dp <= 0.05), "layer1").when((F.col("sim") >= CLOSE) & (share <= 0.10) & (dp <= 0.05), "layer2").when((F.col("sim") >= GREY) & ~F.coalesce(share > 0.25, F.lit(False)), "grey")
+    same = same_unit(F.col("a__unit"), F.col("b__unit"))
+    outright = same & F.col("a__specific") & F.col("b__specific")
+    rooms_fit = F.coalesce((F.col("a__rooms") == 0) | (F.col("b__rooms") == 0) | (F.col("a__rooms") == F.col("b__rooms")), F.lit(True))
+    layer = F.when(~same, None).when((F.col("sim") >= SAME) & outright, "layer1").when((F.col("sim") >= SAME) & (ds <= 2) & rooms_fit & (dp <= 0.05), "layer1").when((F.col("sim") >= CLOSE) & (share <= 0.10) & (dp <= 0.05), "layer2").when((F.col("sim") >= GREY) & ~F.coalesce(share > 0.25, F.lit(False)), "grey")
     return pairs.withColumn("layer", layer).where("layer is not null").select(F.col(f"a_{pos}").alias("a"), F.col(f"b_{pos}").alias("b"), "sim", "layer")
 
 
