@@ -118,17 +118,28 @@ def window_chunks(words: Column, size: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
 
 
-def packed_chunks(parts: Column, target: int) -> Column:
-    """Sentences packed in order into chunks of at most target words; a longer sentence stands alone."""
-    count = lambda s: F.size(F.split(s, r"\s+"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+def packed_chunks(parts: Column, target: int, most: int | None = None) -> Column:
+    """Sentences packed in order into chunks of at most target words.
+
+    With `most`, longer sentences are first cut into pieces of so many words, and a chunk
+    begins with the last piece of the one before unless that takes it over `most` words; no
+    chunk is longer. Without, a longer sentence stands alone and nothing overlaps.
+    """
+    split = lambda s: F.split(s, r"\s+")
+    count = lambda s: F.size(split(s))
+    if most is not None:
+        cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / most).cast("int")), lambda i: F.array_join(F.slice(w, i * most + 1, F.lit(most)), " "))
+        parts = F.flatten(F.transform(parts, lambda s: F.when(count(s) <= most, F.array(s)).otherwise(cut(split(s)))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"), F.lit("").alias("last"))
 
     def add(acc: Column, s: Column) -> Column:
         fits = (acc["n"] == 0) | (acc["n"] + count(s) <= target)
+        again = F.lit(False) if most is None else count(acc["last"]) + count(s) <= most
         return F.struct(
             F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
-            F.when(acc["n"] == 0, s).when(fits, F.concat(acc["open"], F.lit(" "), s)).otherwise(s).alias("open"),
-            F.when(fits, acc["n"] + count(s)).otherwise(count(s)).alias("n"),
+            F.when(acc["n"] == 0, s).when(fits, F.concat(acc["open"], F.lit(" "), s)).when(again, F.concat(acc["last"], F.lit(" "), s)).otherwise(s).alias("open"),
+            F.when(fits, acc["n"] + count(s)).when(again, count(acc["last"]) + count(s)).otherwise(count(s)).alias("n"),
+            s.alias("last"),
         )
 
     return F.aggregate(parts, start, add, lambda acc: F.when(acc["n"] == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))

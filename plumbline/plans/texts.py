@@ -151,7 +151,7 @@ def window_chunks(spark, sf_dir):
 def sentence_chunks(spark, sf_dir):
     """Look-behind splitting has no counterpart in the SQL engine's expressions."""
     d = table(spark, sf_dir, "documents").withColumn("s", tx.sentences(F.col("text")))
-    return d.select("doc_id", F.size("s").alias("sentences"), F.posexplode(tx.packed_chunks(F.col("s"), 120)).alias("ix", "chunk"))
+    return d.select("doc_id", F.size("s").alias("sentences"), F.posexplode(tx.packed_chunks(F.col("s"), 120, 180)).alias("ix", "chunk"))
 
 
 NUMBER = "TRY_CAST(CASE WHEN contains(x, ',') THEN replace(replace(x, '.', ''), ',', '.') WHEN regexp_matches(x, '^[0-9]{1,3}([.][0-9]{3})+$') THEN replace(x, '.', '') ELSE x END AS DOUBLE)"

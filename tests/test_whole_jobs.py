@@ -1,11 +1,37 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
 from plumbline.operators import resolution
 
 
+def packed(parts, target, most):
+    """Sentences to chunks as in the original: cut by words, pack, carry the last piece over."""
+    out, now = [], []
+    size = lambda pieces: sum(len(p.split()) for p in pieces)
+    for s in parts:
+        w = s.split()
+        for piece in [s] if len(w) <= most else [" ".join(w[i : i + most]) for i in range(0, len(w), most)]:
+            if now and size([*now, piece]) > target:
+                out.append(" ".join(now))
+                now = [now[-1], piece] if size([now[-1], piece]) <= most else [piece]
+            else:
+                now.append(piece)
+    return [*out, " ".join(now)] if now else out
+
+
+def test_chunks_have_a_maximum_and_overlap(spark):
+    rng = random.Random(3)
+    rows = [(i, [" ".join(f"w{rng.randrange(99)}" for _ in range(rng.choice([1, 3, 6, 9, 40]))) for _ in range(rng.randrange(12))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, s array<string>").select("id", tx.packed_chunks(F.col("s"), 10, 15).alias("c"))
+    got = {r.id: r.c for r in df.collect()}
+    assert got == {i: packed(s, 10, 15) for i, s in rows}
+    assert max(len(c.split()) for x in got.values() for c in x) <= 15
+
+
 def test_units_and_rooms_decide_before_the_layers(spark):
     rows = [
         (1, "Peru 1300 Piso 5 Depto B", 50.0, 100.0, 2), (2, "Peru 1300 Piso 3 Depto B", 50.0, 100.0, 2),
