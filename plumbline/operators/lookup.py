@@ -45,13 +45,16 @@ def nearest(points: DataFrame, point: str, places: DataFrame, place: str, metres
     return pairs.groupBy(point).agg(F.min(F.struct("metres", place)).alias("x")).select(point, f"x.{place}", "x.metres")
 
 
-def contained(rows: DataFrame, row_id: str, text: str, index: DataFrame, most_words: int = 4) -> DataFrame:
-    """row_id, id: the longest index key (of at most most_words words) that stands in the text as whole words.
+def contained(rows: DataFrame, row_id: str, text: str, index: DataFrame) -> DataFrame:
+    """row_id, id: the longest index key that stands in the text as whole words.
 
-    All runs of words are joined with the keys, so the work follows the texts and not texts
-    times keys. Of equally long keys the first in the text wins.
+    Runs of as many words as some key has are joined with the keys, so the work follows the
+    texts and not texts times keys. Of equally long keys the first in the text wins. The
+    distinct numbers of words of the keys come to the driver.
     """
     words = F.split(key(F.col(text)), " ")
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i, n=n: F.struct(i.alias("at"), F.array_join(F.slice("w", i, F.lit(n)), " ").alias("key"))) for n in range(1, most_words + 1)]
-    t = rows.select(row_id, words.alias("w")).select(row_id, F.explode(F.concat(*runs)).alias("r")).select(row_id, "r.at", "r.key").distinct()
+    counts = sorted(r.n for r in index.select(F.size(F.split("key", " ")).alias("n")).where("key is not null").distinct().collect()) or [1]
+    starts = lambda n: F.filter(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.size("w"))
+    runs = F.flatten(F.transform(F.array(*[F.lit(n) for n in counts]), lambda n: F.transform(starts(n), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i, n), " ").alias("key")))))
+    t = rows.select(row_id, words.alias("w")).select(row_id, F.explode(runs).alias("r")).select(row_id, "r.at", "r.key").distinct()
     return t.join(index, "key").groupBy(row_id).agg(F.max_by("id", F.struct(F.length("key"), -F.col("at"))).alias("id"))

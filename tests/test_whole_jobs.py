@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
-from plumbline.operators import resolution
+from plumbline.operators import lookup, resolution
 
 
 def packed(parts, target, most):
@@ -32,6 +32,13 @@ def test_chunks_have_a_maximum_and_overlap(spark):
     assert max(len(c.split()) for x in got.values() for c in x) <= 15
 
 
+def test_keys_of_any_length_are_found(spark):
+    index = spark.createDataFrame([("A B C D E F", "long"), ("A B", "short"), ("Z", "one")], "key string, id string")
+    rows = spark.createDataFrame([(1, "x a b c d e f y"), (2, "a b c d e"), (3, "q z"), (4, "none"), (5, "a b c d e f")], "n int, t string")
+    assert {r.n: r.id for r in lookup.contained(rows, "n", "t", index).collect()} == {1: "long", 2: "short", 3: "one", 5: "long"}
+    assert lookup.contained(rows, "n", "t", index.limit(0)).count() == 0
+
+
 def test_units_and_rooms_decide_before_the_layers(spark):
     rows = [
         (1, "Peru 1300 Piso 5 Depto B", 50.0, 100.0, 2), (2, "Peru 1300 Piso 3 Depto B", 50.0, 100.0, 2),
