@@ -6,7 +6,7 @@ all are hashed into one table of weights per language. Transitions are learned f
 sequences that switch language half way. Forward-backward over whole texts gives each
 word's distribution; a document's is the mean over its words.
 
-fit() learns from a bounded sample of rows (TRAIN_DOCS per language, WINDOWS windows of
+fit() learns every language from a bounded sample of its rows (TRAIN_DOCS per language, WINDOWS windows of
 HALF words from each, spread over the whole text); prediction covers everything.
 """
 
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from .common import held_out, learnable, prepare, slices
 
 TRAIN_DOCS, WINDOWS, HALF = 120, 8, 32  # the sample: texts per language, windows of each, words of each
-LANGUAGES = 64  # the most frequent values of lang that are learned
 BITS = 16
 LEXICON = 2000  # words per language
 STEPS = 40
@@ -207,10 +206,9 @@ def fit(docs: DataFrame) -> Model | None:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(learnable(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    kept = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     rank = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select("id", "lang").join(F.broadcast(kept.select("lang")), "lang", "left_semi").withColumn("n", F.row_number().over(rank)).where(F.col("n") <= TRAIN_DOCS)
-    ids = F.broadcast(ids.select("id").distinct())  # at most LANGUAGES * TRAIN_DOCS rows
+    ids = rows.select("id", "lang").withColumn("n", F.row_number().over(rank)).where(F.col("n") <= TRAIN_DOCS)
+    ids = ids.select("id").distinct()  # at most TRAIN_DOCS rows a language
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -224,7 +222,7 @@ def fit(docs: DataFrame) -> Model | None:
 
     prepare(spark)
     found = rows.join(ids, "id", "left_semi").select("lang", "text").mapInPandas(windows, "lang string, words array<string>")
-    return train([(r.lang, list(r.words)) for r in found.collect()])  # a bounded sample
+    return train([(r.lang, list(r.words)) for r in found.collect()])  # bounded for each language
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
