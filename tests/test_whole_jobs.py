@@ -5,7 +5,6 @@ import random
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
-from plumbline.llm import langid
 from plumbline.operators import lookup, resolution
 
 
@@ -53,11 +52,3 @@ def test_units_and_rooms_decide_before_the_layers(spark):
     assert got[1, 3] == "layer1"  # one flat, whatever its price
     assert (4, 5) not in got  # a floor alone decides nothing
     assert got[6, 7] == "layer2" and got[6, 8] == got[7, 8] == got[1, 6] == "layer1"
-
-
-def test_every_language_is_learned(spark, monkeypatch):
-    monkeypatch.setattr(langid, "STEPS", 2)
-    names = [f"l{i:02}" for i in range(70)]
-    rows = [(100 * i + j, f"{chr(97 + i % 26)}{chr(97 + i // 26)}word same", n) for i, n in enumerate(names) for j in range(12)]
-    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert model.labels == names
