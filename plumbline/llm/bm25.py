@@ -1,20 +1,24 @@
-"""Exact top-k search: BM25 over sharded inverted indexes, block-max WAND in each shard.
-
-index() turns runs of up to SHARD_DOCS rows into shards: a row for each term of a shard with
-its postings, written to the shared folder. Document counts, frequencies and the mean
-length are taken over all shards, so a score does not depend on how rows fell into shards.
-
-A query is a text; all of its terms count, each once. A task has some shards and one block
-of queries. Queries of up to WAND_TERMS terms of a shard go through block-max WAND: a
-document is scored only if the maxima of the blocks it lies in can reach the k-th best score
-so far. With more terms the bounds add up to more than any score and skip next to nothing,
-so all postings are added up at once. Both are exact. The shards' best are merged by score,
-then smaller doc_id.
+"""Exact top-k search: BM25 over sharded inverted indexes with block-max WAND pruning, merged exactly.
+
+index() turns runs of up to SHARD_DOCS rows into shards, a row of the stored index each.
+Document counts, frequencies and the mean length are taken over all shards, so a score does
+not depend on how rows fell into shards. A query is a text; all of its terms count, each once.
+
+Queries are dealt by hash into blocks of about BLOCK_QUERIES. A task pairs a shard with a
+block as both lie in storage: postings and queries are never shuffled to each other. In a
+shard, documents with like words stand side by side in ranges of RANGE, and each frequent
+term has its largest score in each range. For a query, the lists of its rarer terms are
+added up first. A document is looked at again only if that sum and the range's maxima of the
+frequent terms can reach the k-th best score so far; the rest is exact.
+
+The k-th best score is carried from shard to shard in a task, and from one level of shards
+to the next between jobs: a level has eight times the shards of all before it, so what a
+query brings out of a level does not grow with the number of shards. The levels' best are
+merged by score, then smaller doc_id.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -28,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import drop, prepare, stored
 
 K = 10
-QUERY_TERMS = None  # no bound: all terms of a query count
-WAND_TERMS = 8  # how a query is searched, not what is found
 K1, B = 1.2, 0.75
-BLOCK = 64  # postings
-SHARD_DOCS, SHARD_CHARS = 4096, 16_000_000
-TASK_SHARDS, TASK_QUERIES = 4, 2048  # of a task, on average
+RANGE = 64  # documents
+FREQUENT = 8  # a term in more than one of so many documents of a shard has range maxima
+SHARD_DOCS, SHARD_CHARS = 8192, 16_000_000
+BLOCK_QUERIES, AT_ONCE = 1024, 128  # of a task, on average; of a task's inner step
+FACTOR = 8  # between levels of shards
+SLACK = 1 - 1e-9  # sums differ in their last digits
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -57,8 +62,9 @@ def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return joint % len(texts), hashes[place][joint // len(texts)], count, lens
 
 
-def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """postings(shard, term, df, post) and members(shard, ids, lens); binary columns hold int32 and int64 arrays."""
+def index(docs: DataFrame) -> DataFrame:
+    """A stored row for each shard: shard, rows, words, and packed arrays: terms, ends of their postings, docs and
+    counts of the postings, lens, ids and valid (false: the id is null) of the shard's documents."""
     prepare(docs.sparkSession)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,20 +73,17 @@ def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         texts: list = []
         chars = 0
 
-        def shard() -> Iterator[pa.RecordBatch]:
-            order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
-            text, term, count, lens = _terms([texts[i] for i in order])
+        def shard() -> pa.RecordBatch:
+            text, term, count, lens = _terms(texts)
             head = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
             df = np.diff(np.append(head, len(term)))
-            pairs = np.stack([text, count], axis=1).astype("<i4")
-            offsets = (np.append(head, len(term)) * 8).astype("<i4")
-            post = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(pairs.tobytes())])
-            nulls = pa.nulls(len(head), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), number)), pa.array(term[head]), pa.array(df), post, nulls, nulls], names=names)
-            known = np.array([-1 if ids[i] is None else ids[i] for i in order], "<i8")
-            valid = np.array([ids[i] is not None for i in order])
-            member = [known.tobytes() + valid.tobytes(), lens.astype("<i8").tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int64()), pa.array([len(order)]), pa.nulls(1, pa.binary()), *[pa.array([m], pa.binary()) for m in member]], names=names)
+            place = _neighbours(text, count, df, len(texts))
+            order = np.argsort(place)
+            new = np.lexsort((place[text], np.repeat(np.arange(len(df)), df)))
+            packed = [term[head].astype("<i8"), np.cumsum(df).astype("<i8"), place[text][new].astype("<u2"), count[new].astype("<u4"), lens[order].astype("<i8")]
+            packed += [np.array([ids[i] or 0 for i in order], "<i8"), np.array([ids[i] is not None for i in order], bool)]
+            values = [pa.array([v]) for v in (number, len(ids), int(lens.sum()))]
+            return pa.RecordBatch.from_arrays(values + [pa.array([x.tobytes()], pa.binary()) for x in packed], names=["shard", "rows", "words", *PACKED])
 
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -88,158 +91,144 @@ def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 texts.append(t)
                 chars += len(t or "")
                 if len(ids) >= SHARD_DOCS or chars >= SHARD_CHARS:
-                    yield from shard()
+                    yield shard()
                     ids, texts, chars, number = [], [], 0, number + 1
         if ids:
-            yield from shard()
+            yield shard()
 
-    names = ["shard", "term", "df", "post", "ids", "lens"]
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    built = stored(rows.mapInArrow(build, "shard long, term long, df long, post binary, ids binary, lens binary"))
-    return built.where("term is not null").select("shard", "term", "df", "post"), built.where("term is null").select("shard", F.col("df").alias("rows"), "ids", "lens")
+    return stored(rows.mapInArrow(build, "shard long, rows long, words long, " + ", ".join(f"{c} binary" for c in PACKED)))
 
 
-def query_terms(queries: DataFrame, frequencies: DataFrame, rows: float) -> DataFrame:
-    """query (a hash of id and text), query_id, term and idf of each query's terms; frequencies: term, df over all shards."""
-    kind = "query long, query_id long, term long, tf long"
+PACKED = ["terms", "ends", "docs", "tf", "lens", "ids", "valid"]
+
+
+def _neighbours(text: np.ndarray, count: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+    """Each document's place in its shard: by the two frequent terms that it has most often, so that languages and
+    subjects come together."""
+    often = np.repeat((df > n / (4 * FREQUENT)) & (df < n * 0.75), df)
+    if not often.any():
+        return np.arange(n)
+    t, f, c = text[often], np.repeat(np.arange(len(df)), df)[often], count[often]
+    order = np.lexsort((f, -c, t))
+    t, f = t[order], f[order]
+    first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    best = np.full((2, n), -1)
+    best[0, t[first]] = f[first]
+    second = first[first + 1 < len(t)] + 1
+    second = second[t[second] == t[second - 1]]
+    best[1, t[second]] = f[second]
+    place = np.empty(n, np.int64)
+    place[np.lexsort((best[1], best[0]))] = np.arange(n)
+    return place
+
+
+def query_blocks(queries: DataFrame, shards: DataFrame, rows: float) -> DataFrame:
+    """A row for each block of queries: block and packed arrays of query_ids, sizes, terms and idfs (by term)."""
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            text, term, count, _ = _terms(b["text"].tolist())
-            yield pd.DataFrame({"query": b["query"].to_numpy()[text], "query_id": b["query_id"].to_numpy()[text], "term": term, "tf": count})
+            text, term, _, _ = _terms(b["text"].tolist())
+            yield pd.DataFrame({"query": b["query"].to_numpy()[text], "query_id": b["query_id"].to_numpy()[text], "term": term})
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for terms, ends in zip(b.column(0), b.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms.as_py(), "<i8")), pa.array(np.diff(np.frombuffer(ends.as_py(), "<i8"), prepend=0))], names=["term", "df"])
+
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.drop_duplicates(["query", "query_id", "term"]).sort_values(["query", "query_id", "term"])
+        head = (g[["query", "query_id"]] != g[["query", "query_id"]].shift()).any(axis=1).to_numpy()
+        sizes = np.diff(np.append(np.flatnonzero(head), len(g)))
+        packed = [g["query_id"].to_numpy()[head].astype("<i8"), sizes.astype("<i8"), g["term"].to_numpy().astype("<i8"), g["idf"].to_numpy().astype("<f8")]
+        return pd.DataFrame([[int(g["block"].iloc[0]), *(x.tobytes() for x in packed)]], columns=["block", "query_ids", "sizes", "q_terms", "idfs"])
 
+    frequencies = shards.select("terms", "ends").mapInArrow(counts, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     text = F.col("text").cast("string")
     asked = queries.where("doc_id is not null").select(F.xxhash64("doc_id", text).alias("query"), F.col("doc_id").cast("long").alias("query_id"), text.alias("text"))
-    terms = asked.mapInPandas(split, kind).join(frequencies, "term")
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    terms = asked.mapInPandas(split, "query long, query_id long, term long").join(frequencies, "term")
     idf = F.log(1 + (F.lit(float(rows)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return terms.withColumn("idf", idf).dropDuplicates(["query", "query_id", "term"]).select("query", "query_id", "term", "idf")
-
+    block = F.pmod(F.xxhash64("query", "query_id", F.lit("block")), F.lit(blocks)).cast("int")
+    terms = terms.select(block.alias("block"), "query", "query_id", "term", idf.alias("idf"))
+    return stored(terms.groupBy("block").applyInPandas(pack, "block int, query_ids binary, sizes binary, q_terms binary, idfs binary"))
 
-class Postings:
-    """A term's postings in a shard: documents, scores without idf, and block maxima."""
 
-    __slots__ = ("best", "docs", "ends", "maxima", "scores")
+class Shard:
+    """A shard's postings: rarer terms as lists, frequent ones as rows over all documents with the maxima of their ranges."""
 
-    def __init__(self, docs: np.ndarray, tf: np.ndarray, norm: np.ndarray) -> None:
+    def __init__(self, terms: np.ndarray, ends: np.ndarray, docs: np.ndarray, tf: np.ndarray, lens: np.ndarray, mean: float) -> None:
+        norm = K1 * (1 - B + B * lens / mean)
+        self.n, self.terms = len(lens), terms
+        docs = docs.astype(np.int32)
         scores = tf * (K1 + 1) / (tf + norm[docs])
-        heads = np.arange(0, len(docs), BLOCK)
-        self.docs, self.scores = docs.tolist(), scores.tolist()
-        self.maxima = np.maximum.reduceat(scores, heads).tolist()
-        self.ends = docs[np.minimum(heads + BLOCK, len(docs)) - 1].tolist()
-        self.best = max(self.maxima)
-
-
-def wand(lists: list[tuple[Postings, float]], k: int) -> list[tuple[float, int]]:
-    """The k best (score, document) of the documents in any list; of equal scores the smaller documents."""
-    n = len(lists)
-    at, end = [0] * n, 1 << 60
-    top: list[tuple[float, int]] = []  # (score, -document)
-    bound = [p.best * w for p, w in lists]
-    here = [p.docs[0] for p, _ in lists]
-    order = list(range(n))
-    slack = 1 + 1e-9
-
-    def seek(i: int, doc: int) -> None:
-        docs = lists[i][0].docs
-        lo, step = at[i], 1
-        while lo + step < len(docs) and docs[lo + step] < doc:
-            step *= 2
-        hi = min(lo + step, len(docs))
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if docs[mid] < doc:
-                lo = mid + 1
-            else:
-                hi = mid
-        at[i] = lo
-        here[i] = docs[lo] if lo < len(docs) else end
-
-    while True:
-        order.sort(key=here.__getitem__)
-        floor = top[0][0] if len(top) == k else -1.0
-        total, pivot = 0.0, -1
-        for rank, i in enumerate(order):
-            if here[i] == end:
-                break
-            total += bound[i]
-            if total * slack > floor:
-                pivot = rank
-                break
-        if pivot < 0:
-            return sorted(((s, -d) for s, d in top), key=lambda x: (-x[0], x[1]))
-        doc = here[order[pivot]]
-        while pivot + 1 < n and here[order[pivot + 1]] == doc:
-            pivot += 1
-        # The blocks that the pivot lies in.
-        block, ahead = 0.0, end
-        for i in order[: pivot + 1]:
-            p, w = lists[i]
-            b = at[i] // BLOCK
-            while p.ends[b] < doc:
-                b += 1
-                if b == len(p.ends):
-                    break
-            if b < len(p.ends):
-                block += p.maxima[b] * w
-                ahead = min(ahead, p.ends[b] + 1)
-        if block * slack > floor:
-            if here[order[0]] == doc:
-                score = 0.0
-                for i in range(n):
-                    if here[i] == doc:
-                        score += lists[i][0].scores[at[i]] * lists[i][1]
-                if len(top) < k:
-                    heapq.heappush(top, (score, -doc))
-                elif score > floor:
-                    heapq.heapreplace(top, (score, -doc))
-                for i in order[: pivot + 1]:
-                    seek(i, doc + 1)
-            else:
-                for i in order[:pivot]:
-                    if here[i] < doc:
-                        seek(i, doc)
-        else:
-            if pivot + 1 < n:
-                ahead = min(ahead, here[order[pivot + 1]])
-            ahead = max(ahead, doc + 1)
-            for i in order[: pivot + 1]:
-                if here[i] < ahead:
-                    seek(i, ahead)
-
-
-class Shard:
-    """The postings of a shard in flat arrays, by term."""
-
-    def __init__(self, terms: list[int], posts: list[bytes], norm: np.ndarray) -> None:
-        order = np.argsort(np.array(terms, np.int64))
-        self.terms = np.array(terms, np.int64)[order]
-        pairs = np.frombuffer(b"".join(posts[i] for i in order), "<i4").reshape(-1, 2)
-        self.ends = np.cumsum([len(posts[i]) // 8 for i in order])
-        self.docs, self.tf, self.norm = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(float), norm
-        self.scores = self.tf * (K1 + 1) / (self.tf + norm[self.docs])
-        self.made: dict[int, Postings] = {}
-
-    def postings(self, at: int) -> Postings:
-        if at not in self.made:
-            part = slice(self.ends[at - 1] if at else 0, self.ends[at])
-            self.made[at] = Postings(self.docs[part], self.tf[part], self.norm)
-        return self.made[at]
-
-    def best(self, terms: np.ndarray, idf: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best (score, document) for a query; of equal scores the smaller documents."""
+        self.starts, self.ends, self.docs, self.scores = np.append(0, ends[:-1]).astype(np.int64) if len(ends) else ends, ends, docs, scores
+        often = np.flatnonzero(ends - self.starts > self.n / FREQUENT)
+        self.row = np.full(len(terms), -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.n))
+        for i, t in enumerate(often):
+            part = slice(self.starts[t], self.ends[t])
+            self.rows[i, docs[part]] = scores[part]
+        self.maxima = np.maximum.reduceat(self.rows, np.arange(0, self.n, RANGE), axis=1) if len(often) else np.zeros((0, -(-self.n // RANGE)))
+
+    def search(self, sizes: np.ndarray, terms: np.ndarray, idfs: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, document, score) with every document that is among the shard's k best of a query (or equals the
+        last of them) and whose score reaches the query's floor."""
+        if not len(self.terms):
+            return
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         has = self.terms[at] == terms
-        at, idf = at[has], idf[has]
-        if len(at) <= WAND_TERMS:
-            return wand([(self.postings(i), w) for i, w in zip(at.tolist(), idf.tolist(), strict=True)], k)
-        ends = self.ends[at]
-        n = ends - np.where(at > 0, self.ends[at - 1], 0)
-        place = np.arange(n.sum()) + np.repeat(ends - np.cumsum(n), n)
-        score = np.bincount(self.docs[place], self.scores[place] * np.repeat(idf, n), len(self.norm))
-        low = np.partition(score, -k)[-k] if len(score) > k else 0.0
-        found = np.flatnonzero((score >= low) & (score > 0))
-        found = found[np.lexsort((found, -score[found]))][:k]
-        return list(zip(score[found].tolist(), found.tolist(), strict=True))
+        owner, at, idfs = owner[has], at[has], idfs[has]
+        row = self.row[at]
+        # Queries with the same leading frequent term side by side: their documents lie in the same ranges.
+        lead = np.full(len(sizes), -1)
+        lead[owner[row >= 0]] = row[row >= 0]
+        order = np.argsort(lead, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        by = np.argsort(rank[owner], kind="stable")
+        owner, at, idfs, row = rank[owner][by], at[by], idfs[by], row[by]
+        cuts = np.searchsorted(owner, np.arange(0, len(sizes) + AT_ONCE, AT_ONCE))
+        for step, (p, q) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            lo = step * AT_ONCE
+            m = min(AT_ONCE, len(sizes) - lo)
+            if m <= 0 or p == q:
+                continue
+            own, t, w, r = owner[p:q] - lo, at[p:q], idfs[p:q], row[p:q]
+            low = floor[order[lo : lo + m]]
+            total = self._rare(own[r < 0], t[r < 0], w[r < 0], m)
+            weights = np.zeros((m, len(self.rows)))
+            weights[own[r >= 0], r[r >= 0]] = w[r >= 0]
+            bound = np.repeat(weights @ self.maxima, RANGE, axis=1)[:, : self.n]
+            alive = (total + bound >= low[:, None] * SLACK) & (total + bound > 0)
+            ranges = np.logical_or.reduceat(alive.any(axis=0), np.arange(0, self.n, RANGE))
+            columns = np.flatnonzero(np.repeat(ranges, RANGE)[: self.n])
+            if not len(columns):
+                continue
+            score = total[:, columns] + weights @ self.rows[:, columns]
+            score[~alive[:, columns]] = 0
+            if len(columns) > k:
+                low = np.maximum(low, np.partition(score, -k, axis=1)[:, -k])
+            x, y = np.nonzero((score >= low[:, None] * SLACK) & (score > 0))
+            yield order[lo + x], columns[y], score[x, y]
+
+    def _rare(self, own: np.ndarray, t: np.ndarray, w: np.ndarray, m: int) -> np.ndarray:
+        """Scores of m queries over the lists of their rarer terms."""
+        out = np.zeros(m * self.n)
+        n = (self.ends - self.starts)[t]
+        cuts = np.append(np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), 4_000_000)), len(n))
+        for p, q in zip(cuts, cuts[1:], strict=False):
+            k = n[p:q]
+            place = np.arange(k.sum()) + np.repeat(self.starts[t[p:q]] - (np.cumsum(k) - k), k)
+            out += np.bincount(self.docs[place] + np.repeat(own[p:q] * self.n, k), self.scores[place] * np.repeat(w[p:q], k), len(out))
+        return out.reshape(m, self.n)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("block", "query").orderBy(F.desc(F.round("score", 9)), F.asc_nulls_last("doc_id")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -248,53 +237,56 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     Null and empty texts match nothing and have length 0; queries without a term that occurs
     have no rows; null query ids are skipped, rows with a null id are found and come last of
     equals. Repeated rows of docs are found as often as they occur; queries repeated with
-    their text are one. Scores are rounded to 9 places after ranking.
+    their text are one. Scores are rounded to 9 places, and ranked so.
     """
-    postings, members = index(docs)
-    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"rows": b["rows"], "words": [int(np.frombuffer(x, "<i8").sum()) for x in b["lens"]]})
-
-    rows, words = members.select("rows", "lens").mapInPandas(total, "rows long, words long").agg(F.sum("rows"), F.sum("words")).first()  # one row
+    shards = index(docs)
+    n, rows, words = shards.agg(F.count("*"), F.sum("rows"), F.sum("words")).first()  # one row
     rows, mean = rows or 0, (words or 0) / max(1, rows or 0) or 1.0
-    frequencies = postings.groupBy("term").agg(F.sum("df").alias("df"))
-    terms = stored(query_terms(queries, frequencies, rows))
-    asked = stored(postings.join(terms.select("term").distinct(), "term", "left_semi").drop("df"))
-    whole = stored(terms.groupBy("query", "query_id").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("t")).select("query", "query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idfs")))
-    blocks, parts = max(1, -(-whole.count() // TASK_QUERIES)), max(1, -(-members.count() // TASK_SHARDS))
-    part = F.pmod(F.xxhash64("shard"), F.lit(parts)).cast("int").alias("part")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    kinds = {"shard": "long", "term": "long", "post": "binary", "ids": "binary", "lens": "binary", "query": "long", "query_id": "long", "terms": "array<long>", "idfs": "array<double>"}
-    # Longs are 0 and not null where a row has none: pandas would make them doubles.
-    fill = lambda df: df.select("part", "block", *[F.col(c) if c in df.columns else F.lit(0 if t == "long" else None).cast(t).alias(c) for c, t in kinds.items()])
-    rows_of = [df.select("*", part).select("*", each(blocks).alias("block")) for df in (asked, members.drop("rows"))]
-    rows_of.append(whole.select("*", F.pmod(F.xxhash64("query", "query_id"), F.lit(blocks)).cast("int").alias("block")).select("*", each(parts).alias("part")))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        own = g[g["terms"].notna()]
-        asks = list(zip(own["query"].astype("int64"), own["query_id"].astype("int64"), own["terms"], own["idfs"], strict=True))
-        best: list[list] = [[] for _ in asks]
-        posts = dict(iter(g[g["post"].notna()].groupby("shard")))
-        member = g[g["lens"].notna()]
-        for number, ids_, lens_ in zip(member["shard"], member["ids"], member["lens"], strict=True):
-            if number not in posts:
-                continue
-            lens = np.frombuffer(lens_, "<i8")
-            ids = np.frombuffer(ids_[: 8 * len(lens)], "<i8")
-            valid = np.frombuffer(ids_[8 * len(lens) :], bool)
-            p = posts[number]
-            shard = Shard(p["term"].astype("int64").tolist(), p["post"].tolist(), K1 * (1 - B + B * lens / mean))
-            for i, (_, _, t, w) in enumerate(asks):
-                best[i] += [(s, int(ids[d]) if valid[d] else None) for s, d in shard.best(np.asarray(t, np.int64), np.asarray(w, float), k)]
-        out = []
-        for (query, query_id, _, _), found in zip(asks, best, strict=True):
-            out += [(query, query_id, i, s) for s, i in sorted(found, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]]
-        return pd.DataFrame(out, columns=["query", "query_id", "doc_id", "score"]).astype({"doc_id": "Int64"})
-
-    together = fill(rows_of[0]).unionByName(fill(rows_of[1])).unionByName(fill(rows_of[2]))
-    found = together.groupBy("part", "block").applyInPandas(run, "query long, query_id long, doc_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query", "query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
+    blocks = query_blocks(queries, shards, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard, floors = None, None, {}
+        for b in batches:
+            for x in b.to_pylist():
+                if x["shard"] != number:
+                    number = x["shard"]
+                    terms, ends, of, tf, lens, ids, valid = (np.frombuffer(x[c], t) for c, t in zip(PACKED, ("<i8", "<i8", "<u2", "<u4", "<i8", "<i8", bool), strict=True))
+                    shard = Shard(terms, ends, of, tf.astype(float), lens, mean)
+                query_ids, sizes, q_terms = (np.frombuffer(x[c], "<i8") for c in ("query_ids", "sizes", "q_terms"))
+                if x["block"] not in floors:
+                    floors[x["block"]] = np.zeros(len(sizes))
+                    for f in x["floors"] or []:
+                        floors[x["block"]][f["query"]] = f["low"]
+                floor = floors[x["block"]]
+                for query, doc, score in shard.search(sizes, q_terms, np.frombuffer(x["idfs"], "<f8"), floor, k):
+                    order = np.lexsort((-score, query))
+                    head = np.append(True, query[order][1:] != query[order][:-1])
+                    nth = np.arange(len(order)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+                    last = order[nth == k - 1]
+                    floor[query[last]] = np.maximum(floor[query[last]], score[last])
+                    values = [np.full(len(query), x["block"], np.int32), query.astype(np.int32), query_ids[query]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in values] + [pa.array(ids[doc], mask=~valid[doc]), pa.array(score)], names=["block", "query", "query_id", "doc_id", "score"])
+
+    kind = "block int, query int, query_id long, doc_id long, score double"
+    levels = max(1, math.ceil(math.log(max(1, n), FACTOR)) + 1)
+    draw = F.pmod(F.xxhash64("shard", F.lit("level")), F.lit(1 << 30))
+    best = None
+    for level in range(levels):
+        upto, before = ((1 << 30) / FACTOR ** (levels - 1 - i) if i >= 0 else 0 for i in (level, level - 1))
+        part = shards.where((draw >= before) & (draw < upto)).select("shard", *PACKED)
+        asked = blocks.withColumn("floors", F.lit(None).cast("array<struct<query: int, low: double>>"))
+        if best is not None:
+            floors = best.where(F.col("rank") == k).groupBy("block").agg(F.collect_list(F.struct("query", F.col("score").alias("low"))).alias("floors"))  # of a block's queries
+            asked = blocks.join(floors, "block", "left")
+        # The stated queries, in blocks, against the shards: both sides are read where they lie.
+        found = part.join(asked.hint("shuffle_replicate_nl")).mapInArrow(run, kind)
+        if best is not None:
+            found = found.unionByName(best.drop("rank"))
+        now = stored(_best(found, k))
+        if best is not None:
+            drop(best)
+        best = now
+    return best.select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
 
 
 def bm25_score(tf: float, df: float, length: float, rows: float, mean: float) -> float:

@@ -11,12 +11,10 @@ def brute(rows, queries, k=10):
     words = [Counter(m.WORD.findall((t or "").lower())) for _, t in rows]
     lens = [sum(w.values()) for w in words]
     mean, n, df = sum(lens) / max(1, len(lens)) or 1.0, len(rows), Counter(t for w in words for t in w)
-    idf = {t: np.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
     out = []
     for q, text in set(queries):
         own = Counter(m.WORD.findall((text or "").lower()))
-        h = lambda t: int(np.uint64(m.xxhash.xxh64_intdigest(t)).view(np.int64))
-        terms = sorted((t for t in own if t in df), key=lambda t: (df[t] < 2, -round(idf[t] * own[t] / (own[t] + m.K1), 9), h(t)))[: m.QUERY_TERMS]
+        terms = [t for t in own if t in df]
         scores = [(sum(m.bm25_score(w[t], df[t], length, n, mean) for t in terms if w[t]), i) for (i, _), w, length in zip(rows, words, lens, strict=True) if any(w[t] for t in terms)]
         out += [(q, i, s) for s, i in sorted(scores, key=lambda x: (-round(x[0], 9), x[1] is None, x[1] or 0))[:k]]
     return out
@@ -34,21 +32,35 @@ def same(got, want):
         assert {x for x in a[q] if x[0] > low} == {x for x in b[q] if x[0] > low}
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.dictionaries(st.integers(0, 300), st.integers(1, 4), min_size=1, max_size=200), min_size=1, max_size=5), st.integers(1, 4))
-def test_wand_is_exhaustive_search(lists, k):
-    norm = np.linspace(0.5, 2.0, 301)
-    made = []
-    for n, x in enumerate(lists):
-        docs = np.array(sorted(x))
-        made.append((m.Postings(docs, np.array([float(x[d]) for d in docs]), norm), 1.0 + n / 3))
-    total = Counter()
-    for p, w in made:
-        for d, s in zip(p.docs, p.scores, strict=True):
-            total[d] += s * w
-    want = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:k]
-    got = m.wand(made, k)
-    np.testing.assert_allclose([s for s, _ in got], [s for _, s in want], rtol=1e-9)
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.dictionaries(st.integers(0, 200), st.integers(1, 4), min_size=1, max_size=150), min_size=1, max_size=9), st.lists(st.sets(st.integers(0, 9), min_size=1), min_size=1, max_size=6), st.integers(1, 4), st.sampled_from([2, 8, 64]))
+def test_pruned_search_is_exhaustive_search(lists, queries, k, width):
+    n, lens = 201, np.arange(201) % 7 + 1
+    docs = np.concatenate([sorted(x) for x in lists])
+    tf = np.concatenate([[x[d] for d in sorted(x)] for x in lists])
+    old, m.RANGE = m.RANGE, width
+    try:
+        shard = m.Shard(np.arange(len(lists)) * 3, np.cumsum([len(x) for x in lists]), docs, tf.astype(float), lens, 3.0)
+        norm = m.K1 * (1 - m.B + m.B * lens / 3.0)
+        idf = lambda t: 0.3 + t
+        for floor in (0.0, 2.5):
+            for way in ([[t for t in q] for q in queries],):
+                terms = np.array([3 * t for q in way for t in sorted(q)])
+                got = [set() for _ in queries]
+                for q, d, s in shard.search(np.array([len(q) for q in way]), terms, np.array([idf(t // 3) for t in terms]), np.full(len(queries), floor), k):
+                    for x in zip(q.tolist(), d.tolist(), np.round(s, 9).tolist(), strict=True):
+                        got[x[0]].add(x[1:])
+                for q, mine in zip(queries, got, strict=True):
+                    want = Counter()
+                    for t in q:
+                        for d, f in lists[t].items() if t < len(lists) else ():
+                            want[d] += idf(t) * f * (m.K1 + 1) / (f + norm[d])
+                    every = {(d, round(s, 9)) for d, s in want.items()}
+                    last = sorted((s for _, s in every), reverse=True)[k - 1] if len(every) >= k else 0
+                    need = {x for x in every if x[1] >= max(last, floor) + 1e-8}
+                    assert need <= mine <= {x for x in every if x[1] >= floor - 1e-6}
+    finally:
+        m.RANGE = old
 
 
 def test_documents_against_brute_force(spark, monkeypatch):
@@ -92,6 +104,6 @@ def test_long_queries_find_what_only_late_terms_share(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in m.search(docs, docs.where("doc_id = 0"), k=100).collect()} == {i for i, _ in rows}
     got = sorted((r.rank, r.doc_id or -1, r.score) for r in m.search(docs, docs.where("doc_id = 0"), k=7).collect())
-    for name, value in (("WAND_TERMS", 100), ("TASK_QUERIES", 1), ("TASK_SHARDS", 1), ("SHARD_DOCS", 3)):
+    for name, value in (("RANGE", 2), ("FREQUENT", 2), ("BLOCK_QUERIES", 1), ("SHARD_DOCS", 3), ("AT_ONCE", 1)):
         monkeypatch.setattr(m, name, value)
         assert sorted((r.rank, r.doc_id or -1, r.score) for r in m.search(docs, docs.where("doc_id = 0"), k=7).collect()) == got
