@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to Python, so that a batch of very long texts fits a worker.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch sent to Python, so that a batch of very long texts fits a worker.
+ARROW_ROWS, ARROW_BYTES = 1000, "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,17 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep the Arrow batches small; texts have no length limit."""
+    """Keep the session's Arrow batches small from here on; texts have no length limit. Operators are lazy, so the
+    setting has to outlast the call; it changes no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the setting is absent (tests)."""
+    """The folder of spark.checkpoint.dir, or that set with setCheckpointDir; without either a temporary one, in local
+    mode only: executors elsewhere could not see it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
