@@ -21,12 +21,12 @@ def ingest_discard(cfg: Config = DEFAULT) -> Column:
     """At the entrance, in the order of the contract."""
     unit = F.try_divide(F.col("price"), F.nullif(F.col("surface"), F.lit(0.0)))
     return first_reason([
-        ("no_price", F.col("price").isNull()),
-        ("price_not_usd", F.col("currency") != "USD"),
-        ("no_surface", F.col("surface").isNull()),
-        ("surface_implausible", ~F.col("surface").between(*cfg.surface)),
-        ("no_address", F.col("address").isNull() | (F.trim("address") == "")),
-        ("unit_price_out_of_range", ~unit.between(*cfg.unit_price)),
+        ("sin_precio", F.col("price").isNull()),
+        ("precio_no_usd", F.col("currency") != "USD"),
+        ("sin_superficie", F.col("surface").isNull()),
+        ("superficie_implausible", ~F.col("surface").between(*cfg.surface)),
+        ("sin_direccion", F.col("address").isNull() | (F.trim("address") == "")),
+        ("usd_m2_fuera_de_rango", ~unit.between(*cfg.unit_price)),
     ])
 
 
@@ -34,13 +34,13 @@ def curation(subject_address: Column, cfg: Config = DEFAULT) -> Column:
     """Before anything is paid for: null or zero prices first, unknown days pass."""
     unit = F.try_divide(F.col("price"), F.nullif(F.col("surface"), F.lit(0.0)))
     return first_reason([
-        ("no_price", F.col("price").isNull() | (F.col("price") == 0)),
-        ("price_in_ars", F.col("currency") == "ARS"),
-        ("no_surface", F.col("surface").isNull() | (F.col("surface") < cfg.surface[0])),
-        ("unit_price_out_of_range", ~unit.between(*cfg.unit_price)),
-        ("listing_expired", F.col("days") > cfg.most_days),
-        ("own_listing", F.upper(F.trim("address")) == F.upper(F.trim(subject_address))),
-        ("duplicate_in_cluster", F.col("canonical_id").isNotNull() & (F.col("canonical_id") != F.col("listing_id"))),
+        ("sin_precio", F.col("price").isNull() | (F.col("price") == 0)),
+        ("precio_en_ars", F.col("currency") == "ARS"),
+        ("sin_superficie", F.col("surface").isNull() | (F.col("surface") < cfg.surface[0])),
+        ("usd_m2_fuera_de_rango", ~unit.between(*cfg.unit_price)),
+        ("aviso_vencido", F.col("days") > cfg.most_days),
+        ("auto_referencia", F.upper(F.trim("address")) == F.upper(F.trim(subject_address))),
+        ("duplicado_de_cluster", F.col("canonical_id").isNotNull() & (F.col("canonical_id") != F.col("listing_id"))),
     ])
 
 

@@ -6,11 +6,10 @@ counter for each distinct price of a group, however many comparables it has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.config import DEFAULT, Config
+from plumbline.functions.config import AMENITIES, DEFAULT, Config
 
 
 def ladder(value: Column, bands: tuple, default: float = 1.0) -> Column:
@@ -33,9 +32,9 @@ def floor_coef(floor: Column, elevator: Column, cfg: Config) -> Column:
     return F.when((floor >= cfg.high_floor) & (elevator == F.lit(False)), cfg.no_elevator).when(floor >= cfg.view_floor, cfg.view).otherwise(1.0)
 
 
-def full_amenities(amenities: Column, wanted: list[str]) -> Column:
-    """At least three of the wanted ones, upper or lower case."""
-    return F.size(F.array_intersect(F.transform(amenities, F.lower), F.array(*[F.lit(a) for a in wanted]))) >= 3
+def full_amenities(amenities: Column, wanted: list[str] = AMENITIES) -> Column:
+    """At least three of the wanted ones, upper or lower case; unknown is not full."""
+    return F.coalesce(F.size(F.array_intersect(F.transform(amenities, F.lower), F.array(*[F.lit(a) for a in wanted]))) >= 3, F.lit(False))
 
 
 def relative_coefficient(prefix: str, cfg: Config = DEFAULT) -> Column:
@@ -43,7 +42,7 @@ def relative_coefficient(prefix: str, cfg: Config = DEFAULT) -> Column:
 
     def own(p: str) -> list[Column]:
         c = lambda n: F.col(p + n)
-        return [lookup(c("condition"), cfg.condition), ladder(c("age_years"), cfg.age_years), lookup(c("orientation"), cfg.orientation), floor_coef(c("floor_number"), c("has_elevator"), cfg), F.when(c("n_amenities") >= 3, cfg.full_amenities).otherwise(1.0)]
+        return [lookup(c("condition"), cfg.condition), ladder(c("age_years"), cfg.age_years), lookup(c("orientation"), cfg.orientation), floor_coef(c("floor_number"), c("has_elevator"), cfg), F.when(full_amenities(c("amenities")), cfg.full_amenities).otherwise(1.0)]
 
     total = F.lit(1.0)
     for comp, subject in zip(own(""), own(prefix), strict=True):
@@ -61,59 +60,52 @@ def adjusted(comps: DataFrame, cfg: Config = DEFAULT, prefix: str = "subject_")
     """comps with raw_m2, coef, reason (why it is out, null if it is in) and adj_m2 (whole units)."""
     lo, hi = cfg.unit_price
     out = comps.withColumn("raw_m2", raw_unit_price(cfg)).withColumn("coef", F.round(relative_coefficient(prefix, cfg), 8))
-    reason = F.when(F.col("raw_m2").isNull(), "no_price_or_surface").when(~F.col("raw_m2").between(lo, hi), "unit_price_out_of_range").when(~F.col("coef").between(cfg.least_adjustment, cfg.most_adjustment), "adjustment_over_cap")
+    reason = F.when(F.col("raw_m2").isNull(), "sin_precio_o_superficie_en_usd").when(~F.col("raw_m2").between(lo, hi), "usd_m2_fuera_de_rango").when(~F.col("coef").between(cfg.least_adjustment, cfg.most_adjustment), "ajuste_excede_el_tope")
     return out.withColumn("reason", reason).withColumn("adj_m2", F.when(F.col("reason").isNull(), F.round(F.round(F.col("raw_m2") / F.col("coef"), 6), 0)))
 
 
 def trimmed(rows: DataFrame, keys: list[str], cfg: Config = DEFAULT) -> DataFrame:
-    """Rows beyond the trim percentiles of their group get the reason `trimmed`, in groups of trim_from or more."""
+    """Rows beyond the trim percentiles of their group get the reason `recorte_p5_p95`, in groups of trim_from or more."""
     good = rows.where("reason is null")
     cut = good.groupBy(*keys).agg(F.count("*").alias("n_before"), F.percentile("adj_m2", F.array(F.lit(cfg.trim), F.lit(1 - cfg.trim))).alias("cut"))
     cut = cut.where(F.col("n_before") >= cfg.trim_from).select(*keys, F.round(F.col("cut")[0], 6).alias("cut_lo"), F.round(F.col("cut")[1], 6).alias("cut_hi"))
     out = rows.join(cut, keys, "left")
     beyond = F.col("reason").isNull() & ~F.coalesce(F.col("adj_m2").between(F.col("cut_lo"), F.col("cut_hi")), F.lit(True))
-    return out.withColumn("reason", F.when(beyond, "trimmed").otherwise(F.col("reason"))).drop("cut_lo", "cut_hi")
-
-
-def _quantile(value: Column, upto: Column, n: Column, p: float, part: WindowSpec) -> Column:
-    """Interpolated percentile of a histogram: upto counts the entries up to a value, n all of them."""
-    pos = (n - 1) * p
-    at = lambda k: F.min(F.when(upto > k, value)).over(part)
-    lo = at(F.floor(pos))
-    return F.round(lo + (at(F.ceil(pos)) - lo) * (pos - F.floor(pos)), 6)
+    return out.withColumn("reason", F.when(beyond, f"recorte_p{100 * cfg.trim:g}_p{100 - 100 * cfg.trim:g}").otherwise(F.col("reason"))).drop("cut_lo", "cut_hi")
 
 
 def statistics(rows: DataFrame, keys: list[str], cfg: Config = DEFAULT) -> DataFrame:
     """Per group, over the rows without a reason and within the trim percentiles: n, median, dispersion
     (MAD / median), winsorised quartiles.
 
-    One shuffle makes a histogram, a row for each distinct price of a group; everything else
-    is windows over it in the same partitioning.
+    The rows become a histogram, an entry for each distinct price of a group: whole numbers
+    within the plausible range, so a group's entries are bounded however many rows it has. All
+    percentiles are taken over entries with their frequency.
     """
-    part = W.partitionBy(*keys)
-    upto = lambda order: F.sum("w").over(part.orderBy(order))
-    q = lambda v, c, p: _quantile(F.col(v), F.col(c), F.col("n"), p, part)
-    h = rows.where("reason is null").groupBy(*keys, "adj_m2").agg(F.count("*").alias("w"))
-    h = h.withColumns({"n": F.sum("w").over(part), "c": upto("adj_m2")})
-    h = h.withColumns({"cut_lo": q("adj_m2", "c", cfg.trim), "cut_hi": q("adj_m2", "c", 1 - cfg.trim)})
-    h = h.where((F.col("n") < cfg.trim_from) | F.col("adj_m2").between(F.col("cut_lo"), F.col("cut_hi"))).select(*keys, "adj_m2", "w")
-    h = h.withColumns({"n": F.sum("w").over(part), "c": upto("adj_m2")})
-    h = h.withColumns({"median": q("adj_m2", "c", 0.5), "w_lo": q("adj_m2", "c", cfg.winsor[0]), "w_hi": q("adj_m2", "c", cfg.winsor[1])})
-    h = h.withColumns({"clip": F.least(F.greatest("adj_m2", "w_lo"), "w_hi"), "dev": F.abs(F.col("adj_m2") - F.col("median"))}).withColumn("dc", upto("dev"))
-    h = h.withColumns({"mad": q("dev", "dc", 0.5), "w_median": q("clip", "c", 0.5), "p_lo": q("clip", "c", cfg.band[0]), "p_hi": q("clip", "c", cfg.band[1])})
-    h = h.withColumn("dispersion", F.round(F.col("mad") / F.col("median"), 4))
-    return h.groupBy(*keys).agg(*[F.first(c).alias(c) for c in ("n", "median", "dispersion", "w_median", "p_lo", "p_hi")])
+    r = lambda c: F.round(c, 6)
+    at = lambda v, *ps: F.percentile(v, F.array(*[F.lit(p) for p in ps]), F.col("w"))
+    # adj_m2 is null where a row has a reason; percentiles leave nulls out, so no filter repeats its expression.
+    h = rows.groupBy(*keys, "adj_m2").agg(F.count("*").alias("w"))
+    cut = h.groupBy(*keys).agg(F.sum(F.when(F.col("adj_m2").isNotNull(), F.col("w"))).alias("n0"), at("adj_m2", cfg.trim, 1 - cfg.trim).alias("cut")).where("n0 > 0")
+    kept = (F.col("n0") < cfg.trim_from) | F.col("adj_m2").between(r(F.col("cut")[0]), r(F.col("cut")[1]))
+    h = h.join(cut, keys).where(kept & F.col("adj_m2").isNotNull()).select(*keys, "adj_m2", "w")
+    mid = h.groupBy(*keys).agg(F.sum("w").alias("n"), at("adj_m2", 0.5, *cfg.winsor).alias("q"))
+    mid = mid.select(*keys, "n", *[r(F.col("q")[i]).alias(c) for i, c in enumerate(("median", "w_lo", "w_hi"))])
+    h = h.join(mid, keys)
+    clip = F.least(F.greatest("adj_m2", "w_lo"), F.col("w_hi"))
+    out = h.groupBy(*keys, "n", "median").agg(F.percentile(F.abs(F.col("adj_m2") - F.col("median")), F.lit(0.5), F.col("w")).alias("mad"), at(clip, 0.5, *cfg.band).alias("q"))
+    return out.select(*keys, "n", "median", F.bround(F.round(F.col("mad") / F.col("median"), 12), 4).alias("dispersion"), *[r(F.col("q")[i]).alias(c) for i, c in enumerate(("w_median", "p_lo", "p_hi"))])
 
 
 def confidence(n: Column, dispersion: Column, days: Column, step: Column, complete: Column, manual_share: Column, cfg: Config = DEFAULT) -> Column:
-    """The weighted score of 0 to 1."""
+    """The weighted score of 0 to 1, with three digits; the thresholds are held against it as it is then."""
     w = cfg.weights
     by_count = F.when(n >= 12, 1.0).when(n >= 8, 0.7).otherwise(0.3)
-    by_dispersion = F.when(dispersion < 0.10, 1.0).when(dispersion >= 0.25, 0.0).otherwise((0.25 - dispersion) / 0.15)
-    fresh = F.when(days.isNull(), 0.6).when(days < 30, 1.0).when(days >= 120, 0.2).otherwise(F.round((120 - days) / 90, 3))
+    by_dispersion = F.when(dispersion.isNull(), 0.5).when(dispersion < 0.10, 1.0).when(dispersion >= 0.25, 0.0).otherwise((0.25 - dispersion) / 0.15)
+    fresh = F.when(days.isNull(), 0.6).when(days < 30, 1.0).when(days >= 120, 0.2).otherwise(F.bround((120 - days) / 90, 3))
     relaxed = F.greatest(F.lit(0.2), 1 - 0.2 * step)
     score = w["count"] * by_count + w["dispersion"] * by_dispersion + w["freshness"] * fresh + w["relaxation"] * relaxed + w["completeness"] * complete
-    return F.round(F.when(manual_share > 0.5, score * 0.85).otherwise(score), 4)
+    return F.bround(F.round(F.when(manual_share > 0.5, score * 0.85).otherwise(score), 9), 3)
 
 
 def value(comps: DataFrame, keys: list[str], cfg: Config = DEFAULT) -> DataFrame:
@@ -128,19 +120,41 @@ def value(comps: DataFrame, keys: list[str], cfg: Config = DEFAULT) -> DataFrame
     subject = [F.first(c).alias(c) for c in ("subject_surface", "subject_parking", "subject_step", "subject_complete")]
     whole = rows.groupBy(*keys).agg(F.count("*").alias("n_found"), F.median("days").alias("days"), F.avg(F.col("manual").cast("int")).alias("manual_share"), *subject)
     out = whole.join(statistics(rows, keys, cfg), keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    status = F.when(F.col("subject_surface").isNull() | (F.col("subject_surface") <= 0), "no_subject_surface").when(F.col("n") < cfg.least_comparables, "few_comparables").otherwise("ok")
+    status = F.when(F.col("subject_surface").isNull() | (F.col("subject_surface") <= 0), "sin_superficie_sujeto").when(F.col("n") < cfg.least_comparables, "pocos_comparables").otherwise("ok")
     out = out.withColumn("status", status)
     ok = F.col("status") == "ok"
     size, extra = F.round("subject_surface", 1), cfg.parking * F.col("subject_parking")
     unit = lambda c: F.round(F.round(F.col(c), 6), 0)
-    total = lambda c: F.round(unit(c) * size + extra, 0)
+    total = lambda c: F.round(unit(c) * size + extra, 1)
+    whole_units = lambda c: F.round(F.round(c, 4), 0)
     score = confidence(F.col("n"), F.col("dispersion"), F.col("days"), F.col("subject_step"), F.col("subject_complete"), F.col("manual_share"), cfg)
     out = out.withColumns({"mid": total("w_median"), "lo0": total("p_lo"), "hi0": total("p_hi"), "score": score})
-    level = F.when(F.col("score") >= cfg.high, "high").when(F.col("score") >= cfg.medium, "medium").otherwise("low")
-    # No range narrower than least_width or than the calibrated error; half as wide again at low confidence.
+    level = F.when(F.col("score") >= cfg.high, "ALTA").when(F.col("score") >= cfg.medium, "MEDIA").otherwise("BAJA")
+    # A range narrower than least_width and the calibrated error is one of that width around mid.
     floor = F.greatest(F.col("mid") * cfg.least_width / 2, F.col("mid") * cfg.half_width)
-    wide = F.when(level == "low", 1.5).otherwise(1.0)
-    low = F.round(F.col("mid") - F.greatest(F.col("mid") - F.col("lo0"), floor) * wide, 2)
-    high = F.round(F.col("mid") + F.greatest(F.col("hi0") - F.col("mid"), floor) * wide, 2)
-    shown = {"unit_price": unit("w_median"), "value_low": low, "value_mid": F.col("mid"), "value_high": high, "closing_low": F.round(F.col("mid") * cfg.closing[0], 2), "closing_high": F.round(F.col("mid") * cfg.closing[1], 2), "dispersion": F.col("dispersion"), "score": F.col("score"), "confidence": level}
+    narrow = (F.col("mid") > 0) & ((F.col("hi0") - F.col("lo0")) / 2 < floor)
+    out = out.withColumns({
+        "low0": whole_units(F.when(narrow, F.col("mid") - floor).otherwise(F.col("lo0"))),
+        "high0": whole_units(F.when(narrow, F.col("mid") + floor).otherwise(F.col("hi0"))),
+        "value_mid": whole_units(F.col("mid")), "confidence": level,
+    })
+    # At low confidence half as wide again, around the value.
+    half = (F.col("high0") - F.col("low0")) / 2 * 1.5
+    low = F.when(F.col("confidence") == "BAJA", whole_units(F.col("value_mid") - half)).otherwise(F.col("low0"))
+    high = F.when(F.col("confidence") == "BAJA", whole_units(F.col("value_mid") + half)).otherwise(F.col("high0"))
+    closing = [whole_units(F.col("value_mid") * c) for c in cfg.closing]
+    shown = {"unit_price": unit("w_median"), "value_low": low, "value_mid": F.col("value_mid"), "value_high": high, "closing_low": closing[0], "closing_high": closing[1], "dispersion": F.col("dispersion"), "score": F.col("score"), "confidence": F.col("confidence")}
     return out.select(*keys, "n_found", F.col("n").alias("n_used"), "status", *[F.when(ok, c).alias(n) for n, c in shown.items()])
+
+
+def detail(comps: DataFrame, keys: list[str], upstream: Column, raw: Column, cfg: Config = DEFAULT) -> DataFrame:
+    """Every comparable of a report with included and the first reason why it is not.
+
+    upstream: the reason of a step before the engine (null: it went in); such rows show their
+    raw unit price (raw) and no adjusted one, and count in no statistic.
+    """
+    marked = comps.withColumn("__upstream", upstream).withColumn("__raw", F.round(raw, 0))
+    inside = trimmed(adjusted(marked.where("__upstream is null"), cfg), keys, cfg)
+    inside = inside.withColumn("raw_m2", F.round("raw_m2", 0)).withColumn("adj_m2", F.when(F.col("raw_m2").isNotNull(), F.col("adj_m2"))).drop("__upstream", "__raw", "coef")
+    outside = marked.where("__upstream is not null").withColumn("reason", F.col("__upstream")).withColumn("raw_m2", F.col("__raw")).drop("__upstream", "__raw")
+    return inside.unionByName(outside, allowMissingColumns=True).withColumn("included", F.col("reason").isNull())

@@ -80,10 +80,10 @@ def candidate_projection_fallback(spark, sf_dir):
     )
 
 
-DISCARD_SQL = """CASE WHEN price IS NULL THEN 'no_price' WHEN currency <> 'USD' THEN 'price_not_usd' WHEN surface IS NULL THEN 'no_surface' WHEN NOT surface BETWEEN 15 AND 2000 THEN 'surface_implausible'
-WHEN address IS NULL OR trim(address) = '' THEN 'no_address' WHEN NOT price / surface BETWEEN 300 AND 12000 THEN 'unit_price_out_of_range' END"""
-CURATION_SQL = """CASE WHEN price IS NULL OR price = 0 THEN 'no_price' WHEN currency = 'ARS' THEN 'price_in_ars' WHEN surface IS NULL OR surface < 15 THEN 'no_surface' WHEN NOT price / surface BETWEEN 300 AND 12000 THEN 'unit_price_out_of_range'
-WHEN days > 180 THEN 'listing_expired' WHEN upper(trim(address)) = 'CALLE 42' THEN 'own_listing' WHEN canonical_id IS NOT NULL AND canonical_id <> listing_id THEN 'duplicate_in_cluster' END"""
+DISCARD_SQL = """CASE WHEN price IS NULL THEN 'sin_precio' WHEN currency <> 'USD' THEN 'precio_no_usd' WHEN surface IS NULL THEN 'sin_superficie' WHEN NOT surface BETWEEN 15 AND 2000 THEN 'superficie_implausible'
+WHEN address IS NULL OR trim(address) = '' THEN 'sin_direccion' WHEN NOT price / surface BETWEEN 300 AND 12000 THEN 'usd_m2_fuera_de_rango' END"""
+CURATION_SQL = """CASE WHEN price IS NULL OR price = 0 THEN 'sin_precio' WHEN currency = 'ARS' THEN 'precio_en_ars' WHEN surface IS NULL OR surface < 15 THEN 'sin_superficie' WHEN NOT price / surface BETWEEN 300 AND 12000 THEN 'usd_m2_fuera_de_rango'
+WHEN days > 180 THEN 'aviso_vencido' WHEN upper(trim(address)) = 'CALLE 42' THEN 'auto_referencia' WHEN canonical_id IS NOT NULL AND canonical_id <> listing_id THEN 'duplicado_de_cluster' END"""
 
 
 @R.query("WITH " + CANON_SQL + f" SELECT source, coalesce({DISCARD_SQL}, 'accepted') AS reason, count(*) AS n FROM canon GROUP BY ALL")

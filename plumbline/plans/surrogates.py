@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The day that the queries take as today; no operator reads the clock.
 AS_OF = "2001-11-05"
+AMENITIES_HELD = ["Pileta", "gimnasio", "SUM", "seguridad"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         code(F.col("l_suppkey") % 5, ["frente", "lateral", "contrafrente", "interno", None]).alias("orientation"),
         (F.col("l_partkey") % 12).cast("int").alias("floor_number"),
         F.when(F.col("l_suppkey") % 3 == 0, True).when(F.col("l_suppkey") % 3 == 1, False).alias("has_elevator"),
-        (F.col("l_partkey") % 5).cast("int").alias("n_amenities"),
+        F.slice(F.array(*[F.lit(a) for a in AMENITIES_HELD]), F.lit(1), (F.col("l_partkey") % 5).cast("int")).alias("amenities"),
         F.when(F.col("l_linenumber") >= 6, 1).otherwise(0).alias("parking"),
         F.when((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 13 == 0, None).otherwise((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 240).cast("int").alias("days"),
         F.col("l_shipdate").cast("date").alias("last_seen"),
@@ -45,9 +46,19 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") == "R").alias("manual"),
         (F.col("l_linestatus") == "O").alias("active"),
         F.col("p_type").alias("kind"),
+        F.when(F.col("l_linenumber") == 5, "RENT").otherwise("SALE").alias("operation"),
+        (F.col("l_quantity") == 13).alias("price_on_request"),
+        F.array_compact(F.array(F.when(F.col("l_tax") == 0.08, "surface_total_only"), F.when(F.col("p_size") % 6 != 0, "ficha_completa"))).alias("quality_flags"),
     )
 
 
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas on a grid of about 2 km; those divisible by 8 have no known centre."""
+    n = F.col("n_nationkey")
+    known = n % 8 != 0
+    return table(spark, sf_dir, "nation").select(n.alias("area_id"), "n_name", F.when(known, -34.60 + (n % 5) * 0.02).alias("lat"), F.when(known, -58.40 + F.floor(n / 5) * 0.022).alias("lng"))
+
+
 LISTINGS_SQL = """listings AS (
 SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100, 0) AS BIGINT)) AS listing_id,
   l_orderkey AS order_id, s_nationkey AS area_id, n_regionkey AS region_id, 's' || (l_suppkey % 4) AS source,
@@ -60,10 +71,14 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round
   CASE l_suppkey % 5 WHEN 0 THEN 'frente' WHEN 1 THEN 'lateral' WHEN 2 THEN 'contrafrente' WHEN 3 THEN 'interno' END AS orientation,
   l_partkey % 12 AS floor_number,
   CASE l_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS has_elevator,
-  l_partkey % 5 AS n_amenities,
+  list_slice(['Pileta', 'gimnasio', 'SUM', 'seguridad'], 1, CAST(l_partkey % 5 AS INT)) AS amenities,
   CASE WHEN l_linenumber >= 6 THEN 1 ELSE 0 END AS parking,
   CASE WHEN (l_orderkey * 7 + l_linenumber) % 13 = 0 THEN NULL ELSE (l_orderkey * 7 + l_linenumber) % 240 END AS days,
   CAST(l_shipdate AS DATE) AS last_seen, CAST(o_orderdate AS DATE) AS published,
-  l_returnflag = 'R' AS manual, l_linestatus = 'O' AS active, p_type AS kind
+  l_returnflag = 'R' AS manual, l_linestatus = 'O' AS active, p_type AS kind,
+  CASE WHEN l_linenumber = 5 THEN 'RENT' ELSE 'SALE' END AS operation, l_quantity = 13 AS price_on_request,
+  list_filter([CASE WHEN l_tax = 0.08::DOUBLE THEN 'surface_total_only' END, CASE WHEN p_size % 6 <> 0 THEN 'ficha_completa' END], lambda f: f IS NOT NULL) AS quality_flags
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
 JOIN orders ON l_orderkey = o_orderkey JOIN nation ON s_nationkey = n_nationkey)"""
+
+AREAS_SQL = """areas AS (SELECT n_nationkey AS area_id, n_name, CASE WHEN n_nationkey % 8 <> 0 THEN -34.60::DOUBLE + (n_nationkey % 5) * 0.02::DOUBLE END AS lat, CASE WHEN n_nationkey % 8 <> 0 THEN -58.40::DOUBLE + (n_nationkey // 5) * 0.022::DOUBLE END AS lng FROM nation)"""

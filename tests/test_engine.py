@@ -20,10 +20,10 @@ def one(spark, column):
 
 
 def comps(spark, unit_prices, **change):
-    base = dict(price=None, currency="USD", surface=50.0, parking=0, condition=None, age_years=None, orientation=None, floor_number=None, has_elevator=None, n_amenities=0, days=10, manual=False)
-    subject = dict(surface=50.0, parking=0, condition=None, age_years=None, orientation=None, floor_number=None, has_elevator=None, n_amenities=0, step=0, complete=1.0)
+    base = dict(price=None, currency="USD", surface=50.0, parking=0, condition=None, age_years=None, orientation=None, floor_number=None, has_elevator=None, amenities=[], days=10, manual=False)
+    subject = dict(surface=50.0, parking=0, condition=None, age_years=None, orientation=None, floor_number=None, has_elevator=None, amenities=[], step=0, complete=1.0)
     rows = [{"k": 1, **base, "price": p * 50.0, **change, **{f"subject_{a}": b for a, b in subject.items()}} for p in unit_prices]
-    types = "k int, price double, currency string, surface double, parking int, condition string, age_years int, orientation string, floor_number int, has_elevator boolean, n_amenities int, days int, manual boolean, subject_surface double, subject_parking int, subject_condition string, subject_age_years int, subject_orientation string, subject_floor_number int, subject_has_elevator boolean, subject_n_amenities int, subject_step int, subject_complete double"
+    types = "k int, price double, currency string, surface double, parking int, condition string, age_years int, orientation string, floor_number int, has_elevator boolean, amenities array<string>, days int, manual boolean, subject_surface double, subject_parking int, subject_condition string, subject_age_years int, subject_orientation string, subject_floor_number int, subject_has_elevator boolean, subject_amenities array<string>, subject_step int, subject_complete double"
     names = [c.split()[0] for c in types.split(", ")]
     return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], types)
 
@@ -31,24 +31,24 @@ def comps(spark, unit_prices, **change):
 def test_equal_comparables_give_their_price(spark):
     r = valuation.value(comps(spark, [2000.0] * 12), ["k"]).first()
     assert (r.status, r.n_used, r.unit_price, r.value_mid, r.value_low, r.value_high) == ("ok", 12, 2000, 100000, 80000, 120000)
-    assert r.closing_low == 85000 and r.closing_high == 95000 and r.confidence == "high" and r.dispersion == 0
+    assert r.closing_low == 85000 and r.closing_high == 95000 and r.confidence == "ALTA" and r.dispersion == 0
 
 
-def test_few_comparables_and_trim_threshold(spark):
+def test_pocos_comparables_and_trim_threshold(spark):
     r = valuation.value(comps(spark, [2000.0] * 4), ["k"]).first()
-    assert r.status == "few_comparables" and r.value_mid is None
+    assert r.status == "pocos_comparables" and r.value_mid is None
     assert valuation.value(comps(spark, [2000.0] * 6 + [3000.0]), ["k"]).first().n_used == 7
     assert valuation.value(comps(spark, [2000.0] * 7 + [3000.0]), ["k"]).first().n_used == 7
 
 
 def test_cap_excludes_and_unknown_is_neutral(spark):
-    rows = valuation.adjusted(comps(spark, [2000.0], condition="a_estrenar", floor_number=9, n_amenities=4)).first()
-    assert rows.reason == "adjustment_over_cap" and abs(rows.coef - 1.15 * 1.04 * 1.05) < 1e-8
+    rows = valuation.adjusted(comps(spark, [2000.0], condition="a_estrenar", floor_number=9, amenities=["PILETA", "gimnasio", "SUM"])).first()
+    assert rows.reason == "ajuste_excede_el_tope" and abs(rows.coef - 1.15 * 1.04 * 1.05) < 1e-8
     assert valuation.adjusted(comps(spark, [2000.0])).first().coef == 1
     assert valuation.adjusted(comps(spark, [2000.0], floor_number=5)).first().coef == 1  # a lift is not known to be absent
     assert valuation.adjusted(comps(spark, [2000.0], floor_number=5, has_elevator=False)).first().coef == 0.88
-    assert valuation.adjusted(comps(spark, [200.0])).first().reason == "unit_price_out_of_range"
-    assert valuation.adjusted(comps(spark, [2000.0], currency="ARS")).first().reason == "no_price_or_surface"
+    assert valuation.adjusted(comps(spark, [200.0])).first().reason == "usd_m2_fuera_de_rango"
+    assert valuation.adjusted(comps(spark, [2000.0], currency="ARS")).first().reason == "sin_precio_o_superficie_en_usd"
     assert len(config.DEFAULT.method_version().split("+")[1]) == 12
 
 
@@ -135,7 +135,7 @@ def test_feeds_in_three_formats_are_equal(spark, tmp_path):
         out.append((sorted((r.source_id, r.price, r.surface, r.rooms, str(r.published)) for r in good.collect()), sorted((r.reason, r.n) for r in reasons.collect())))
     assert out[0] == out[1] == out[2]
     assert out[0][0] == [("0", 100000.0, 55.0, 3, "2020-01-05"), ("3", 90000.0, 55.0, 3, "None")]
-    assert out[0][1] == [("accepted", 2), ("no_price", 1), ("unit_price_out_of_range", 1)]
+    assert out[0][1] == [("accepted", 2), ("sin_precio", 1), ("usd_m2_fuera_de_rango", 1)]
 
 
 def test_streamed_windows_are_the_batch_ones(spark, tmp_path):
