@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop, prepare, stored
+from .common import drop, prepare, slices, stored
 
 K = 10
 K1, B = 1.2, 0.75
 RANGE = 64  # documents
-FREQUENT = 8  # a term in more than one of so many documents of a shard has range maxima
-SHARD_DOCS, SHARD_CHARS = 8192, 16_000_000
-BLOCK_QUERIES, AT_ONCE = 1024, 128  # of a task, on average; of a task's inner step
+FREQUENT = 16  # a term in more than one of so many documents of a shard has range maxima
+SHARD_DOCS, SHARD_CHARS = 8192, 12_000_000
+BLOCK_QUERIES, AT_ONCE = 512, 128  # of a task, on average; of a task's inner step
 FACTOR = 8  # between levels of shards
 SLACK = 1 - 1e-9  # sums differ in their last digits
 
@@ -48,18 +48,19 @@ WORD = re.compile(r"[^\W_]+")
 
 def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, count), sorted by term and text, and the texts' lengths in words. Terms are XXH64 of the words."""
-    lists = [WORD.findall(t.lower()) if t else [] for t in texts]
-    lens = np.array([len(x) for x in lists], dtype=np.int64)
-    flat = [w for x in lists for w in x]
-    if not flat:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), lens
-    codes, unique = pd.factorize(np.array(flat, dtype=object))
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in unique], np.uint64).view(np.int64)
-    place = np.argsort(hashes)
-    rank = np.empty(len(place), np.int64)
-    rank[place] = np.arange(len(place))
-    joint, count = np.unique(rank[codes] * len(texts) + np.repeat(np.arange(len(texts)), lens), return_counts=True)
-    return joint % len(texts), hashes[place][joint // len(texts)], count, lens
+    parts, lens = [(np.zeros(0, np.int64),) * 3], np.zeros(len(texts), np.int64)
+    for begin, end in slices(texts):  # words as strings take many times their length
+        lists = [WORD.findall(t.lower()) if t else [] for t in texts[begin:end]]
+        lens[begin:end] = [len(x) for x in lists]
+        flat = [w for x in lists for w in x]
+        if flat:
+            codes, unique = pd.factorize(np.array(flat, dtype=object))
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in unique], np.uint64).view(np.int64)
+            joint, count = np.unique(codes * (end - begin) + np.repeat(np.arange(end - begin), lens[begin:end]), return_counts=True)
+            parts.append((begin + joint % (end - begin), hashes[joint // (end - begin)], count))
+    text, term, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((text, term))
+    return text[order], term[order], count[order], lens
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ PACKED = ["terms", "ends", "docs", "tf", "lens", "ids", "valid"]
 def _neighbours(text: np.ndarray, count: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
     """Each document's place in its shard: by the two frequent terms that it has most often, so that languages and
     subjects come together."""
-    often = np.repeat((df > n / (4 * FREQUENT)) & (df < n * 0.75), df)
+    often = np.repeat((df > n / 32) & (df < n * 0.75), df)
     if not often.any():
         return np.arange(n)
     t, f, c = text[often], np.repeat(np.arange(len(df)), df)[often], count[often]
@@ -202,23 +203,26 @@ class Shard:
             weights = np.zeros((m, len(self.rows)))
             weights[own[r >= 0], r[r >= 0]] = w[r >= 0]
             bound = np.repeat(weights @ self.maxima, RANGE, axis=1)[:, : self.n]
-            alive = (total + bound >= low[:, None] * SLACK) & (total + bound > 0)
-            ranges = np.logical_or.reduceat(alive.any(axis=0), np.arange(0, self.n, RANGE))
-            columns = np.flatnonzero(np.repeat(ranges, RANGE)[: self.n])
+            bound += total
+            alive = (bound >= np.maximum(low, 1e-300)[:, None] * SLACK).any(axis=0)
+            columns = np.flatnonzero(np.repeat(np.logical_or.reduceat(alive, np.arange(0, self.n, RANGE)), RANGE)[: self.n])
             if not len(columns):
                 continue
-            score = total[:, columns] + weights @ self.rows[:, columns]
-            score[~alive[:, columns]] = 0
-            if len(columns) > k:
+            if len(columns) == self.n:
+                score = np.matmul(weights, self.rows, out=bound)
+                score += total
+            else:
+                score = total[:, columns] + weights @ self.rows[:, columns]
+            if len(columns) > k and (low <= 0).any():  # later on the floors keep nearly all others out
                 low = np.maximum(low, np.partition(score, -k, axis=1)[:, -k])
-            x, y = np.nonzero((score >= low[:, None] * SLACK) & (score > 0))
+            x, y = np.nonzero(score >= np.maximum(low, 1e-300)[:, None] * SLACK)
             yield order[lo + x], columns[y], score[x, y]
 
     def _rare(self, own: np.ndarray, t: np.ndarray, w: np.ndarray, m: int) -> np.ndarray:
         """Scores of m queries over the lists of their rarer terms."""
         out = np.zeros(m * self.n)
         n = (self.ends - self.starts)[t]
-        cuts = np.append(np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), 4_000_000)), len(n))
+        cuts = np.append(np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), 1_000_000)), len(n))
         for p, q in zip(cuts, cuts[1:], strict=False):
             k = n[p:q]
             place = np.arange(k.sum()) + np.repeat(self.starts[t[p:q]] - (np.cumsum(k) - k), k)
@@ -246,19 +250,22 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, shard, floors = None, None, {}
+        packed = [*PACKED, "query_ids", "sizes", "q_terms", "idfs"]
+        types = ("<i8", "<i8", "<u2", "<u4", "<i8", "<i8", bool, "<i8", "<i8", "<i8", "<f8")
         for b in batches:
-            for x in b.to_pylist():
+            for i in range(b.num_rows):
+                x = {c: b.column(c)[i].as_py() for c in ("shard", "block", "floors")}
+                arrays = [np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in zip(packed, types, strict=True)]
+                terms, ends, of, tf, lens, ids, valid, query_ids, sizes, q_terms, idfs = arrays
                 if x["shard"] != number:
-                    number = x["shard"]
-                    terms, ends, of, tf, lens, ids, valid = (np.frombuffer(x[c], t) for c, t in zip(PACKED, ("<i8", "<i8", "<u2", "<u4", "<i8", "<i8", bool), strict=True))
-                    shard = Shard(terms, ends, of, tf.astype(float), lens, mean)
-                query_ids, sizes, q_terms = (np.frombuffer(x[c], "<i8") for c in ("query_ids", "sizes", "q_terms"))
+                    shard = None  # only one is held
+                    number, shard = x["shard"], Shard(terms, ends, of, tf, lens, mean)
                 if x["block"] not in floors:
                     floors[x["block"]] = np.zeros(len(sizes))
                     for f in x["floors"] or []:
                         floors[x["block"]][f["query"]] = f["low"]
                 floor = floors[x["block"]]
-                for query, doc, score in shard.search(sizes, q_terms, np.frombuffer(x["idfs"], "<f8"), floor, k):
+                for query, doc, score in shard.search(sizes, q_terms, idfs, floor, k):
                     order = np.lexsort((-score, query))
                     head = np.append(True, query[order][1:] != query[order][:-1])
                     nth = np.arange(len(order)) - np.flatnonzero(head)[np.cumsum(head) - 1]
@@ -277,7 +284,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         asked = blocks.withColumn("floors", F.lit(None).cast("array<struct<query: int, low: double>>"))
         if best is not None:
             floors = best.where(F.col("rank") == k).groupBy("block").agg(F.collect_list(F.struct("query", F.col("score").alias("low"))).alias("floors"))  # of a block's queries
-            asked = blocks.join(floors, "block", "left")
+            asked = stored(blocks.join(floors, "block", "left"))
         # The stated queries, in blocks, against the shards: both sides are read where they lie.
         found = part.join(asked.hint("shuffle_replicate_nl")).mapInArrow(run, kind)
         if best is not None:
