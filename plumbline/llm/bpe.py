@@ -11,10 +11,11 @@ States are stored as what a gadget changed (the copied state, the time, and the
 away), so 49,000 gadgets need two integers and one table entry each. A transition is
 resolved once by going back through the gadgets and is then an entry of the transition
 table. The result is deterministic: of all ways to write a word as tokens, exactly one is a
-path. Encoding walks a pre-split word from left to right over that table, taking the longest
-arc that the state has and stepping back where a path ends; the state after a prefix is
-always the same, so no place is tried twice. Decoding follows the ids' arcs and emits
-their labels. Characters that came after Python's Unicode tables count as symbols.
+path, and so the state after each prefix of a word is one, too. Encoding walks a pre-split word
+from left to right and looks up in that table, place by place, the one arc that leads from an
+earlier place's state to this one; nothing is undone. The arcs into the word's end are its
+tokens. Decoding follows the ids' arcs and emits their labels. Characters that came after
+Python's Unicode tables count as symbols.
 """
 
 from __future__ import annotations
@@ -78,14 +79,8 @@ class Automaton:
                 final[s[: -len(suffix)]] = i
             else:
                 inner[s] = i
-        self.final = final
-        #: A trie over the labels; None holds the label that ends at a node.
-        self.root: dict = {}
-        for label, i in inner.items():
-            node = self.root
-            for c in label:
-                node = node.setdefault(c, {})
-            node[None] = i
+        self.inner, self.final = inner, final
+        self.longest, self.longest_final = (max(map(len, d), default=0) for d in (inner, final))
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if u in self.dead or v in self.dead or not self._resolve(u, v, rank):
@@ -119,42 +114,28 @@ class Automaton:
 
     def encode(self, word: str) -> list[int]:
         """The ids of a word given as byte symbols."""
-        n, suffixed = len(word), bool(self.suffix)
-        root, final, table, width = self.root, self.final, self.table, self.width
-        path: list[int] = []
-        ends = [0]  # where the path's tokens end
-        left: list[list] = []  # the shorter arcs that each of these states still has
-        blocked = bytearray(n + 1)  # no way on from there: the state after a prefix is always the same
-        pos, arcs = 0, None
-        while pos < n:
-            if arcs is None:
-                arcs, k, node = [], pos, root
-                for c in word[pos : n - 1] if suffixed else word[pos:]:
-                    node = node.get(c)
-                    if node is None:
-                        break
-                    k += 1
-                    if None in node:
-                        arcs.append((k, node[None]))
-                if suffixed and (t := final.get(word[pos:])) is not None:
-                    arcs.append((n, t))
-            last = path[-1] * width if path else -1
-            while arcs:
-                k, t = arcs.pop()
-                if not blocked[k] and (last < 0 or table.get(last + t) or self.arc(path[-1], t)):
-                    path.append(t)
-                    ends.append(k)
-                    left.append(arcs)
-                    pos, arcs = k, None
-                    break
-            else:
-                if not path:
-                    raise ValueError(f"the vocabulary lacks a symbol of {word!r}")
-                blocked[pos] = 1
-                path.pop()
-                ends.pop()
-                arcs, pos = left.pop(), ends[-1]
-        return path
+        n, table, width = len(word), self.table, self.width
+        state, begin = [-1] * (n + 1), [0] * (n + 1)  # after each prefix: the last arc's token, and where it began
+        for end in range(1, n + 1):
+            last = end == n and bool(self.suffix)
+            labels, longest = (self.final, self.longest_final) if last else (self.inner, self.longest)
+            for at in range(max(0, end - longest), end):
+                t = labels.get(word[at:end])
+                if t is None:
+                    continue
+                if at:
+                    before = state[at]
+                    if before < 0 or not (table.get(before * width + t) or self.arc(before, t)):
+                        continue
+                state[end], begin[end] = t, at
+                break
+        if n and state[n] < 0:
+            raise ValueError(f"the vocabulary lacks a symbol of {word!r}")
+        path, end = [], n
+        while end:
+            path.append(state[end])
+            end = begin[end]
+        return path[::-1]
 
     def decode(self, ids: list[int], between: str = "") -> str:
         """The labels of the arcs that the ids take."""

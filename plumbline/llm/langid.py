@@ -6,14 +6,13 @@ all are hashed into one table of weights per language. Transitions are learned f
 sequences that switch language half way. Forward-backward over whole texts gives each
 word's distribution; a document's is the mean over its words.
 
-fit() learns every language from a bounded sample of its rows (TRAIN_DOCS per language, WINDOWS windows of
-HALF words from each, spread over the whole text); prediction covers everything.
+fit() learns every language from a bounded sample of its rows, TRAIN_DOCS per language, whole texts in
+windows of HALF words; prediction covers everything.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import held_out, learnable, prepare, slices
 
-TRAIN_DOCS, WINDOWS, HALF = 120, 8, 32  # the sample: texts per language, windows of each, words of each
+TRAIN_DOCS, HALF = 120, 32  # the sample: texts per language; words of a window
 BITS = 16
-LEXICON = 2000  # words per language
+OFTEN = 3  # times that a language's words are in the sample for a place in the lexicon
 STEPS = 40
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -48,14 +47,13 @@ class Model:
 
 def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Starts of the words in the flat arrays, flat n-gram rows, and rows per word (affixes, lexicon)."""
-    mask = np.uint64((1 << BITS) - 1)
     flat = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
     starts = np.cumsum(lens) - lens
 
     def row(h: np.ndarray, kind: int) -> np.ndarray:
         h = (h + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
-        return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) & mask | np.uint64(1)).astype(np.int64)
+        return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64((1 << BITS) - 1) + np.uint64(1)).astype(np.int64)  # 0 is no feature
 
     a, k = flat, np.uint64(0x110000)
     two = np.zeros_like(a)
@@ -143,7 +141,7 @@ def train(samples: list[tuple[str, list[str]]], seed: int = 7) -> Model | None:
             counts.setdefault(w, np.zeros(len(labels)))[of[lang]] += 1
     known = set()
     for i in range(len(labels)):
-        known.update(sorted((w for w, c in counts.items() if c[i] >= 3), key=lambda w: (-counts[w][i], w))[:LEXICON])
+        known.update(w for w, c in counts.items() if c[i] >= OFTEN)
     lexicon = {w: (1 << BITS) + i for i, w in enumerate(sorted(known))}
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(samples))
@@ -215,9 +213,7 @@ def fit(docs: DataFrame) -> Model | None:
             out = []
             for lang, text in zip(b["lang"], b["text"], strict=True):
                 ws = words_of(text)
-                n = min(WINDOWS, -(-len(ws) // HALF))
-                at = np.unique(np.linspace(0, max(0, len(ws) - HALF), n).astype(int)) if n else []
-                out += [(lang, ws[i : i + HALF]) for i in at]
+                out += [(lang, ws[i : i + HALF]) for i in range(0, len(ws), HALF)]
             yield pd.DataFrame(out, columns=["lang", "words"])
 
     prepare(spark)
@@ -235,7 +231,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    held = spark.sparkContext.broadcast(model)  # 2^BITS + LEXICON * labels rows at most
+    held = spark.sparkContext.broadcast(model)  # 2^BITS rows and those of the sample's words
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +66,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ftrl_quality": op8_ftrl_quality,
     "op9_block_max_wand": op9_block_max_wand,
     "op10_gray_simhash": op10_gray_simhash,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op7_hierarchical_mixing": oracles.OP7}

@@ -1,8 +1,9 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
-Fingerprints that differ in at most DISTANCE bits agree on one of DISTANCE + 1 bands of
-bits, so a group (band, its bits) holds all candidates for its members and groups are
-independent tasks. In a group the fingerprints are sorted by Gray rank, which puts those
+The 64 bits are cut into DISTANCE + r bands. Fingerprints that differ in at most DISTANCE
+bits agree on some r of them, so a group (r bands, their bits) holds all candidates for its
+members and groups are independent tasks; r is the least with which a group of random
+fingerprints fits a block, so a row's copies do not grow with the table. In a group the fingerprints are sorted by Gray rank, which puts those
 with few differences side by side. Every FAN neighbours get an upper node that holds the
 bits they all share (mask and pattern), less what the nodes above hold already. A search
 goes down from the top, adds up the differences in the masked bits and drops a whole node
@@ -15,6 +16,7 @@ returns a spanning forest of the links it found, not the pairs.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,6 @@ from .components import components, roots
 
 WORDS, SEED = 4, 42
 DISTANCE = 4
-#: First bit and width of each band of the 64 bits.
-BANDS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 BLOCK, FAN = 512, 8
 QUERIES_AT_ONCE = 2048
 PIECE = 1 << 20
@@ -144,9 +144,22 @@ class GrayIndex:
             yield q[later], node[later]
 
 
+def masks(count: int) -> list[int]:
+    """The bits of each choice of r out of DISTANCE + r bands, for a table of count distinct fingerprints."""
+    for r in (1, 2, 3, 4):
+        n = DISTANCE + r
+        ends = [64 * i // n for i in range(n + 1)]
+        bands = [((1 << (q - p)) - 1) << p for p, q in zip(ends, ends[1:], strict=False)]
+        chosen = [sum(c) for c in itertools.combinations(bands, r)]
+        if count >> min(m.bit_count() for m in chosen) <= BLOCK:
+            break
+    return chosen
+
+
 def links(classes: DataFrame) -> DataFrame:
     """classes(fp, rep) with distinct fp -> links (a, b) between reps, a spanning forest of each task's."""
-    band = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("bits")) for i, (s, w) in enumerate(BANDS)]))
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    band = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(masks(classes.count()))]))
     rows = classes.select("fp", "rep", band.alias("k")).select("fp", "rep", "k.band", "k.bits")
     large = stored(rows.groupBy("band", "bits").count().where(F.col("count") > BLOCK).select("band", "bits", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     rows = rows.join(large, ["band", "bits"], "left")

@@ -63,7 +63,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     hosts = pages.where("host <> ''").select("host").distinct()
     parts = F.split("host", r"\.")
     above = F.explode(F.expr(r"transform(sequence(2, greatest(size(parts), 2)), i -> array_join(slice(parts, i, size(parts)), '.'))"))
-    steps = hosts.withColumn("parts", parts).where("size(parts) > 2").select("host", above.alias("parent")).where("parent <> '' and parent <> host")
+    steps = hosts.withColumn("parts", parts).where("size(parts) > 1").select("host", above.alias("parent")).where("parent <> '' and parent <> host")
     kin = steps.join(hosts.withColumnRenamed("host", "parent"), "parent")
     kin = kin.select(F.col("host").alias("src"), F.col("parent").alias("dst")).unionByName(kin.select(F.col("parent").alias("src"), F.col("host").alias("dst")))
     both = links.unionByName(kin.withColumn("count", F.lit(1).cast("long")))
@@ -77,6 +77,8 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     A round is one join on the host and one sum; it is written to the shared folder. Every
     `rounds` rounds the last two are compared, and it ends once no host is new and no score
     has changed by more than `tolerance` of itself, so that far hosts are as settled as near.
+    What reaches hosts without a way on starts again at the seeds: that multiplies all scores
+    of a kind alike, so each kind is brought to the sum 1 at the end.
     """
     forward = edges.groupBy("src").agg(F.sum("links").alias("out_links"))
     backward = edges.groupBy("dst").agg(F.sum("links").alias("in_links"))
@@ -97,7 +99,9 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
                 unsettled = not pairs.where(F.col("before.trust").isNull() | moved("trust") | moved("distrust")).isEmpty()
             drop(rank)
             rank = after
-    return rank
+    total = F.broadcast(rank.agg(F.sum("trust").alias("all_t"), F.sum("distrust").alias("all_d")))  # one row
+    share = lambda c, whole: F.when(F.col(whole) > 0, F.col(c) / F.col(whole)).otherwise(0.0).alias(c)
+    return rank.join(total).select("host", share("trust", "all_t"), share("distrust", "all_d"))
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as p
@@ -42,3 +43,25 @@ def test_stages_take_effect(spark):
     ids = {r.doc_id: list(r.ids) for r in after.collect()}
     assert ids == {r.doc_id: lib.encode(r.text, add_special_tokens=False).ids for r in before.collect()}
     assert sorted(tuple(r) for r in p.run(spark, d).select("doc_id", "n_tokens").collect()) == sorted((i, len(x)) for i, x in ids.items())
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, the empty table: no crash, whole columns."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    good = docs.orderBy("doc_id").first()
+    extra = ["fp", "component_id", "h1", "row", "n_tokens", "score", "node", "kept_id"]
+    rows = [(900_001, None, "en", "s1", 0), (900_002, "", None, None, 0), (None, good.text, "en", "s1", 1), (900_003, good.text, None, "s1", 1), (900_003, good.text, None, "s1", 1), (None, None, None, None, None), (900_004, (good.text + " ") * 3000, "en", "s1", 1)]
+    odd = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    wide = odd.select("*", *[F.lit("x").alias(c) for c in extra])
+    for name, stage in p.STAGES:
+        out = p.stored(stage(spark, wide, d))
+        n = out.count()
+        assert 0 < n <= wide.count()
+        assert out.columns == (["doc_id", "n_tokens", "ids"] if name == "bpe_encode" else wide.columns)
+        if name in ("suffix_array_dedup", "bpe_encode"):
+            assert n == wide.count()
+        if name == "simhash_near_dedup":
+            assert out.where("doc_id = 900003").count() <= 1
+        empty = p.stored(stage(spark, wide.limit(0), d))
+        assert empty.count() == 0 and empty.columns == out.columns

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_one_query_of_each_operator():
     names = [n.split("_")[0] for n in queries.QUERIES]
-    assert sorted(names) == sorted([f"op{n}" for n in range(1, 11)] + ["pipeline"])
+    assert sorted(names) == sorted(f"op{n}" for n in range(1, 11)) and "pipeline" in e.queries()
     assert set(queries.QUERIES) <= set(e.queries()) and set(queries.ORACLES) <= set(e.oracle_sql())
 
 

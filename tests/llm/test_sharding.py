@@ -43,3 +43,32 @@ def test_odd_rows(spark):
     assert sorted(r.size for r in out) == [8, 8, 8, 10, 3_000_008]
     assert {r.text_crc32 for r in out if r.size == 8} == {None, 0}
     assert sharding.sharded(docs.limit(0)).count() == 0
+
+
+def test_the_map_is_kept_and_edited_by_later_runs(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    path = str(tmp_path / "maps")
+    versions = lambda: sorted(p.name for p in (tmp_path / "maps").iterdir())
+    place = lambda df: {r.doc_id: r.shard for r in df.collect()}
+    first = place(sharding.sharded(docs, 4, 256, path))
+    assert versions() == ["version=1"] and place(sharding.sharded(docs, 4, 256, path)) == first and versions() == ["version=1"]
+    grown = place(sharding.sharded(docs, 5, 256, path))
+    assert versions() == ["version=1", "version=2"]
+    assert {d for d in first if grown[d] != first[d]} == {d for d in first if grown[d] == 4} != set()
+    # One shard's slots swell: the edit moves slots away from it and leaves the others' where they are.
+    swollen = docs.withColumn("text", F.when(F.col("doc_id").isin([d for d in grown if grown[d] == 2]), F.repeat("text", 9)).otherwise(F.col("text")))
+    out = sharding.sharded(swollen, 5, 256, path).collect()
+    assert versions() == ["version=1", "version=2", "version=3"]
+    old, new = (sharding.last_map(spark, path) if v is None else spark.read.parquet(f"{path}/version={v}") for v in (2, None))
+    was = {r.vslot: r.shard for r in old.collect()}
+    for r in new.collect():
+        assert r.version == 3
+    loads = Counter()
+    for r in out:
+        loads[r.shard] += r.size
+    assert set(loads) == set(range(5)) and max(loads.values()) < sum(loads.values()) / 5 * 1.02 + max(r.size for r in out) * 2
+    assert sum(was.get(r.vslot) == r.shard for r in new.collect()) > len(was) / 2
+    less = place(sharding.sharded(swollen, 3, 256, path))
+    assert set(less.values()) == {0, 1, 2}
+    for shard in range(3):
+        assert sorted(r.slot for r in sharding.sharded(swollen, 3, 256, path).collect() if r.shard == shard) == list(range(sum(s == shard for s in less.values())))

@@ -79,3 +79,21 @@ def test_null_and_shared_ids_lose_only_near_duplicates(spark):
     assert out.columns == ["text", "doc_id"]
     got = sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str)
     assert got == sorted([(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(5)), (None, "")], key=str)
+
+
+def test_masks_hold_every_near_pair_and_grow_with_the_table():
+    rng = np.random.default_rng(4)
+    for count in (1000, 1 << 24, 1 << 33, 1 << 40):
+        chosen = simhash.masks(count)
+        assert count >> min(m.bit_count() for m in chosen) <= simhash.BLOCK
+        for _ in range(300):
+            flips = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(flips & m == 0 for m in chosen)
+    assert len(simhash.masks(1000)) == 5 < len(simhash.masks(1 << 24)) == 15
+
+
+def test_finer_groups_find_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {tuple(r) for r in simhash.near_duplicates(docs).collect()}
+    monkeypatch.setattr(simhash, "masks", lambda n, of=simhash.masks: of(1 << 24))
+    assert {tuple(r) for r in simhash.near_duplicates(docs).collect()} == got
