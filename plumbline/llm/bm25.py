@@ -38,7 +38,7 @@ K = 10
 K1, B = 1.2, 0.75
 RANGE = 64  # documents
 FREQUENT = 16  # a term in more than one of so many documents of a shard has range maxima
-SHARD_DOCS, SHARD_CHARS = 8192, 12_000_000
+SHARD_DOCS, SHARD_CHARS = 8192, 6_000_000
 BLOCK_QUERIES, AT_ONCE = 512, 128  # of a task, on average; of a task's inner step
 FACTOR = 8  # between levels of shards
 SLACK = 1 - 1e-9  # sums differ in their last digits
@@ -48,7 +48,7 @@ WORD = re.compile(r"[^\W_]+")
 
 def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, count), sorted by term and text, and the texts' lengths in words. Terms are XXH64 of the words."""
-    parts, lens = [(np.zeros(0, np.int64),) * 3], np.zeros(len(texts), np.int64)
+    parts, lens = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32))], np.zeros(len(texts), np.int64)
     for begin, end in slices(texts):  # words as strings take many times their length
         lists = [WORD.findall(t.lower()) if t else [] for t in texts[begin:end]]
         lens[begin:end] = [len(x) for x in lists]
@@ -57,7 +57,7 @@ def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             codes, unique = pd.factorize(np.array(flat, dtype=object))
             hashes = np.array([xxhash.xxh64_intdigest(w) for w in unique], np.uint64).view(np.int64)
             joint, count = np.unique(codes * (end - begin) + np.repeat(np.arange(end - begin), lens[begin:end]), return_counts=True)
-            parts.append((begin + joint % (end - begin), hashes[joint // (end - begin)], count))
+            parts.append(((begin + joint % (end - begin)).astype(np.int32), hashes[joint // (end - begin)], count.astype(np.int32)))
     text, term, count = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((text, term))
     return text[order], term[order], count[order], lens
