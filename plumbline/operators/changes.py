@@ -43,8 +43,37 @@ def index_delta(stored: DataFrame, chunks: DataFrame, doc: str, text: str) -> Da
     return both.select(doc, F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").when(F.col("old") == F.col("new"), "unchanged").otherwise("replace").alias("action"))
 
 
-def idempotent(requests: DataFrame, keys: list[str], at: str, ttl_seconds: int) -> DataFrame:
-    """Requests that are not repeats: no other with their key in the time before."""
-    last = F.lag(F.unix_micros(F.col(at).cast("timestamp"))).over(W.partitionBy(*keys).orderBy(at))
-    now = F.unix_micros(F.col(at).cast("timestamp"))
-    return requests.where(F.col(at).isNotNull()).withColumn("__last", last).where(F.col("__last").isNull() | (now - F.col("__last") > ttl_seconds * 1_000_000)).drop("__last")
+def idempotent(requests: DataFrame, keys: list[str], at: str, ttl_seconds: int, tiebreak: str) -> DataFrame:
+    """Requests that create something: no request of their key that did so lies within the time before.
+
+    A repeat creates nothing and so does not prolong the time. A key's requests are folded in
+    order (of equal times by tiebreak); a key's requests within one time to live meet in a task.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = requests.where(F.col(at).isNotNull())
+    # A pause longer than the time to live starts anew, so a key is folded run by run.
+    order = W.partitionBy(*keys).orderBy("__at", tiebreak)
+    runs = rows.select(*keys, micros.alias("__at"), tiebreak).withColumn("__gap", F.coalesce(F.col("__at") - F.lag("__at").over(order) > ttl_seconds * 1_000_000, F.lit(True)))
+    runs = runs.withColumn("__run", F.sum(F.col("__gap").cast("int")).over(order))
+    listed = runs.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(F.struct("__at", tiebreak))).alias("x"))
+    kind = f"struct<last: bigint, kept: array<{requests.schema[tiebreak].dataType.simpleString()}>>"
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(kind[kind.index("kept: ") + 6 : -1]).alias("kept"))
+
+    def fold(acc, x):  # noqa: ANN001, ANN202
+        new = acc["last"].isNull() | (x["__at"] - acc["last"] > ttl_seconds * 1_000_000)
+        return F.struct(F.when(new, x["__at"]).otherwise(acc["last"]).alias("last"), F.when(new, F.concat(acc["kept"], F.array(x[tiebreak]))).otherwise(acc["kept"]).alias("kept"))
+
+    kept = listed.select(*keys, F.explode(F.aggregate("x", start, fold)["kept"]).alias(tiebreak))
+    return rows.join(kept, [*keys, tiebreak], "left_semi")
+
+
+def regenerated(reports: DataFrame, asked: DataFrame, id_of: Column) -> DataFrame:
+    """New report rows for those asked to be made again: a copy with a new id and its origin; the old rows stay as they are."""
+    again = reports.join(asked.select("report_id").distinct(), "report_id", "left_semi")
+    return again.withColumn("origin_id", F.col("report_id")).withColumn("report_id", id_of).withColumn("status", F.lit("QUEUED"))
+
+
+def chunk_ids(rows: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
+    """rows with a client-made id from their key, so that the tables that refer to each other can be written apart and again."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in keys])
+    return rows.withColumn(name, F.substring(F.sha2(text, 256), 1, 32))

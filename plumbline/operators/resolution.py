@@ -4,35 +4,69 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import jaccard, same_unit
 
-SAME, CLOSE, GREY = 0.999, 0.85, 0.45
+CLOSE, GREY = 0.85, 0.45
 LARGEST = 8  # members of a group that is believed
 
 
-def blocked_pairs(rows: DataFrame, block: list[str], pos: str, grams: str, surface: str, price: str, unit: str | None = None, specific: str | None = None, rooms: str | None = None) -> DataFrame:
+def blocked_pairs(rows: DataFrame, block: list[str], pos: str, key: str, grams: str, surface: str, price: str, unit: str | None = None, specific: str | None = None, rooms: str | None = None) -> DataFrame:
     """Pairs (a before b) of a block with their similarity and layer: layer1, layer2 or grey.
 
-    Keys and trigram sets are columns made once for each row; the join is on the block, and
-    the tolerances are relative to a. Different units are no pair in any layer; the same
-    unit under the same key is layer1 outright if it is specific (a flat, not only a floor)
-    in both. Known rooms must be equal in layer1; 0 is unknown. Without the columns nothing is.
+    Keys (block key of the address) and their trigram sets are columns made once for each row;
+    tolerances are relative to a. Different units are no pair in any layer; the same unit under
+    the same key is layer1 outright if it is specific (a flat, not only a floor) in both, whatever
+    surface and price say. Else layer1 is the same key, 2 square metres, equal rooms where both
+    are known (0 is unknown) and 5 % of the price; layer2 is a similar key, 10 % and 5 %; without
+    surface or price neither. The trigrams are compared last, and only of pairs that the
+    cheap tests leave. Without the unit columns units are unknown.
     """
-    rows = rows.select(*block, *[F.col(c).alias(c) for c in (pos, grams, surface, price)], (F.col(unit) if unit else F.lit(None).cast("string")).alias("_unit"), (F.col(specific) if specific else F.lit(False)).alias("_specific"), (F.col(rooms) if rooms else F.lit(0)).alias("_rooms"))
-    names = (pos, grams, surface, price, "_unit", "_specific", "_rooms")
-    a = rows.select(*block, *[F.col(c).alias(f"a_{c}") for c in names])
-    b = rows.select(*block, *[F.col(c).alias(f"b_{c}") for c in names])
-    pairs = a.join(b, block).where(F.col(f"a_{pos}") < F.col(f"b_{pos}")).withColumn("sim", F.round(jaccard(F.col(f"a_{grams}"), F.col(f"b_{grams}")), 6))
-    ds = F.abs(F.col(f"a_{surface}") - F.col(f"b_{surface}"))
-    dp = F.abs(F.col(f"a_{price}") - F.col(f"b_{price}")) / F.col(f"a_{price}")
-    share = ds / F.col(f"a_{surface}")
-    same = same_unit(F.col("a__unit"), F.col("b__unit"))
-    outright = same & F.col("a__specific") & F.col("b__specific")
-    rooms_fit = F.coalesce((F.col("a__rooms") == 0) | (F.col("b__rooms") == 0) | (F.col("a__rooms") == F.col("b__rooms")), F.lit(True))
-    layer = F.when(~same, None).when((F.col("sim") >= SAME) & outright, "layer1").when((F.col("sim") >= SAME) & (ds <= 2) & rooms_fit & (dp <= 0.05), "layer1").when((F.col("sim") >= CLOSE) & (share <= 0.10) & (dp <= 0.05), "layer2").when((F.col("sim") >= GREY) & ~F.coalesce(share > 0.25, F.lit(False)), "grey")
-    return pairs.withColumn("layer", layer).where("layer is not null").select(F.col(f"a_{pos}").alias("a"), F.col(f"b_{pos}").alias("b"), "sim", "layer")
+    none = F.lit(None).cast("string")
+    rows = rows.select(*block, *[F.col(c).alias(n) for c, n in ((pos, "_pos"), (key, "_key"), (grams, "_grams"), (surface, "_s"), (price, "_p"))], (F.col(unit) if unit else none).alias("_unit"), (F.col(specific) if specific else F.lit(False)).alias("_specific"), (F.col(rooms) if rooms else F.lit(0)).alias("_rooms"))
+    names = ("_pos", "_key", "_grams", "_s", "_p", "_unit", "_specific", "_rooms")
+    a = rows.select(*block, *[F.col(c).alias(f"a{c}") for c in names])
+    b = rows.select(*block, *[F.col(c).alias(f"b{c}") for c in names])
+    known = lambda c: F.coalesce(c, F.lit(False))
+    gap = F.abs(F.col("a_s") - F.col("b_s"))
+    share = F.when(F.col("a_s") > 0, gap / F.col("a_s"))
+    priced = known(F.when(F.col("a_p") != 0, F.abs(F.col("a_p") - F.col("b_p")) / F.col("a_p")) <= 0.05)
+    same = same_unit(F.col("a_unit"), F.col("b_unit"))
+    other_unit = known(~same)
+    one_key = F.col("a_key") == F.col("b_key")
+    outright = known(same) & F.col("a_specific") & F.col("b_specific")
+    rooms_fit = known((F.col("a_rooms") == 0) | (F.col("b_rooms") == 0) | (F.col("a_rooms") == F.col("b_rooms"))) | F.col("a_rooms").isNull() | F.col("b_rooms").isNull()
+    far = known(share > 0.25)
+    pairs = a.join(b, block).where((F.col("a_pos") < F.col("b_pos")) & ~other_unit & (~far | (one_key & outright)))
+    # One struct, so that the similarity is computed once for each pair that is left.
+    judged = pairs.select("*", F.explode(F.array(F.round(F.when(one_key, 1.0).otherwise(jaccard(F.col("a_grams"), F.col("b_grams"))), 6))).alias("sim"))
+    first = one_key & (outright | (known(gap <= 2) & rooms_fit & priced))
+    layer = F.when(first, "layer1").when((F.col("sim") >= CLOSE) & known(share <= 0.10) & priced, "layer2").when((F.col("sim") >= GREY) & ~far, "grey")
+    return judged.withColumn("layer", layer).where("layer is not null").select(F.col("a_pos").alias("a"), F.col("b_pos").alias("b"), "sim", "layer")
+
+
+def decided(pairs: DataFrame, verdicts: DataFrame, group: str, most: int = 15) -> DataFrame:
+    """Pairs that count as the same: layers 1 and 2, and the grey pairs that a judge was asked and said `mismo`.
+
+    pairs(group, a, b, sim, layer), verdicts(a, b, verdict: mismo, distinto or no_se). Of a group's
+    grey pairs the `most` likest are asked (ties: smaller ids); method is LLM where a judge decided.
+    """
+    asked = F.row_number().over(W.partitionBy(group, "layer").orderBy(F.desc("sim"), "a", "b"))
+    grey = pairs.where(F.col("layer") == "grey").withColumn("n", asked).where(F.col("n") <= most).drop("n")
+    said = grey.join(verdicts.where(F.col("verdict") == "mismo").select("a", "b").distinct(), ["a", "b"]).withColumn("method", F.lit("LLM"))
+    sure = pairs.where(F.col("layer") != "grey").withColumn("method", F.when(F.col("layer") == "layer1", "EXACT_ADDR").otherwise("FUZZY"))
+    return sure.unionByName(said.select(*sure.columns))
+
+
+def labelled(clusters: DataFrame, edges: DataFrame) -> DataFrame:
+    """member, cluster, method of groups: LLM if a judge decided any pair inside, else FUZZY if any was fuzzy, else EXACT_ADDR."""
+    a = clusters.select(F.col("member").alias("a"), F.col("cluster").alias("ca"))
+    b = clusters.select(F.col("member").alias("b"), F.col("cluster").alias("cb"))
+    inside = edges.join(a, "a").join(b, "b").where("ca = cb").groupBy(F.col("ca").alias("cluster"))
+    rank = F.when(F.col("method") == "LLM", 3).when(F.col("method") == "FUZZY", 2).otherwise(1)
+    return clusters.join(inside.agg(F.max_by("method", rank).alias("method")), "cluster", "left").select("member", "cluster", "method")
 
 
 def cliques(edges: DataFrame, largest: int = LARGEST) -> DataFrame:
@@ -50,12 +84,13 @@ def cliques(edges: DataFrame, largest: int = LARGEST) -> DataFrame:
             near.setdefault(b, set()).add(a)
         order = sorted(near, key=lambda x: (-len(near[x]), x))
         used, out = set(), []
+        place = {x: i for i, x in enumerate(order)}
         for seed in order:
             if seed in used:
                 continue
             group = [seed]
-            for x in order:
-                if x not in used and x != seed and near[x].issuperset(group):
+            for x in sorted(near[seed] - used, key=place.__getitem__):
+                if near[x].issuperset(group):
                     group.append(x)
             used.update(group)
             if 1 < len(group) <= largest:

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import math
+from collections.abc import Iterator
+from datetime import datetime
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,9 +20,15 @@ def unknown_or_between(value: Column, lo: Column, hi: Column) -> Column:
 
 
 def hard_filter(rows: DataFrame, as_of: str, days: int) -> DataFrame:
-    """Active sales in USD with a price, seen in the last days, canonical or not clustered."""
+    """Active sales in USD with a price that is shown, seen in the last days, canonical or not clustered."""
     since = F.date_sub(F.lit(as_of).cast("date"), days)
-    return rows.where((F.col("active")) & (F.col("currency") == "USD") & F.col("price").isNotNull() & (F.col("last_seen") > since) & (F.col("canonical_id").isNull() | (F.col("canonical_id") == F.col("listing_id"))))
+    shown = (F.col("operation") == "SALE") & (F.col("currency") == "USD") & ~F.coalesce("price_on_request", F.lit(False)) & F.col("price").isNotNull()
+    return rows.where(F.col("active") & shown & (F.col("last_seen") > since) & (F.col("canonical_id").isNull() | (F.col("canonical_id") == F.col("listing_id"))))
+
+
+def flagged(flag: str, flags: Column) -> Column:
+    """The flag is among a row's flags; no flags: false."""
+    return F.coalesce(F.array_contains(flags, flag), F.lit(False))
 
 
 def assert_nested(rungs: list[tuple]) -> None:
@@ -46,9 +59,26 @@ def first_step(pairs: DataFrame, rungs: list[tuple], as_of: str) -> DataFrame:
     return pairs.withColumn("step", step).where("step is not null")
 
 
-def ladder(pairs: DataFrame, subject: str, rungs: list[tuple], as_of: str, target: int, cap: int) -> DataFrame:
-    """Per subject the step used (first that reaches target, else the first with most) and its newest cap listings."""
+def in_scope(subjects: DataFrame, rows: DataFrame, reach: DataFrame) -> DataFrame:
+    """Pairs of a subject and the listings of the areas that its area reaches, with is_near.
+
+    subjects(subject_id, s_area, ...), rows(area_id, ...), reach(area_id, other, scope) from
+    lookup.scopes(). The join is on the area, so an area's listings meet the subjects around it only.
+    """
+    near = reach.select(F.col("area_id").alias("s_area"), F.col("other").alias("area_id"), (F.col("scope") != "wide").alias("is_near"))
+    return subjects.join(near, "s_area").join(rows, "area_id")
+
+
+def ladder(pairs: DataFrame, subject: str, rungs: list[tuple], as_of: str, target: int, cap: int, best: int | None = None) -> DataFrame:
+    """Per subject the step used (first that reaches target, else the first with most) and its newest cap listings.
+
+    Counts are taken after the cap. Of a subject's pairs of one step only the newest `cap` can be
+    among its newest, so the rest is dropped before anything is counted or sorted by subject.
+    With best, only so many of them come out (the pool was `cap`).
+    """
     pairs = first_step(pairs, rungs, as_of)
+    order = [F.desc("last_seen"), F.col("listing_id")]
+    pairs = pairs.withColumn("__n", F.row_number().over(W.partitionBy(subject, "step").orderBy(*order))).where(F.col("__n") <= cap).drop("__n")
     by_step = pairs.groupBy(subject).agg(*[F.least(F.count_if(F.col("step") <= i), F.lit(cap)).alias(f"n{i}") for i in range(len(rungs))])
     most = F.greatest(*[F.col(f"n{i}") for i in range(len(rungs))]) if len(rungs) > 1 else F.col("n0")
     chosen = F.lit(len(rungs) - 1)
@@ -57,8 +87,37 @@ def ladder(pairs: DataFrame, subject: str, rungs: list[tuple], as_of: str, targe
     for i in reversed(range(len(rungs))):
         chosen = F.when(F.col(f"n{i}") >= target, F.lit(i)).otherwise(chosen)
     by_step = by_step.select(subject, chosen.alias("used_step"))
-    newest = F.row_number().over(W.partitionBy(subject).orderBy(F.desc("last_seen"), "listing_id"))
-    return pairs.join(by_step, subject).where("step <= used_step").withColumn("place", newest).where(F.col("place") <= cap)
+    newest = F.row_number().over(W.partitionBy(subject).orderBy(*order))
+    return pairs.join(by_step, subject).where("step <= used_step").withColumn("place", newest).where(F.col("place") <= (best or cap))
+
+
+def by_score(pool: DataFrame, scores: DataFrame, subject: str, cut: int = 60) -> DataFrame:
+    """A ladder's pool in the order of a score (four digits), those without one after them by recency, cut at `cut`.
+
+    pool: subject, listing_id, place (by recency); scores: subject, listing_id, score.
+    """
+    rows = pool.join(scores.select(subject, "listing_id", "score"), [subject, "listing_id"], "left")
+    order = [F.desc(F.coalesce("score", F.lit(-1.0))), F.col("place")]
+    return rows.withColumn("new_place", F.row_number().over(W.partitionBy(subject).orderBy(*order))).where(F.col("new_place") <= cut).withColumn("score", F.bround("score", 4))
+
+
+def closest_by_surface(cases: DataFrame, pool: DataFrame, k: int, share: float = 0.3, delta: int = 1) -> DataFrame:
+    """case_id, ref_id, pos and the columns of both: each case's k comparables of its area that are closest in surface.
+
+    cases(case_id, area_id, c_surface, c_rooms), pool(ref_id, area_id, surface, rooms): surfaces
+    within the share, rooms within delta or unknown, not the case itself; ties by ref_id. Pool rows
+    with one area, surface and rooms are equally close to any case, so k + 1 of each are
+    enough, whatever the size of an area. The rest is an equi-join on area and a band of surfaces.
+    """
+    same = W.partitionBy("area_id", "surface", "rooms").orderBy("ref_id")
+    few = pool.where("surface > 0").withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= k + 1).drop("__n")
+    width = math.log((1 + share) / (1 - share)) / 2
+    band = lambda s: F.floor(F.log(s) / width)
+    c = cases.where("c_surface > 0").withColumn("__band", F.explode(F.sequence(band(F.col("c_surface") * (1 - share)) - 1, band(F.col("c_surface") * (1 + share)) + 1)))
+    rooms = F.col("rooms").isNull() | F.col("c_rooms").isNull() | (F.abs(F.col("rooms") - F.col("c_rooms")) <= delta)
+    pairs = c.join(few.withColumn("__band", band(F.col("surface"))), ["area_id", "__band"]).drop("__band")
+    pairs = pairs.where((F.col("case_id") != F.col("ref_id")) & F.col("surface").between(F.col("c_surface") * (1 - share), F.col("c_surface") * (1 + share)) & rooms)
+    return top_k(pairs, "case_id", [F.abs(F.col("surface") - F.col("c_surface")), F.col("ref_id")], k)
 
 
 def reciprocal_rank_fusion(rankings: DataFrame, query: str, doc: str, k: int = 60) -> DataFrame:
@@ -66,9 +125,123 @@ def reciprocal_rank_fusion(rankings: DataFrame, query: str, doc: str, k: int = 6
     return rankings.groupBy(query, doc).agg(F.sum(1.0 / (k + F.col("pos"))).alias("rrf"))
 
 
+def _packed(rows: DataFrame, names: list[str], size: int = 2048) -> DataFrame:
+    """Runs of rows as one row each: `first` and `second` (packed longs) and `matrix` (packed unit vectors), dim.
+
+    Vectors that are null, zero or have a null or non-finite component are left out.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                by: dict[int, list] = {}
+                for q, d, v in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    by.setdefault(len(v), []).append((q, d, v))
+                for dim, found in by.items():
+                    m = np.array([v for *_, v in found], float)
+                    m /= np.sqrt((m * m).sum(axis=1))[:, None]
+                    packed = [np.array([x[i] for x in found], "<i8").tobytes() for i in (0, 1)] + [m.tobytes()]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in packed), pa.array([dim])], names=["first", "second", "matrix", "dim"])
+
+    v = F.col(names[2]).cast("array<double>")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    kept = rows.where(fine).select(F.col(names[0]).cast("long"), F.col(names[1]).cast("long"), v.alias("v"))
+    return kept.mapInArrow(pack, "first binary, second binary, matrix binary, dim long")
+
+
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """q, d, cos, pos: per query the k documents with the best cosine of any of their chunks, ties by d.
+
+    queries(q, vector), chunks(d, chunk, vector): a document's score is the largest of its chunks'.
+    Both sides are packed into blocks where they lie; a task multiplies a block of queries with a
+    block of chunks and returns each query's k best documents of that block (a document's best
+    chunk is in some block, so none is missed), and these are merged. Vectors of other lengths
+    do not meet; a query is not its own answer.
+    """
+    a = _packed(queries.select("q", F.lit(0).alias("zero"), "vector"), ["q", "zero", "vector"]).select(F.col("first").alias("q"), F.col("matrix").alias("qm"), F.col("dim").alias("q_dim"))
+    b = _packed(chunks, ["d", "chunk", "vector"]).select(F.col("first").alias("d"), F.col("matrix").alias("dm"), "dim")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, d = np.frombuffer(row["q"], "<i8"), np.frombuffer(row["d"], "<i8")
+                cos = np.frombuffer(row["qm"]).reshape(len(q), -1) @ np.frombuffer(row["dm"]).reshape(len(d), -1).T
+                order = np.argsort(d, kind="stable")
+                docs, begin = np.unique(d[order], return_index=True)
+                cos = np.round(np.maximum.reduceat(cos[:, order], begin, axis=1), digits)
+                cos[q[:, None] == docs[None, :]] = -9.0
+                low = np.partition(cos, -k, axis=1)[:, -k] if len(docs) > k else np.full(len(q), -2.0)
+                x, y = np.nonzero((cos >= low[:, None]) & (cos > -2.0))
+                yield pa.RecordBatch.from_arrays([pa.array(q[x]), pa.array(docs[y]), pa.array(cos[x, y])], names=["q", "d", "cos"])
+
+    # Stated queries, in blocks, against all rows.
+    found = b.join(a.hint("shuffle_replicate_nl"), F.col("dim") == F.col("q_dim")).select("q", "qm", "d", "dm").mapInArrow(best, "q long, d long, cos double")
+    return top_k(found.groupBy("q", "d").agg(F.max("cos").alias("cos")), "q", [F.desc("cos"), F.col("d")], k)
+
+
 def cosine(a: Column, b: Column) -> Column:
+    """For pairs that are given; null if a vector is null or zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def lexical_scores(queries: DataFrame, chunks: DataFrame, most: int = 40) -> DataFrame:
+    """q, d, score: what the cover density of an OR of the query's words gives, best chunk of each document.
+
+    queries(q, text), chunks(d, chunk, text). A query is its first `most` distinct words of three
+    letters or digits or more. Under OR each matching place of a chunk is a cover of its own and
+    weighs a tenth, and r / (r + 1) of their sum is the score; only chunks that match have one.
+    """
+    words = lambda text: F.regexp_extract_all(F.lower(text), F.lit("[a-záéíóúñü0-9]{3,}"), F.lit(0))
+    q = queries.select("q", F.explode(F.slice(F.array_distinct(words(F.col("text"))), 1, most)).alias("w"))
+    c = chunks.select("d", "chunk", F.explode(words(F.col("text"))).alias("w")).groupBy("d", "chunk", "w").agg(F.count("*").alias("n"))
+    sums = c.join(q, "w").groupBy("q", "d", "chunk").agg((F.sum("n") * 0.1).alias("r"))
+    return sums.groupBy("q", "d").agg(F.max(F.col("r") / (F.col("r") + 1)).alias("score"))
+
+
+def scored(mode: str, dense: DataFrame, lexical: DataFrame, k: int = 60) -> DataFrame:
+    """q, d, score of a mode: `denso` (cosine), `lexico`, or `hibrido` (reciprocal ranks of both). dense(q, d, cos), lexical(q, d, score)."""
+    if mode == "denso":
+        return dense.select("q", "d", F.col("cos").alias("score"))
+    if mode == "lexico":
+        return lexical.select("q", "d", "score")
+    if mode != "hibrido":
+        raise ValueError(f"no such mode: {mode}")
+    place = lambda df, score: df.select("q", "d", F.row_number().over(W.partitionBy("q").orderBy(F.desc(score), "d")).alias("pos"))
+    return reciprocal_rank_fusion(place(dense, "cos").unionByName(place(lexical, "score")), "q", "d", k).withColumnRenamed("rrf", "score")
+
+
+# Words that a question shares with every report.
+STOPWORDS = [
+    "que", "cual", "cuál", "como", "cómo", "por", "para", "los", "las", "una", "uno", "del", "con", "sin", "sobre", "entre", "hay", "esta", "está", "este", "esa", "ese", "son", "fue",
+    "informe", "propiedad", "aviso", "avisos", "comparable", "valor", "precio", "usd", "cuanto", "cuánto", "cuantos", "cuántos", "tiene", "tienen", "puede", "más", "mas",
+]
+
+
+def question_overlap(question: Column, fragment: Column) -> Column:
+    """Share of a question's words, stopwords apart, that a fragment has."""
+    tokens = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-záéíóúñü0-9]{3,}"), F.lit(0)))
+    asked = F.array_except(tokens(question), F.array(*[F.lit(w) for w in STOPWORDS]))
+    return F.size(F.array_intersect(asked, tokens(fragment))) / F.greatest(F.size(asked), F.lit(1))
+
+
+def hybrid(pairs: DataFrame, question: str, fragment: str, k: int = 8) -> DataFrame:
+    """question, fragment, pos, rrf of the k best fragments of each question, and best_cos and best_lexical over all of them.
+
+    pairs(question, fragment, cos, lexical): of one report; a lexical score of 0 has no rank.
+    """
+    place = lambda score: F.row_number().over(W.partitionBy(question).orderBy(F.desc(score), fragment))
+    ranked = pairs.withColumn("dense_pos", place("cos")).withColumn("lexical_pos", F.when(F.col("lexical") > 0, place("lexical")))
+    rrf = 1.0 / (60 + F.col("dense_pos")) + F.coalesce(1.0 / (60 + F.col("lexical_pos")), F.lit(0.0))
+    whole = W.partitionBy(question)
+    ranked = ranked.withColumns({"rrf": F.round(rrf, 9), "best_cos": F.max("cos").over(whole), "best_lexical": F.max("lexical").over(whole)})
+    return top_k(ranked, question, [F.desc("rrf"), F.col(fragment)], k)
+
+
+def refused(best_cos: Column, best_lexical: Column, cos: float = 0.40, lexical: float = 0.34) -> Column:
+    """No evidence by either measure: no answer is even tried."""
+    return (best_cos < cos) & (best_lexical < lexical)
 
 
 def top_k(rows: DataFrame, query: str, order: list[Column], k: int) -> DataFrame:
@@ -76,13 +249,24 @@ def top_k(rows: DataFrame, query: str, order: list[Column], k: int) -> DataFrame
     return rows.withColumn("pos", F.row_number().over(W.partitionBy(query).orderBy(*order))).where(F.col("pos") <= k)
 
 
-def best_chunk(rows: DataFrame, query: str, doc: str, score: str) -> DataFrame:
-    return rows.groupBy(query, doc).agg(F.max(score).alias(score))
-
-
 def page(rows: DataFrame, at: str, key: str, size: int, after: tuple | None = None) -> DataFrame:
     """Keyset page, newest first: size + 1 rows (the extra one tells that there are more)."""
     if after is not None:
         when, unique = (F.lit(x).cast(rows.schema[c].dataType) for x, c in zip(after, (at, key), strict=True))
         rows = rows.where(F.struct(at, key) < F.struct(when, unique))
     return rows.orderBy(F.desc(at), F.desc(key)).limit(size + 1)
+
+
+def cursor(at: Column, key: Column) -> Column:
+    """Where a page ended, as URL-safe base64 of `time|key`."""
+    text = F.concat_ws("|", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), key.cast("string"))
+    return F.regexp_replace(F.translate(F.base64(text.cast("binary")), "+/", "-_"), "=+$", "")
+
+
+def read_cursor(text: str) -> tuple[str, str]:
+    """The time and key of a cursor; anything else is a ValueError."""
+    try:
+        at, key = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)).decode().split("|")
+        return datetime.fromisoformat(at).isoformat(sep=" "), key
+    except ValueError as e:
+        raise ValueError(f"not a cursor: {text!r}") from e

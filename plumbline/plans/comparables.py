@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.config import RUNGS
 from plumbline.operators import evaluation as ev
+from plumbline.operators import lookup
 from plumbline.operators import market as mk
 from plumbline.operators import retrieval as rt
 from plumbline.operators import rules
 from plumbline.operators import valuation as v
 
 from .base import Registry
-from .surrogates import AS_OF, LISTINGS_SQL, listings, table
-from .valuation import ADJUSTED_SQL, comparables
+from .surrogates import AREAS_SQL, AS_OF, LISTINGS_SQL, areas, listings, table
+from .valuation import engine_sql, valued_sql
 
 R = Registry()
+HARD_SQL = "active AND operation = 'SALE' AND currency = 'USD' AND NOT price_on_request AND price IS NOT NULL"
 
 CANON_SQL = LISTINGS_SQL + f""", canon AS (SELECT *, CASE order_id % 5 WHEN 0 THEN listing_id WHEN 1 THEN 'other' END AS canonical_id,
   CASE WHEN order_id % 17 = 0 THEN ' ' ELSE 'Calle ' || (order_id % 100) END AS address,
-  round(CASE WHEN currency = 'USD' AND surface > 0 THEN price / surface END, 0) AS unit, DATE '{AS_OF}' AS as_of FROM listings)"""
+  round_even(CASE WHEN currency = 'USD' AND surface > 0 THEN price / surface END, 0) AS unit, DATE '{AS_OF}' AS as_of FROM listings)"""
 
 
 def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +31,11 @@ def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).withColumns({
         "canonical_id": F.when(o % 5 == 0, F.col("listing_id")).when(o % 5 == 1, "other"),
         "address": F.when(o % 17 == 0, " ").otherwise(F.concat(F.lit("Calle "), (o % 100).cast("string"))),
-        "unit": F.round(F.when((F.col("currency") == "USD") & (F.col("surface") > 0), F.col("price") / F.col("surface")), 0),
+        "unit": F.bround(F.when((F.col("currency") == "USD") & (F.col("surface") > 0), F.col("price") / F.col("surface")), 0),
     })
 
 
-@R.query("WITH " + CANON_SQL + """ SELECT listing_id, area_id, surface, rooms FROM canon WHERE active AND currency = 'USD' AND price IS NOT NULL AND last_seen > as_of - 365
+@R.query("WITH " + CANON_SQL + """ SELECT listing_id, area_id, surface, rooms FROM canon WHERE active AND operation = 'SALE' AND currency = 'USD' AND NOT price_on_request AND price IS NOT NULL AND last_seen > as_of - 365
 AND (canonical_id IS NULL OR canonical_id = listing_id) AND (surface IS NULL OR surface BETWEEN 14 AND 26) AND (rooms IS NULL OR rooms BETWEEN 2 AND 4)""")
 def hard_filter_nullable_ranges(spark, sf_dir):
     rows = rt.hard_filter(canon(spark, sf_dir), AS_OF, 365)
@@ -40,9 +43,26 @@ def hard_filter_nullable_ranges(spark, sf_dir):
     return rows.where(fits).select("listing_id", "area_id", "surface", "rooms")
 
 
+@R.query("WITH " + CANON_SQL + " SELECT listing_id FROM canon WHERE list_contains(quality_flags, 'ficha_completa') AND NOT list_contains(quality_flags, 'surface_total_only')")
+def flag_membership(spark, sf_dir):
+    flags = F.col("quality_flags")
+    return canon(spark, sf_dir).where(rt.flagged("ficha_completa", flags) & ~rt.flagged("surface_total_only", flags)).select("listing_id")
+
+
+DISTANCE_SQL = "CAST(floor(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))) AS BIGINT)"
+REACH_SQL = AREAS_SQL + f""", far AS (SELECT a.area_id, b.area_id AS other, {DISTANCE_SQL} AS metres FROM areas a JOIN areas b ON a.lat IS NOT NULL AND b.lat IS NOT NULL),
+reach AS (SELECT area_id, other, metres, CASE WHEN area_id = other THEN 'self' WHEN metres <= 3500 THEN 'near' ELSE 'wide' END AS scope FROM far WHERE metres <= 7000 UNION ALL SELECT area_id, area_id, 0, 'self' FROM areas WHERE lat IS NULL)"""
+
+
+@R.query("WITH " + REACH_SQL + " SELECT * FROM reach")
+def area_scopes(spark, sf_dir):
+    """Which areas each scope of the relaxation reaches."""
+    return lookup.scopes(areas(spark, sf_dir), "area_id")
+
+
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    return n.select(F.col("n_nationkey").alias("subject_id"), F.col("n_regionkey").alias("region_id"), (F.col("n_nationkey") % 20 + 15).cast("double").alias("s_surface"), (F.col("n_nationkey") % 4 + 1).alias("s_rooms"))
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(n.alias("subject_id"), n.alias("s_area"), (n % 20 + 15).cast("double").alias("s_surface"), (n % 4 + 1).alias("s_rooms"))
 
 
 STEPS_SQL = " ".join(
@@ -52,17 +72,35 @@ STEPS_SQL = " ".join(
 )
 
 
-@R.query("WITH " + CANON_SQL + f""", pairs AS (SELECT n_nationkey AS subject_id, n_nationkey % 20 + 15::DOUBLE AS s_surface, n_nationkey % 4 + 1 AS s_rooms, canon.*, area_id = n_nationkey AS is_near, condition IS NOT NULL AS detailed
-  FROM canon JOIN nation ON n_regionkey = region_id WHERE active AND currency = 'USD' AND price IS NOT NULL AND last_seen > as_of - 180 AND (canonical_id IS NULL OR canonical_id = listing_id)),
+def ladder_sql(cap: int) -> str:
+    """CTEs up to ranked(subject_id, listing_id, step, used_step, place)."""
+    return "WITH " + CANON_SQL + ", " + REACH_SQL + f""", pairs AS (SELECT n_nationkey AS subject_id, n_nationkey % 20 + 15::DOUBLE AS s_surface, n_nationkey % 4 + 1 AS s_rooms, canon.*, scope <> 'wide' AS is_near, list_contains(quality_flags, 'ficha_completa') AS detailed
+  FROM nation JOIN reach ON reach.area_id = n_nationkey JOIN canon ON canon.area_id = reach.other WHERE {HARD_SQL} AND last_seen > as_of - 180 AND (canonical_id IS NULL OR canonical_id = listing_id)),
 st AS (SELECT *, CASE {STEPS_SQL} END AS step FROM pairs),
-counts AS (SELECT subject_id, {", ".join(f"least(count(*) FILTER (step <= {i}), 60) AS n{i}" for i in range(5))} FROM st WHERE step IS NOT NULL GROUP BY subject_id),
+counts AS (SELECT subject_id, {", ".join(f"least(count(*) FILTER (step <= {i}), {cap}) AS n{i}" for i in range(5))} FROM st WHERE step IS NOT NULL GROUP BY subject_id),
 used AS (SELECT subject_id, CASE {" ".join(f"WHEN n{i} >= 25 THEN {i}" for i in range(5))} {" ".join(f"WHEN n{i} = greatest(n0, n1, n2, n3, n4) THEN {i}" for i in range(5))} END AS used_step FROM counts),
-ranked AS (SELECT subject_id, listing_id, step, used_step, row_number() OVER (PARTITION BY subject_id ORDER BY last_seen DESC, listing_id) AS place FROM st JOIN used USING (subject_id) WHERE step <= used_step)
-SELECT * FROM ranked WHERE place <= 60""")
+ranked AS (SELECT subject_id, listing_id, step, used_step, row_number() OVER (PARTITION BY subject_id ORDER BY last_seen DESC, listing_id) AS place FROM st JOIN used USING (subject_id) WHERE step <= used_step)"""
+
+
+def ladder_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rt.hard_filter(canon(spark, sf_dir), AS_OF, 180).withColumn("detailed", rt.flagged("ficha_completa", F.col("quality_flags")))
+    rows = rows.select("listing_id", "area_id", "surface", "rooms", "last_seen", "detailed")
+    return rt.in_scope(subjects(spark, sf_dir), rows, lookup.scopes(areas(spark, sf_dir), "area_id"))
+
+
+@R.query(ladder_sql(60) + " SELECT * FROM ranked WHERE place <= 60")
 def relaxation_ladder(spark, sf_dir):
-    rows = rt.hard_filter(canon(spark, sf_dir), AS_OF, 180)
-    pairs = rows.join(subjects(spark, sf_dir), "region_id").withColumn("is_near", F.col("area_id") == F.col("subject_id")).withColumn("detailed", F.col("condition").isNotNull())
-    return rt.ladder(pairs, "subject_id", RUNGS, AS_OF, 25, 60).select("subject_id", "listing_id", "step", "used_step", "place")
+    return rt.ladder(ladder_pairs(spark, sf_dir), "subject_id", RUNGS, AS_OF, 25, 60).select("subject_id", "listing_id", "step", "used_step", "place")
+
+
+@R.query(ladder_sql(5000) + """, scored AS (SELECT subject_id, listing_id, place, CASE WHEN strpos(listing_id, '7') > 0 THEN (strpos(listing_id, '7') * 37 + subject_id) % 101 / 101 END AS score FROM ranked WHERE place <= 5000),
+o AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY coalesce(score, -1) DESC, place) AS new_place FROM scored) SELECT subject_id, listing_id, new_place, round_even(score, 4) AS score FROM o WHERE new_place <= 60""")
+def semantic_ladder(spark, sf_dir):
+    """The ladder's pool of up to 5,000, ordered by a score that is given; unscored ones follow by recency."""
+    pool = rt.ladder(ladder_pairs(spark, sf_dir), "subject_id", RUNGS, AS_OF, 25, 5000)
+    at = F.instr("listing_id", "7")
+    scores = pool.where(at > 0).select("subject_id", "listing_id", ((at * 37 + F.col("subject_id")) % 101 / 101).alias("score"))
+    return rt.by_score(pool, scores, "subject_id").select("subject_id", "listing_id", "new_place", "score")
 
 
 @R.query("WITH " + CANON_SQL + """ SELECT listing_id, coalesce(condition, nullif(kind, 'PROMO'), 'unknown') AS condition, coalesce(rooms, TRY_CAST(nullif(regexp_extract(kind, '[0-9]+'), '') AS INT)) AS rooms,
@@ -83,7 +121,7 @@ def candidate_projection_fallback(spark, sf_dir):
 DISCARD_SQL = """CASE WHEN price IS NULL THEN 'sin_precio' WHEN currency <> 'USD' THEN 'precio_no_usd' WHEN surface IS NULL THEN 'sin_superficie' WHEN NOT surface BETWEEN 15 AND 2000 THEN 'superficie_implausible'
 WHEN address IS NULL OR trim(address) = '' THEN 'sin_direccion' WHEN NOT price / surface BETWEEN 300 AND 12000 THEN 'usd_m2_fuera_de_rango' END"""
 CURATION_SQL = """CASE WHEN price IS NULL OR price = 0 THEN 'sin_precio' WHEN currency = 'ARS' THEN 'precio_en_ars' WHEN surface IS NULL OR surface < 15 THEN 'sin_superficie' WHEN NOT price / surface BETWEEN 300 AND 12000 THEN 'usd_m2_fuera_de_rango'
-WHEN days > 180 THEN 'aviso_vencido' WHEN upper(trim(address)) = 'CALLE 42' THEN 'auto_referencia' WHEN canonical_id IS NOT NULL AND canonical_id <> listing_id THEN 'duplicado_de_cluster' END"""
+WHEN days > 180 THEN 'aviso_vencido' WHEN upper(trim(address)) IN ('CALLE 42', 'CALLE AL 42') THEN 'auto_referencia' WHEN canonical_id IS NOT NULL AND canonical_id <> listing_id THEN 'duplicado_de_cluster' END"""
 
 
 @R.query("WITH " + CANON_SQL + f" SELECT source, coalesce({DISCARD_SQL}, 'accepted') AS reason, count(*) AS n FROM canon GROUP BY ALL")
@@ -93,7 +131,7 @@ def discard_reason_histogram(spark, sf_dir):
 
 @R.query("WITH " + CANON_SQL + f" SELECT listing_id, {CURATION_SQL} AS reason FROM canon")
 def curation_rules_first_match(spark, sf_dir):
-    return canon(spark, sf_dir).select("listing_id", rules.curation(F.lit("calle 42 ")).alias("reason"))
+    return canon(spark, sf_dir).select("listing_id", rules.curation(F.lit("Calle al 42, ")).alias("reason"))
 
 
 @R.query("WITH " + CANON_SQL + """, m AS (SELECT area_id, count(*) AS n, round(quantile_cont(unit, 0.5), 6) AS median FROM canon GROUP BY area_id)
@@ -102,12 +140,12 @@ def stock_dispersion_by_area(spark, sf_dir):
     return mk.stock(canon(spark, sf_dir), "area_id", "unit")
 
 
-@R.query("""WITH h AS (SELECT user_id, event_type, arg_min(value, ts) AS first, arg_max(value, ts) AS last, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-11' AND value IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+@R.query("""WITH h AS (SELECT user_id, event_type, arg_min(value, (ts, event_id)) AS first, arg_max(value, (ts, event_id)) AS last, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-11' AND value IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
 f AS (SELECT CASE WHEN last < first THEN (first - last) / first * 100 END AS fall FROM h)
 SELECT count(*) AS series, count(fall) AS dropped, round(count(fall) * 100.0 / count(*), 1) AS dropped_pct, round(avg(fall), 1) AS mean_drop_pct FROM f""")
 def price_drops_90d(spark, sf_dir):
-    history = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", F.col("value").alias("price"))
-    return mk.price_drops(history, ["user_id", "event_type"], F.lit("2024-04-10").cast("date"), 90)
+    history = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", F.col("value").alias("price"))
+    return mk.price_drops(history, ["user_id", "event_type"], F.lit("2024-04-10").cast("date"), "event_id", 90)
 
 
 @R.query("WITH " + CANON_SQL + " SELECT area_id, CAST(floor(quantile_cont(days, 0.5)) AS BIGINT) AS median_days, count(*) AS n FROM canon WHERE days >= 0 GROUP BY area_id")
@@ -128,14 +166,17 @@ def latest_index_per_area(spark, sf_dir):
     return mk.latest(index_rows(spark, sf_dir), "area_id", "period", "official", ["c_custkey"])
 
 
-COVERAGE_SQL = "WITH " + CANON_SQL + ", " + INDEX_SQL + """, own AS (SELECT area_id, count(*) AS actives, count(unit) AS usable, round(quantile_cont(unit, 0.5), 0) AS median FROM canon GROUP BY area_id),
+COVERAGE_SQL = "WITH " + CANON_SQL + ", " + INDEX_SQL + """, own AS (SELECT area_id, count(*) AS actives, count(unit) AS usable, round_even(quantile_cont(unit, 0.5), 0) AS median FROM canon GROUP BY area_id),
 c AS (SELECT area_id, actives, usable, median, official, round((median - official) / nullif(official, 0), 4) AS deviation, CASE WHEN usable >= 20 THEN 'OK' WHEN usable >= 5 THEN 'JUSTO' ELSE 'INSUFICIENTE' END AS state FROM own LEFT JOIN idx USING (area_id))"""
 
 
-@R.query(COVERAGE_SQL + " SELECT *, coalesce(abs(deviation) > 0.15, false) AS alert FROM c")
+@R.query(COVERAGE_SQL + """, n AS (SELECT area_id, source, count(*) AS n FROM canon GROUP BY ALL), b AS (SELECT area_id, string_agg(source || '=' || n, ',' ORDER BY source) AS by_source FROM n GROUP BY area_id)
+SELECT c.*, by_source, coalesce(abs(deviation) > 0.15, false) AS alert FROM c JOIN b USING (area_id)""")
 def area_coverage_vs_index(spark, sf_dir):
     official = mk.latest(index_rows(spark, sf_dir), "area_id", "period", "official", ["c_custkey"]).select("area_id", "official")
-    return mk.coverage(canon(spark, sf_dir), "area_id", "unit", official)
+    out = mk.coverage(canon(spark, sf_dir), "area_id", "unit", official, "source")
+    pairs = F.transform(F.map_entries("by_source"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return out.withColumn("by_source", F.array_join(pairs, ","))
 
 
 @R.query(COVERAGE_SQL + " SELECT count(*) AS areas, round(avg((state <> 'INSUFICIENTE')::INT), 4) AS share, avg((state <> 'INSUFICIENTE')::INT) >= 0.7 AS passed, count(*) FILTER (actives >= 40) AS large FROM c")
@@ -162,18 +203,25 @@ def leave_one_out_baseline(spark, sf_dir):
 
 
 CASES_SQL = """cases AS (SELECT * FROM canon WHERE order_id % 20 = 0 AND unit BETWEEN 300 AND 12000),
-near AS (SELECT c.listing_id AS case_id, c.unit AS case_unit, c.area_id, b.listing_id AS ref_id, b.unit, row_number() OVER (PARTITION BY c.listing_id ORDER BY abs(b.surface - c.surface), b.listing_id) AS pos
+near AS (SELECT c.listing_id AS case_id, c.price AS case_price, c.unit AS case_unit, c.area_id AS case_area, c.surface AS subject_surface, c.parking AS subject_parking, c.condition AS subject_condition, c.age_years AS subject_age_years, c.orientation AS subject_orientation,
+    c.floor_number AS subject_floor_number, c.has_elevator AS subject_has_elevator, c.amenities AS subject_amenities, 0 AS subject_step,
+    ((c.condition IS NOT NULL)::INT + (c.orientation IS NOT NULL)::INT + (c.age_years IS NOT NULL)::INT + (c.floor_number IS NOT NULL)::INT) / 4 AS subject_complete,
+    b.*, b.listing_id AS ref_id, row_number() OVER (PARTITION BY c.listing_id ORDER BY abs(b.surface - c.surface), b.listing_id) AS pos
   FROM cases c JOIN canon b ON c.area_id = b.area_id AND c.listing_id <> b.listing_id AND b.surface BETWEEN c.surface * 0.7::DOUBLE AND c.surface * 1.3::DOUBLE AND (b.rooms IS NULL OR c.rooms IS NULL OR abs(b.rooms - c.rooms) <= 1) WHERE b.unit BETWEEN 300 AND 12000),
 top AS (SELECT * FROM near WHERE pos <= 25)"""
+SUBJECT_COLUMNS = ["surface", "parking", "condition", "age_years", "orientation", "floor_number", "has_elevator", "amenities"]
 
 
 def case_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = canon(spark, sf_dir).where("unit between 300 and 12000").select("listing_id", "order_id", "area_id", "surface", "rooms", "unit")
-    cases = rows.where("order_id % 20 = 0").select(F.col("listing_id").alias("case_id"), F.col("unit").alias("case_unit"), "area_id", F.col("surface").alias("c_surface"), F.col("rooms").alias("c_rooms"))
-    pool = rows.withColumnRenamed("listing_id", "ref_id")
-    close = F.col("rooms").isNull() | F.col("c_rooms").isNull() | (F.abs(F.col("rooms") - F.col("c_rooms")) <= 1)
-    pairs = cases.join(pool, "area_id").where((F.col("case_id") != F.col("ref_id")) & F.col("surface").between(F.col("c_surface") * 0.7, F.col("c_surface") * 1.3) & close)
-    return rt.top_k(pairs, "case_id", [F.abs(F.col("surface") - F.col("c_surface")), F.col("ref_id")], 25)
+    """Cases with their comparables, ready for the engine: subject columns of the case, those of the comparable."""
+    rows = canon(spark, sf_dir).where("unit between 300 and 12000")
+    known = sum((F.col(c).isNotNull().cast("int") for c in ("condition", "orientation", "age_years", "floor_number")), F.lit(0)) / 4
+    cases = rows.where("order_id % 20 = 0").select(
+        F.col("listing_id").alias("case_id"), F.col("price").alias("case_price"), F.col("unit").alias("case_unit"), "area_id", F.col("surface").alias("c_surface"), F.col("rooms").alias("c_rooms"),
+        *[F.col(c).alias(f"subject_{c}") for c in SUBJECT_COLUMNS], F.lit(0).alias("subject_step"), known.alias("subject_complete"),
+    )
+    pool = rows.select(F.col("listing_id").alias("ref_id"), "area_id", "rooms", "unit", "price", "currency", "days", "manual", *SUBJECT_COLUMNS)
+    return rt.closest_by_surface(cases, pool, 25)
 
 
 @R.query("WITH " + CANON_SQL + ", " + CASES_SQL + " SELECT case_id, ref_id, pos FROM top")
@@ -181,28 +229,61 @@ def comparable_topk(spark, sf_dir):
     return case_pairs(spark, sf_dir).select("case_id", "ref_id", "pos")
 
 
-BACKTEST_SQL = "WITH " + CANON_SQL + ", " + CASES_SQL + """, e AS (SELECT case_id, any_value(case_unit) AS case_unit, any_value(area_id) AS area_id, count(*) AS n, quantile_cont(unit, 0.5) AS est, round(quantile_cont(unit, 0.25), 6) AS lo, round(quantile_cont(unit, 0.75), 6) AS hi FROM top GROUP BY case_id),
-b AS (SELECT area_id, CASE WHEN n >= 12 THEN 'high' WHEN n >= 8 THEN 'medium' ELSE 'low' END AS confidence, case_unit, CASE WHEN n >= 5 THEN est END AS est, lo, hi FROM e)"""
-METRICS_SQL = """count(*) AS cases, count(est) AS answered, round(count(est) / count(*), 4) AS coverage, round(quantile_cont(round(abs(est - case_unit) / case_unit, 6), 0.5), 4) AS mdape, round(avg(abs(est - case_unit) / case_unit), 4) AS mape,
-round(avg(CASE WHEN est IS NOT NULL THEN (abs(est - case_unit) / case_unit < 0.1)::INT END), 4) AS ppe10, round(avg(CASE WHEN est IS NOT NULL THEN (abs(est - case_unit) / case_unit < 0.2)::INT END), 4) AS ppe20,
-round(avg(CASE WHEN est IS NOT NULL THEN (case_unit BETWEEN lo AND hi)::INT END), 4) AS hit_rate, round(quantile_cont(round((est - case_unit) / case_unit, 6), 0.5), 4) AS bias"""
+BACKTEST_SQL = "WITH " + CANON_SQL + ", " + CASES_SQL + ", " + engine_sql("top", "case_id") + ", " + valued_sql("case_id") + """,
+pool AS (SELECT listing_id, area_id, unit FROM canon WHERE unit BETWEEN 300 AND 12000),
+loo AS (SELECT a.listing_id AS case_id, CASE WHEN count(*) >= 5 THEN quantile_cont(b.unit, 0.5) END AS loo FROM cases a JOIN pool b ON a.area_id = b.area_id AND a.listing_id <> b.listing_id GROUP BY a.listing_id),
+b AS (SELECT c.listing_id AS case_id, c.area_id, c.price AS case_price, coalesce(status, 'sin_comparables') AS status, confidence, value_mid AS est, value_low AS lo, value_high AS hi, loo * c.surface AS baseline FROM cases c LEFT JOIN valued ON valued.case_id = c.listing_id LEFT JOIN loo ON loo.case_id = c.listing_id)"""
+METRICS_SQL = """count(*) AS cases, count(est) AS answered, round(count(est) / count(*), 4) AS coverage, round(quantile_cont(round(abs(est - case_price) / case_price, 6), 0.5), 4) AS mdape, round(avg(abs(est - case_price) / case_price), 4) AS mape,
+round(avg(CASE WHEN est IS NOT NULL THEN (abs(est - case_price) / case_price < 0.1)::INT END), 4) AS ppe10, round(avg(CASE WHEN est IS NOT NULL THEN (abs(est - case_price) / case_price < 0.2)::INT END), 4) AS ppe20,
+round(avg(CASE WHEN est IS NOT NULL THEN (case_price BETWEEN lo AND hi)::INT END), 4) AS hit_rate, round(quantile_cont(round((est - case_price) / case_price, 6), 0.5), 4) AS bias,
+round(quantile_cont(CASE WHEN est IS NOT NULL THEN round(abs(baseline - case_price) / case_price, 6) END, 0.5), 4) AS baseline_mdape, round(avg(CASE WHEN est IS NOT NULL AND baseline IS NOT NULL THEN (abs(baseline - case_price) / case_price < 0.2)::INT END), 4) AS baseline_ppe20"""
 
 
 def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile("unit", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
-    cases = case_pairs(spark, sf_dir).groupBy("case_id").agg(F.first("case_unit").alias("case_unit"), F.first("area_id").alias("area_id"), F.count("*").alias("n"), q.alias("q"))
-    level = F.when(F.col("n") >= 12, "high").when(F.col("n") >= 8, "medium").otherwise("low")
-    return cases.select("case_id", "area_id", level.alias("confidence"), "case_unit", F.when(F.col("n") >= 5, F.col("q")[0]).alias("est"), F.round(F.col("q")[1], 6).alias("lo"), F.round(F.col("q")[2], 6).alias("hi"))
+    """Every case valued by the engine from its comparables, beside the leave-one-out median of its area."""
+    rows = canon(spark, sf_dir).where("unit between 300 and 12000").select("listing_id", "order_id", "area_id", "surface", "price", "unit")
+    valued = v.value(case_pairs(spark, sf_dir), ["case_id"]).withColumnRenamed("case_id", "listing_id")
+    cases = ev.leave_one_out_median(rows, "area_id", "unit").where("order_id % 20 = 0")
+    out = cases.join(valued, "listing_id", "left")
+    return out.select(F.col("listing_id").alias("case_id"), "area_id", F.col("price").alias("case_price"), F.coalesce("status", F.lit("sin_comparables")).alias("status"), "confidence", F.col("value_mid").alias("est"), F.col("value_low").alias("lo"), F.col("value_high").alias("hi"), (F.col("loo") * F.col("surface")).alias("baseline"))
+
+
+@R.query(BACKTEST_SQL + " SELECT case_id, status, est, lo, hi, round(baseline, 4) AS baseline FROM b")
+def backtest_cases(spark, sf_dir):
+    return backtest(spark, sf_dir).select("case_id", "status", "est", "lo", "hi", F.round("baseline", 4).alias("baseline"))
 
 
 @R.query(BACKTEST_SQL + f" SELECT area_id, {METRICS_SQL} FROM b GROUP BY area_id HAVING count(*) >= 5")
 def backtest_metrics(spark, sf_dir):
-    return ev.error_metrics(backtest(spark, sf_dir), ["area_id"], "case_unit", "est", "lo", "hi").where("cases >= 5")
+    return ev.error_metrics(backtest(spark, sf_dir), ["area_id"], "case_price", "est", "lo", "hi", "baseline").where("cases >= 5")
 
 
-@R.query(BACKTEST_SQL + f" SELECT confidence, {METRICS_SQL} FROM b GROUP BY confidence")
+CALIBRATION_SQL = f"""cal AS (SELECT confidence, {METRICS_SQL} FROM b WHERE confidence IS NOT NULL GROUP BY confidence), overall AS (SELECT {METRICS_SQL} FROM b)"""
+
+
+@R.query(BACKTEST_SQL + ", " + CALIBRATION_SQL + " SELECT * FROM cal")
 def calibration_by_confidence(spark, sf_dir):
-    return ev.error_metrics(backtest(spark, sf_dir), ["confidence"], "case_unit", "est", "lo", "hi")
+    return ev.error_metrics(backtest(spark, sf_dir).where("confidence is not null"), ["confidence"], "case_price", "est", "lo", "hi", "baseline")
+
+
+@R.query(BACKTEST_SQL + ", " + CALIBRATION_SQL + """, l AS (SELECT max(mdape) FILTER (confidence = 'ALTA') AS a, max(mdape) FILTER (confidence = 'MEDIA') AS m, max(mdape) FILTER (confidence = 'BAJA') AS z FROM cal)
+SELECT coalesce(mdape < baseline_mdape, false) AS beats_baseline, coalesce(mdape <= 0.15, false) AS mdape_ok, coalesce(ppe20 >= 0.65, false) AS ppe20_ok, coalesce(coverage >= 0.7, false) AS coverage_ok, coalesce(abs(bias) < 0.03, false) AS bias_ok,
+coalesce(a <= m, true) AND coalesce(m <= z, true) AND coalesce(a <= z, true) AS calibrated FROM overall, l""")
+def backtest_success(spark, sf_dir):
+    """Is the baseline beaten, are the marks reached, does more confidence mean less error?"""
+    cases = backtest(spark, sf_dir)
+    whole = ev.error_metrics(cases, [], "case_price", "est", "lo", "hi", "baseline")
+    return ev.success(whole, ev.error_metrics(cases.where("confidence is not null"), ["confidence"], "case_price", "est", "lo", "hi", "baseline"))
+
+
+@R.query(BACKTEST_SQL.replace("SELECT * FROM near WHERE pos <= 25", "SELECT * REPLACE (NULL::VARCHAR AS condition, NULL::VARCHAR AS orientation, NULL::BOOLEAN AS has_elevator, NULL::INT AS floor_number) FROM near WHERE pos <= 25") + f" SELECT {METRICS_SQL} FROM b")
+def backtest_without_features(spark, sf_dir):
+    """The second run of a pair: the same cases and comparables, of which nothing is known that was read from texts."""
+    pairs = case_pairs(spark, sf_dir)
+    bare = pairs.withColumns({c: F.lit(None).cast(pairs.schema[c].dataType) for c in ("condition", "orientation", "has_elevator", "floor_number")})
+    cases = backtest(spark, sf_dir).select("case_id", "case_price", "baseline")
+    valued = v.value(bare, ["case_id"])
+    return ev.error_metrics(cases.join(valued, "case_id", "left"), [], "case_price", "value_mid", "value_low", "value_high", "baseline")
 
 
 @R.query("WITH " + CANON_SQL + " SELECT listing_id, concat_ws(',', CASE WHEN condition IS NULL THEN 'condition' END, CASE WHEN age_years IS NULL THEN 'age_years' END, CASE WHEN orientation IS NULL THEN 'orientation' END, CASE WHEN has_elevator IS NULL THEN 'has_elevator' END) AS missing FROM canon WHERE (order_id % 5 = 0 OR source = 's1') AND contains(lower(address), 'calle 1')")
@@ -238,32 +319,103 @@ def top_areas_by_actives(spark, sf_dir):
     return canon(spark, sf_dir).where("active").groupBy("area_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "area_id").limit(3)
 
 
-@R.query("WITH " + CANON_SQL + ", " + CASES_SQL + ", k AS (SELECT case_id, any_value(area_id) OVER (PARTITION BY case_id) AS a, ref_id, unit, pos FROM top) SELECT case_id, ref_id, pos, unit > 2000 AS included FROM k")
+@R.query("WITH " + CANON_SQL + ", " + CASES_SQL + ", " + engine_sql("top", "case_id") + " SELECT case_id, ref_id, reason IS NULL AS included, row_number() OVER (PARTITION BY case_id ORDER BY reason IS NOT NULL, adj_m2 NULLS LAST, ref_id) AS place FROM trim")
 def ranked_comparable_table(spark, sf_dir):
-    return case_pairs(spark, sf_dir).select("case_id", "ref_id", "pos", (F.col("unit") > 2000).alias("included"))
+    """A report's table: what counts first, by adjusted price; prices that are not known come last."""
+    rows = v.trimmed(v.adjusted(case_pairs(spark, sf_dir)), ["case_id"])
+    place = F.row_number().over(W.partitionBy("case_id").orderBy(F.col("reason").isNotNull(), F.asc_nulls_last("adj_m2"), "ref_id"))
+    return rows.select("case_id", "ref_id", F.col("reason").isNull().alias("included"), place.alias("place"))
 
 
-@R.query("SELECT user_id, event_type, max(ts) AS last_at, count(*) AS runs, round(coalesce(sum(value), 0), 2) AS cost, arg_max(event_id, ts) AS last_run FROM events GROUP BY ALL")
+@R.query("""SELECT user_id, event_type, max(ts) AS last_at, arg_max(event_id, (ts, event_id)) AS last_run, count(*) AS runs, round(coalesce(sum(value), 0), 2) AS cost, round(coalesce(sum(value) FILTER (date_trunc('month', ts) = DATE '2024-01-01'), 0), 2) AS month_cost FROM events GROUP BY ALL""")
 def source_health_and_cost(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id", "event_type").agg(F.max("ts").alias("last_at"), F.count("*").alias("runs"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 2).alias("cost"), F.max_by("event_id", "ts").alias("last_run"))
+    return mk.source_health(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "value", "event_id", F.lit("2024-01-20").cast("date"))
 
 
 @R.query("""SELECT user_id, event_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) > 2 AS limited FROM events""")
 def sliding_window_limiter(spark, sf_dir):
     """More than two events of a user within the hour up to each one."""
-    from pyspark.sql import Window as W
-
     e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     w = W.partitionBy("user_id").orderBy("us").rangeBetween(-3_600_000_000, 0)
     return e.select("user_id", "event_id", "ts", (F.count("*").over(w) > 2).alias("limited"))
 
 
-@R.query("SELECT event_id, user_id, CASE WHEN event_type = 'error' AND ts < TIMESTAMP '2024-01-15' THEN 'FAILED' ELSE upper(event_type) END AS status FROM events WHERE value IS NOT NULL")
+STATUS_SQL = "CASE event_id % 4 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'QUEUED' WHEN 2 THEN 'SUCCEEDED' ELSE 'FAILED' END"
+
+
+@R.query(f"SELECT event_id, CASE WHEN {STATUS_SQL} IN ('RUNNING', 'QUEUED') AND ts < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 1 HOUR THEN 'FAILED' ELSE {STATUS_SQL} END AS status, CASE WHEN {STATUS_SQL} IN ('RUNNING', 'QUEUED') AND ts < TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 1 HOUR THEN 'ABANDONADO' END AS error FROM events")
 def stuck_reports(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value is not null")
-    stuck = (F.col("event_type") == "error") & (F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"))
-    return e.select("event_id", "user_id", F.when(stuck, "FAILED").otherwise(F.upper("event_type")).alias("status"))
+    """Events in the role of reports; what runs or waits for over an hour has been given up."""
+    n = F.col("event_id") % 4
+    status = F.when(n == 0, "RUNNING").when(n == 1, "QUEUED").when(n == 2, "SUCCEEDED").otherwise("FAILED")
+    gone = rules.abandoned(F.col("status"), F.col("ts"), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
+    e = table(spark, sf_dir, "events").withColumn("status", status)
+    return e.select("event_id", F.when(gone, "FAILED").otherwise(F.col("status")).alias("status"), F.when(gone, "ABANDONADO").alias("error"))
+
+
+EXPLORED_SQL = CANON_SQL + """, seen AS (SELECT canon.*, CASE order_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'mine' ELSE 'other' END AS org_id, kind AS description, CASE WHEN rooms IS NOT NULL THEN 'v1' END AS features_version, order_id % 7 = 0 AS needs_review FROM canon)"""
+
+
+def explored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = F.col("order_id")
+    return canon(spark, sf_dir).withColumns({"org_id": F.when(o % 3 == 1, "mine").when(o % 3 == 2, "other"), "description": F.col("kind"), "features_version": F.when(F.col("rooms").isNotNull(), "v1"), "needs_review": o % 7 == 0})
+
+
+@R.query("WITH " + EXPLORED_SQL + " SELECT listing_id FROM seen WHERE (org_id IS NULL OR org_id = 'mine') AND source = 's1' AND (contains(lower(address), 'promo') OR contains(lower(description), 'promo')) AND features_version IS NULL UNION ALL SELECT listing_id FROM seen WHERE (org_id IS NULL OR org_id = 'mine') AND area_id = 3 AND needs_review")
+def explorer_filters(spark, sf_dir):
+    rows = explored(spark, sf_dir)
+    return rules.explorer(rows, "mine", source="s1", text="promo", without_features=True).select("listing_id").unionByName(rules.explorer(rows, "mine", area=3, needs_review=True).select("listing_id"))
+
+
+@R.query("WITH " + EXPLORED_SQL + " SELECT listing_id FROM seen WHERE active AND operation = 'SALE' AND trim(description) <> '' AND (canonical_id IS NULL OR canonical_id = listing_id) AND coalesce(features_version, '') <> 'v1'")
+def extraction_backlog(spark, sf_dir):
+    rows = explored(spark, sf_dir)
+    features = rows.where("features_version is not null").select("listing_id", F.col("features_version").alias("extractor_version"))
+    return rules.backlog(rows, features, "v1").select("listing_id")
+
+
+REPORTS_SQL = """SELECT o_orderkey AS report_id, o_orderdate AS created_at, o_custkey AS subject_id, c_nationkey AS area_id, n_name AS area FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 8 <> 0"""
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in the role of reports, customers in that of subjects: inner, then left to the areas with a centre."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_orderdate").alias("created_at"), F.col("o_custkey").alias("subject_id"), F.col("o_orderstatus").alias("status"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"), F.col("c_nationkey").alias("area_id"))
+    n = areas(spark, sf_dir).where("lat is not null").select("area_id", F.col("n_name").alias("area"))
+    return o.join(c, "subject_id").join(n, "area_id", "left")
+
+
+@R.query(REPORTS_SQL + " WHERE o_orderstatus = 'O' AND o_custkey % 10 = 3")
+def report_list(spark, sf_dir):
+    """A tenant's reports of one status with subject and area."""
+    return reports(spark, sf_dir).where("status = 'O' and subject_id % 10 = 3").select("report_id", "created_at", "subject_id", "area_id", "area")
+
+
+@R.query("WITH " + CANON_SQL + f", r AS ({REPORTS_SQL}) SELECT report_id, listing_id, source, area FROM r JOIN canon ON order_id = report_id WHERE subject_id % 10 = 3")
+def report_comparables(spark, sf_dir):
+    """Comparables with their listings, of the tenant's own reports only."""
+    own = reports(spark, sf_dir).where("subject_id % 10 = 3").select("report_id", "area")
+    return own.join(canon(spark, sf_dir).select("listing_id", "source", F.col("order_id").alias("report_id")), "report_id").select("report_id", "listing_id", "source", "area")
+
+
+@R.query("WITH " + CANON_SQL + """, f AS (SELECT listing_id, condition, orientation FROM canon WHERE order_id % 3 = 0), c AS (SELECT DISTINCT order_id AS cluster_id, min(listing_id) AS canonical FROM canon WHERE order_id % 4 = 0 GROUP BY order_id)
+SELECT l.listing_id, f.condition, f.orientation, c.canonical IS NULL OR c.canonical = l.listing_id AS eligible, n_name AS area FROM canon l LEFT JOIN f USING (listing_id) LEFT JOIN c ON c.cluster_id = l.order_id LEFT JOIN nation ON n_nationkey = l.area_id AND n_nationkey % 8 <> 0""")
+def listings_with_features_and_cluster(spark, sf_dir):
+    """Listings, each kept whether or not it has features, a cluster or a named area."""
+    rows = canon(spark, sf_dir)
+    features = rows.where("order_id % 3 = 0").select("listing_id", "condition", "orientation")
+    clusters = rows.where("order_id % 4 = 0").groupBy("order_id").agg(F.min("listing_id").alias("canonical"))
+    named = areas(spark, sf_dir).where("lat is not null").select("area_id", F.col("n_name").alias("area"))
+    eligible = F.col("canonical").isNull() | (F.col("canonical") == F.col("listing_id"))
+    return rows.select("listing_id", "order_id", "area_id").join(features, "listing_id", "left").join(clusters, "order_id", "left").join(named, "area_id", "left").select("listing_id", "condition", "orientation", eligible.alias("eligible"), "area")
+
+
+@R.query("SELECT s_nationkey AS area_id, count(*) AS snapshots, count(DISTINCT l_suppkey) AS listings, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey")
+def snapshots_by_area(spark, sf_dir):
+    """Price snapshots joined to their listings."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_extendedprice")
+    rows = li.join(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("area_id")), "s_suppkey")
+    return rows.groupBy("area_id").agg(F.count("*").alias("snapshots"), F.count_distinct("s_suppkey").alias("listings"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
 QUERIES, ORACLES = R.queries, R.oracles

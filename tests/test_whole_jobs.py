@@ -46,8 +46,8 @@ def test_units_and_rooms_decide_before_the_layers(spark):
         (5, "Peru 1300 Piso 5", 90.0, 300.0, 2), (6, "Peru 1300", 50.0, 100.0, 2), (7, "Peru 1300", 50.0, 100.0, 3), (8, "Peru 1300", 50.0, 100.0, None),
     ]
     unit, specific = tx.whole_unit(F.col("t"))
-    df = spark.createDataFrame(rows, "id int, t string, s double, p double, r int").select("id", F.lit("x").alias("b"), F.array(F.lit("same")).alias("g"), "s", "p", "r", unit.alias("u"), specific.alias("f"))
-    got = {(r.a, r.b): r.layer for r in resolution.blocked_pairs(df, ["b"], "id", "g", "s", "p", "u", "f", "r").collect()}
+    df = spark.createDataFrame(rows, "id int, t string, s double, p double, r int").select("id", F.lit("x").alias("b"), F.lit("PERU 1300").alias("key"), F.array(F.lit("same")).alias("g"), "s", "p", "r", unit.alias("u"), specific.alias("f"))
+    got = {(r.a, r.b): r.layer for r in resolution.blocked_pairs(df, ["b"], "id", "key", "g", "s", "p", "u", "f", "r").collect()}
     assert (1, 2) not in got and (1, 4) not in got and (2, 5) not in got  # 5B, 3B and 5
     assert got[1, 3] == "layer1"  # one flat, whatever its price
     assert (4, 5) not in got  # a floor alone decides nothing
