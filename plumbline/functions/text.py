@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks, and what is left of them without.
-MARKED = "ÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝáàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
-PLAIN_ = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _marked() -> tuple[str, str]:
+    """Latin letters that a base letter and marks make up, and their base letters."""
+    pairs = []
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if base != c and len(base) == 1:
+            pairs.append((c, base))
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, PLAIN_ = _marked()
 
 # Street words and titles that addresses abbreviate.
 ABBREVIATIONS = {"AV": "AVENIDA", "AVDA": "AVENIDA", "AVE": "AVENIDA", "GRAL": "GENERAL", "PJE": "PASAJE", "DR": "DOCTOR", "DRA": "DOCTORA", "PTE": "PRESIDENTE", "STA": "SANTA", "STO": "SANTO", "CNEL": "CORONEL", "ING": "INGENIERO", "ALM": "ALMIRANTE", "TTE": "TENIENTE", "BLVD": "BOULEVARD", "BV": "BOULEVARD"}
@@ -309,6 +319,12 @@ def cue_fragments(text: Column, most: int = 3, around: int = 45) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda e: F.size(e["v"]) > 0))
 
 
+def fragments(markdown: Column) -> Column:
+    """Parts of a text by its headings, each with its heading; what stands before the first has none."""
+    parts = F.split(F.concat(F.lit("\n"), markdown), r"\n(?=#{1,6} )")
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+
 # How a query text says a condition and an orientation.
 CONDITION_WORDS = {"a_estrenar": "a estrenar", "excelente": "excelente estado", "muy_bueno": "muy buen estado", "bueno": "buen estado", "a_refaccionar": "a refaccionar"}
 ORIENTATION_WORDS = {"frente": "al frente", "contrafrente": "al contrafrente", "lateral": "lateral", "interno": "interno"}

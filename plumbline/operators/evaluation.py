@@ -131,8 +131,8 @@ def gate(history: DataFrame, keys: list[str], at: str, value: str, size: str, ti
     where the latest value is under its objective; keys without a run have verdict `unmeasured`.
     """
     w = W.partitionBy(*keys).orderBy(F.desc(at), F.desc(tiebreak))
-    last = history.withColumn("n", F.row_number().over(w)).where("n <= 6")
-    old = F.col("n") > 1
+    last = history.withColumn("__n", F.row_number().over(w)).where("__n <= 6")
+    old = F.col("__n") > 1
     out = last.groupBy(*keys).agg(F.max(F.when(~old, F.col(value))).alias("now"), F.round(F.percentile(F.when(old, F.col(value)), F.lit(0.5)), 9).alias("median"), (F.max(F.when(old, F.col(value))) - F.min(F.when(old, F.col(value)))).alias("spread"), F.count_if(old).alias("earlier"), F.count_distinct(size).alias("sizes"))
     band = F.greatest("spread", F.lit(noise))
     verdict = F.when((F.col("earlier") < 3) | (F.col("sizes") > 1), "none").when(F.col("now") < F.col("median") - band, "worse").otherwise("ok")
@@ -142,6 +142,22 @@ def gate(history: DataFrame, keys: list[str], at: str, value: str, size: str, ti
     return out.withColumn("verdict", F.when(F.col("measured").isNull(), "unmeasured").otherwise(verdict)).withColumn("below", F.col("now") < F.col("objective")).drop("measured")
 
 
+def last_runs(history: DataFrame, keys: list[str], at: str, tiebreak: str, value: str, runs: int = 5) -> DataFrame:
+    """keys, runs, lower_median and spread (largest less smallest) of each key's last runs."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(at), F.desc(tiebreak)))
+    last = history.withColumn("__n", place).where(F.col("__n") <= runs)
+    values = F.sort_array(F.collect_list(value))  # of at most `runs` rows
+    out = last.groupBy(*keys).agg(F.count("*").alias("runs"), values.alias("v"))
+    lower = F.get("v", F.floor((F.size("v") - 1) / 2).cast("int"))
+    return out.select(*keys, "runs", lower.alias("lower_median"), (F.array_max("v") - F.array_min("v")).alias("spread"))
+
+
+def large_groups(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """Rows of the groups that have `least` of them or more."""
+    large = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(key)
+    return rows.join(large, key, "left_semi")
+
+
 def golden_gate(verdicts: DataFrame) -> DataFrame:
     """One row over the verdicts of gate() with objectives: measured, worse, below, and passed.
 

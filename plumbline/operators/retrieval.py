@@ -31,6 +31,25 @@ def flagged(flag: str, flags: Column) -> Column:
     return F.coalesce(F.array_contains(flags, flag), F.lit(False))
 
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """Listings as candidates: a feature that is sure counts, else what the side-car says; casts that fail are null.
+
+    rows: listing_id, feature columns condition, rooms, surface, age_years with confidence, the side-car
+    raw (map of text), published, last_seen. The weighted surface stands in only where both surfaces are
+    missing; unknown days are null.
+    """
+    said = lambda k: F.nullif(F.trim(F.element_at("raw", k)), F.lit(""))
+    sure = F.coalesce(F.col("confidence") >= 0.70, F.lit(False))
+    return rows.select(
+        "listing_id",
+        F.coalesce("condition", said("condition")).alias("condition"),
+        F.coalesce("rooms", said("rooms").try_cast("int")).alias("rooms"),
+        F.coalesce("surface", said("surface_total").try_cast("double"), said("surface_weighted").try_cast("double")).alias("surface"),
+        F.when(sure, F.col("age_years")).alias("age_years"),
+        F.datediff("last_seen", "published").alias("days_published"),
+    )
+
+
 def assert_nested(rungs: list[tuple]) -> None:
     """A ladder is computed in one pass, which needs every step to let through all that the one before did."""
     order = {"self": 0, "near": 1, "wide": 2}

@@ -103,19 +103,28 @@ def semantic_ladder(spark, sf_dir):
     return rt.by_score(pool, scores, "subject_id").select("subject_id", "listing_id", "new_place", "score")
 
 
-@R.query("WITH " + CANON_SQL + """ SELECT listing_id, coalesce(condition, nullif(kind, 'PROMO'), 'unknown') AS condition, coalesce(rooms, TRY_CAST(nullif(regexp_extract(kind, '[0-9]+'), '') AS INT)) AS rooms,
-coalesce(surface, CASE WHEN order_id % 2 = 0 THEN 20.0 END) AS surface, CASE WHEN order_id % 10 >= 7 THEN age_years END AS age_years, last_seen - published AS days_published FROM canon""")
+@R.query("WITH " + CANON_SQL + """ SELECT listing_id, coalesce(condition, nullif(kind, 'PROMO')) AS condition, coalesce(rooms, TRY_CAST(nullif(regexp_extract(kind, '[0-9]+'), '') AS INT)) AS rooms,
+coalesce(surface, CASE WHEN order_id % 2 = 0 THEN 20.0 WHEN order_id % 3 = 0 THEN 31.5 END) AS surface, CASE WHEN order_id % 10 >= 7 THEN age_years END AS age_years, last_seen - published AS days_published FROM canon""")
 def candidate_projection_fallback(spark, sf_dir):
     """Features first, the side-car's text next; a feature of low confidence is not used."""
-    sure = (F.col("order_id") % 10) / 10.0 >= 0.7
-    return canon(spark, sf_dir).select(
-        "listing_id",
-        F.coalesce("condition", F.nullif("kind", F.lit("PROMO")), F.lit("unknown")).alias("condition"),
-        F.coalesce("rooms", F.expr("try_cast(nullif(regexp_extract(kind, '[0-9]+', 0), '') as int)")).alias("rooms"),
-        F.coalesce("surface", F.when(F.col("order_id") % 2 == 0, 20.0)).alias("surface"),
-        F.when(sure, F.col("age_years")).alias("age_years"),
-        F.datediff("last_seen", "published").alias("days_published"),
-    )
+    o = F.col("order_id")
+    raw = F.create_map(
+        F.lit("condition"), F.when(F.col("kind") == "PROMO", " ").otherwise(F.col("kind")), F.lit("rooms"), F.regexp_extract("kind", "[0-9]+", 0),
+        F.lit("surface_total"), F.when(o % 2 == 0, "20").otherwise("unknown"), F.lit("surface_weighted"), F.when(o % 3 == 0, "31.5").otherwise(""),
+    )
+    return rt.candidates(canon(spark, sf_dir).withColumns({"raw": raw, "confidence": (o % 10) / 10.0}))
+
+
+@R.query("""WITH h AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_type, count(*) AS runs, quantile_disc(value, 0.5) AS lower_median, max(value) - min(value) AS spread FROM h WHERE n <= 5 GROUP BY ALL""")
+def last_runs_lower_median(spark, sf_dir):
+    """What a quality page shows: the lower median of the last five runs and their range."""
+    return ev.last_runs(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", "value")
+
+
+@R.query("WITH " + CANON_SQL + ", n AS (SELECT area_id, count(*) AS n FROM canon WHERE unit BETWEEN 300 AND 12000 GROUP BY area_id HAVING count(*) >= 40) SELECT listing_id, area_id FROM canon JOIN n USING (area_id) WHERE unit BETWEEN 300 AND 12000")
+def cases_of_large_areas(spark, sf_dir):
+    """Only areas with 40 listings or more give cases."""
+    return ev.large_groups(canon(spark, sf_dir).where("unit between 300 and 12000"), "area_id", 40).select("listing_id", "area_id")
 
 
 DISCARD_SQL = """CASE WHEN price IS NULL THEN 'sin_precio' WHEN currency <> 'USD' THEN 'precio_no_usd' WHEN surface IS NULL THEN 'sin_superficie' WHEN NOT surface BETWEEN 15 AND 2000 THEN 'superficie_implausible'

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.config import DEFAULT, Config
 from plumbline.functions.text import fold, key
-from plumbline.operators.changes import chunk_ids, content_hash
+from plumbline.operators.changes import chunk_ids, content_hash, first_in_batch
 from plumbline.operators.rules import ingest_discard
 
 #: File formats from the preferred on, columns that make a file a listing file.
@@ -87,6 +87,18 @@ def whole(text: Column) -> Column:
     return decimal(text).try_cast("int")
 
 
+def truth(text: Column) -> Column:
+    """true, 1, si, yes and false, 0, no in any case; anything else is null."""
+    t = F.lower(F.trim(fold(text)))
+    return F.when(t.isin("true", "1", "si", "yes"), True).when(t.isin("false", "0", "no"), False)
+
+
+def word(text: Column, words: list[str]) -> Column:
+    """The word in lower case if it is one of the vocabulary's, else null."""
+    t = F.lower(F.trim(text))
+    return F.when(t.isin(words), t)
+
+
 def date(text: Column, as_of: Column) -> Column:
     """Three formats on the first ten characters; days after as_of are null."""
     tried = F.coalesce(*[F.try_to_timestamp(F.substring(text, 1, 10), F.lit(f)).cast("date") for f in DATE_FORMATS])
@@ -146,9 +158,8 @@ def cards(rows: DataFrame, as_of: str, portals: dict[str, str] = PORTALS) -> Dat
         "__file",
         "__line",
     ).where((F.col("source_id") != "") & F.col("url").isNotNull())
-    first = F.row_number().over(W.partitionBy("source", "source_id").orderBy("__file", "__line"))
-    out = out.withColumn("n", first).where("n = 1").drop("n")
-    return out.withColumn("content_hash", content_hash(HASHED)).withColumn("raw", sidecar(SIDECAR))
+    out = first_in_batch(out, ["source", "source_id"], [F.col("__file"), F.col("__line")])
+    return out.withColumn("content_hash", content_hash(HASHED)).withColumn("raw", sidecar({c: to for c, to in SIDECAR.items() if c in out.columns}))
 
 
 def sidecar(names: dict[str, str]) -> Column:

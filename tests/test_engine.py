@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import config, geo
 from plumbline.functions import text as tx
 from plumbline.operators import evaluation as ev
-from plumbline.operators import changes, lookup, resolution, retrieval, valuation
+from plumbline.operators import changes, contracts, lookup, resolution, retrieval, valuation
 from plumbline.plans import registry
 from plumbline.sources import feeds
 from plumbline.streaming import prices
@@ -399,3 +399,24 @@ def test_modes_of_scoring(spark):
         run("x")
     hits = retrieval.lexical_scores(spark.createDataFrame([(1, "Sol y luz, luz")], "q int, text string"), spark.createDataFrame([(7, 0, "luz luz sol"), (7, 1, "sol"), (8, 0, "nada")], "d int, chunk int, text string")).collect()
     assert [(r.d, round(r.score, 6)) for r in hits] == [(7, round(0.3 / 1.3, 6))]
+
+
+def test_bootstrap_against_plain_resampling(spark):
+    """The same draws, taken one by one in Python."""
+    values = [float(x) for x in (3, 1, 4, 1, 5, 9, 2, 6)] + [0.25, -1.5, 0.25]
+    df = spark.createDataFrame([(x,) for x in values], "v double").repartition(3)
+    got = ev.bootstrap(df, "v", resamples=200, seed=11).first()
+    n, ranked, means = len(values), sorted(values), []
+    draws = spark.range(200).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("i"))
+    picks = {}
+    for r in draws.select("b", F.pmod(F.xxhash64(F.lit(11), "b", "i"), F.lit(n)).alias("p")).collect():
+        picks.setdefault(r.b, []).append(ranked[r.p])
+    means = sorted(sum(v) / n for v in picks.values())
+    assert (got.n, got.mean, got.lo, got.hi) == (n, round(sum(values) / n, 6), round(means[5], 6), round(means[194], 6))
+    paired = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.75), ("a", 2, 0.25), ("b", 3, 1.0)], "system string, q int, ndcg double")
+    assert [(r.q, r.delta) for r in ev.paired(paired, "q", "ndcg", "a", "b").collect()] == [(1, 0.25)]
+
+
+def test_lots_only_end_short_once(spark):
+    got = {r.i: r.lot for r in contracts.lots(spark.range(4090, 4110).withColumnRenamed("id", "i"), "i").collect()}
+    assert got == {i: (i - 4090) // 6 for i in range(4090, 4110)}
