@@ -42,6 +42,7 @@ SHARD_DOCS, SHARD_CHARS = 8192, 6_000_000
 BLOCK_QUERIES, AT_ONCE = 512, 128  # of a task, on average; of a task's inner step
 FACTOR = 8  # between levels of shards
 SLACK = 1 - 1e-9  # sums differ in their last digits
+ROUGH = 1 - 1e-4  # and much more so in 32 bits, which only decide what is scored exactly
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -171,11 +172,12 @@ class Shard:
         for i, t in enumerate(often):
             part = slice(self.starts[t], self.ends[t])
             self.rows[i, docs[part]] = scores[part]
-        self.maxima = np.maximum.reduceat(self.rows, np.arange(0, self.n, RANGE), axis=1) if len(often) else np.zeros((0, -(-self.n // RANGE)))
+        maxima = np.maximum.reduceat(self.rows, np.arange(0, self.n, RANGE), axis=1) if len(often) else np.zeros((0, -(-self.n // RANGE)))
+        self.rough, self.maxima = self.rows.astype(np.float32), maxima.astype(np.float32)
 
     def search(self, sizes: np.ndarray, terms: np.ndarray, idfs: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query, document, score) with every document that is among the shard's k best of a query (or equals the
-        last of them) and whose score reaches the query's floor."""
+        last of them) and whose score reaches the query's floor. What can be is found in 32 bits, scores have 64."""
         if not len(self.terms):
             return
         owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -202,21 +204,27 @@ class Shard:
             total = self._rare(own[r < 0], t[r < 0], w[r < 0], m)
             weights = np.zeros((m, len(self.rows)))
             weights[own[r >= 0], r[r >= 0]] = w[r >= 0]
-            bound = np.repeat(weights @ self.maxima, RANGE, axis=1)[:, : self.n]
-            bound += total
-            alive = (bound >= np.maximum(low, 1e-300)[:, None] * SLACK).any(axis=0)
+            rough, part = weights.astype(np.float32), total.astype(np.float32)
+            limit = (np.maximum(low, 1e-30) * ROUGH).astype(np.float32)
+            bound = np.repeat(rough @ self.maxima, RANGE, axis=1)[:, : self.n]
+            bound += part
+            alive = (bound >= limit[:, None]).any(axis=0)
             columns = np.flatnonzero(np.repeat(np.logical_or.reduceat(alive, np.arange(0, self.n, RANGE)), RANGE)[: self.n])
             if not len(columns):
                 continue
             if len(columns) == self.n:
-                score = np.matmul(weights, self.rows, out=bound)
-                score += total
+                score = rough @ self.rough
+                score += part
             else:
-                score = total[:, columns] + weights @ self.rows[:, columns]
+                score = part[:, columns] + rough @ self.rough[:, columns]
             if len(columns) > k and (low <= 0).any():  # later on the floors keep nearly all others out
-                low = np.maximum(low, np.partition(score, -k, axis=1)[:, -k])
-            x, y = np.nonzero(score >= np.maximum(low, 1e-300)[:, None] * SLACK)
-            yield order[lo + x], columns[y], score[x, y]
+                limit = np.maximum(limit, np.partition(score, -k, axis=1)[:, -k] * np.float32(ROUGH))
+            x, y = np.nonzero(score >= limit[:, None])
+            for begin in range(0, len(x), 4096):
+                i, j = x[begin : begin + 4096], columns[y[begin : begin + 4096]]
+                exact = total[i, j] + np.einsum("ij,ji->i", weights[i], self.rows[:, j])
+                kept = (exact >= low[i] * SLACK) & (exact > 0)
+                yield order[lo + i[kept]], j[kept], exact[kept]
 
     def _rare(self, own: np.ndarray, t: np.ndarray, w: np.ndarray, m: int) -> np.ndarray:
         """Scores of m queries over the lists of their rarer terms."""
@@ -265,14 +273,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                     for f in x["floors"] or []:
                         floors[x["block"]][f["query"]] = f["low"]
                 floor = floors[x["block"]]
-                for query, doc, score in shard.search(sizes, q_terms, idfs, floor, k):
-                    order = np.lexsort((-score, query))
-                    head = np.append(True, query[order][1:] != query[order][:-1])
-                    nth = np.arange(len(order)) - np.flatnonzero(head)[np.cumsum(head) - 1]
-                    last = order[nth == k - 1]
-                    floor[query[last]] = np.maximum(floor[query[last]], score[last])
-                    values = [np.full(len(query), x["block"], np.int32), query.astype(np.int32), query_ids[query]]
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in values] + [pa.array(ids[doc], mask=~valid[doc]), pa.array(score)], names=["block", "query", "query_id", "doc_id", "score"])
+                found = list(shard.search(sizes, q_terms, idfs, floor, k))
+                if not found:
+                    continue
+                query, doc, score = (np.concatenate(v) for v in zip(*found, strict=True))
+                # The shard's k best of each query, in the order of the result.
+                order = np.lexsort((ids[doc], ~valid[doc], -np.round(score, 9), query))
+                head = np.append(True, query[order][1:] != query[order][:-1])
+                nth = np.arange(len(order)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+                last = order[nth == k - 1]
+                floor[query[last]] = np.maximum(floor[query[last]], score[last])
+                order = order[nth < k]
+                query, doc, score = query[order], doc[order], score[order]
+                values = [np.full(len(query), x["block"], np.int32), query.astype(np.int32), query_ids[query]]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in values] + [pa.array(ids[doc], mask=~valid[doc]), pa.array(score)], names=["block", "query", "query_id", "doc_id", "score"])
 
     kind = "block int, query int, query_id long, doc_id long, score double"
     levels = max(1, math.ceil(math.log(max(1, n), FACTOR)) + 1)

@@ -115,6 +115,9 @@ class Automaton:
     def encode(self, word: str) -> list[int]:
         """The ids of a word given as byte symbols."""
         n, table, width = len(word), self.table, self.width
+        whole = (self.final if self.suffix else self.inner).get(word)
+        if whole is not None:
+            return [whole]  # the one arc from the start to the end
         state, begin = [-1] * (n + 1), [0] * (n + 1)  # after each prefix: the last arc's token, and where it began
         for end in range(1, n + 1):
             last = end == n and bool(self.suffix)
@@ -125,7 +128,10 @@ class Automaton:
                     continue
                 if at:
                     before = state[at]
-                    if before < 0 or not (table.get(before * width + t) or self.arc(before, t)):
+                    if before < 0:
+                        continue
+                    found = table.get(before * width + t)
+                    if not (self.arc(before, t) if found is None else found):
                         continue
                 state[end], begin[end] = t, at
                 break

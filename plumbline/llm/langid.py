@@ -206,7 +206,7 @@ def fit(docs: DataFrame) -> Model | None:
     rows = rows.where(learnable(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rank = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     ids = rows.select("id", "lang").withColumn("n", F.row_number().over(rank)).where(F.col("n") <= TRAIN_DOCS)
-    ids = ids.select("id").distinct()  # at most TRAIN_DOCS rows a language
+    ids = F.broadcast(ids.select("id").distinct())  # at most TRAIN_DOCS ids a language
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

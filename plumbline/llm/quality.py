@@ -125,7 +125,8 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], shares: tuple[floa
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn labels.quality from texts of rows that learnable() lets through.
 
-    Labels other than 0 and 1, null ids and labels without a text are skipped.
+    Labels other than 0 and 1, null ids and labels without a text are skipped; a document with
+    both labels is learned once with each, and one with several texts once with each of them.
     """
     spark = docs.sparkSession
     prepare(spark)

@@ -54,6 +54,21 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
+def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """pages(host, path, ...) with rule and by_rule, from a table of rules(verdict, rule) of any length.
+
+    A host meets the rules of its own name and of its parent domains by an equi-join; of those whose
+    path fits, the longest counts (of equals the one that sorts last).
+    """
+    parts = F.split("rule", "/", 2)
+    r = rules.select("verdict", "rule", parts[0].alias("r_host"), F.concat(F.lit("/"), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("r_path"))
+    names = F.expr(r"transform(sequence(1, size(split(host, '\\.'))), i -> array_join(slice(split(host, '\\.'), i, size(split(host, '\\.'))), '.'))")
+    asked = pages.select("host", "path").distinct().withColumn("r_host", F.explode(names))
+    fits = asked.join(r, "r_host").where(F.expr("startswith(path, r_path)"))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("x"))
+    return pages.join(best.select("host", "path", "x.rule", F.col("x.verdict").alias("by_rule")), ["host", "path"], "left")
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """pages(host, html) -> src, dst, links between different hosts, and between hosts and parent domains."""
     hrefs = F.expr(r"""regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["\']?([^"\'\\s>]+)', 1)""")
@@ -104,8 +119,8 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
     return rank.join(total).select("host", share("trust", "all_t"), share("distrust", "all_d"))
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
-    """page_id, host, path, rule and verdict of every page.
+def judged(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame = RULES) -> DataFrame:
+    """page_id, host, path, rule and verdict of every page. rules: a list, or a table(verdict, rule) of any length.
 
     Null or unparsable urls have an empty host and path; a null html has no links; pages
     that neither a rule nor their host's scores concern (also those with an empty host) are
@@ -114,8 +129,11 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """
     url = F.col("url").cast("string")
     named = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    named = named.withColumn("rule", rule).withColumn("by_rule", verdict)
+    if isinstance(rules, DataFrame):
+        named = with_rules(named, rules)
+    else:
+        rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+        named = named.withColumn("rule", rule).withColumn("by_rule", verdict)
     rows = stored(named.drop("html"))
     counts = rows.where("host <> ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("a"), F.count_if(F.col("by_rule") == "block").alias("b"))
     total = F.broadcast(counts.agg(F.greatest(F.sum("a"), F.lit(1)).alias("all_a"), F.greatest(F.sum("b"), F.lit(1)).alias("all_b")))  # one row

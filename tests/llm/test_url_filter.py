@@ -80,3 +80,11 @@ def test_far_hosts_are_judged_by_the_converged_walk(spark):
         distrust = {h: u.DAMPING * distrust.get(p, 0.0) + (1 - u.DAMPING) * (h == "bad.com") for h, p in zip(chain, [*chain[1:], None], strict=True)}
     want = {i: "block" if distrust[f"h{i:02}.net"] > u.THRESHOLD * (trust[f"h{i:02}.net"] + distrust[f"h{i:02}.net"]) else "allow" for i in range(1, n)}
     assert {i: got[i] for i in want} == want and got[12] == "block" and got[14] == "allow" and got[101] == "allow"
+
+
+def test_a_table_of_rules_decides_like_the_list(spark):
+    urls = ["http://a.org/x", "http://org/", "http://www.example.org/es/1", "http://example.org/en/12", "http://example.org/en/2", "http://b.com/fr/", "http://b.com/de/x", "http://com/de", "x", None, "http://norg/", "http://./a", "http://q.example.org/es"]
+    pages = spark.createDataFrame([(i, x, None) for i, x in enumerate(urls * 2)], "page_id long, url string, html string")
+    table = spark.createDataFrame(u.RULES, "verdict string, rule string")
+    assert sorted(map(tuple, u.judged(pages, table).collect())) == sorted(map(tuple, u.judged(pages).collect()))
+    assert {r.rule for r in u.judged(pages, table.limit(0)).collect()} == {None}
