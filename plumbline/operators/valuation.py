@@ -66,8 +66,8 @@ def adjusted(comps: DataFrame, cfg: Config = DEFAULT, prefix: str = "subject_")
 
 def trimmed(rows: DataFrame, keys: list[str], cfg: Config = DEFAULT) -> DataFrame:
     """Rows beyond the trim percentiles of their group get the reason `recorte_p5_p95`, in groups of trim_from or more."""
-    good = rows.where("reason is null")
-    cut = good.groupBy(*keys).agg(F.count("*").alias("n_before"), F.percentile("adj_m2", F.array(F.lit(cfg.trim), F.lit(1 - cfg.trim))).alias("cut"))
+    # Percentiles leave out the nulls, i.e. the rows that have a reason.
+    cut = rows.groupBy(*keys).agg(F.count("adj_m2").alias("n_before"), F.percentile("adj_m2", F.array(F.lit(cfg.trim), F.lit(1 - cfg.trim))).alias("cut"))
     cut = cut.where(F.col("n_before") >= cfg.trim_from).select(*keys, F.round(F.col("cut")[0], 6).alias("cut_lo"), F.round(F.col("cut")[1], 6).alias("cut_hi"))
     out = rows.join(cut, keys, "left")
     beyond = F.col("reason").isNull() & ~F.coalesce(F.col("adj_m2").between(F.col("cut_lo"), F.col("cut_hi")), F.lit(True))
@@ -84,17 +84,19 @@ def statistics(rows: DataFrame, keys: list[str], cfg: Config = DEFAULT) -> DataF
     """
     r = lambda c: F.round(c, 6)
     at = lambda v, *ps: F.percentile(v, F.array(*[F.lit(p) for p in ps]), F.col("w"))
-    # adj_m2 is null where a row has a reason; percentiles leave nulls out, so no filter repeats its expression.
+    # adj_m2 is null where a row has a reason, and percentiles leave nulls out. Rows that fall out later
+    # become null too, not filtered: every step then reads the one histogram, whose shuffle is reused.
     h = rows.groupBy(*keys, "adj_m2").agg(F.count("*").alias("w"))
-    cut = h.groupBy(*keys).agg(F.sum(F.when(F.col("adj_m2").isNotNull(), F.col("w"))).alias("n0"), at("adj_m2", cfg.trim, 1 - cfg.trim).alias("cut")).where("n0 > 0")
+    counted = lambda v: F.sum(F.when(F.col(v).isNotNull(), F.col("w")))
+    cut = h.groupBy(*keys).agg(counted("adj_m2").alias("n0"), at("adj_m2", cfg.trim, 1 - cfg.trim).alias("cut"))
     kept = (F.col("n0") < cfg.trim_from) | F.col("adj_m2").between(r(F.col("cut")[0]), r(F.col("cut")[1]))
-    h = h.join(cut, keys).where(kept & F.col("adj_m2").isNotNull()).select(*keys, "adj_m2", "w")
-    mid = h.groupBy(*keys).agg(F.sum("w").alias("n"), at("adj_m2", 0.5, *cfg.winsor).alias("q"))
+    v = h.join(cut, keys).select(*keys, F.when(kept, F.col("adj_m2")).alias("v"), "w")
+    mid = v.groupBy(*keys).agg(counted("v").alias("n"), at("v", 0.5, *cfg.winsor).alias("q"))
     mid = mid.select(*keys, "n", *[r(F.col("q")[i]).alias(c) for i, c in enumerate(("median", "w_lo", "w_hi"))])
-    h = h.join(mid, keys)
-    clip = F.least(F.greatest("adj_m2", "w_lo"), F.col("w_hi"))
-    out = h.groupBy(*keys, "n", "median").agg(F.percentile(F.abs(F.col("adj_m2") - F.col("median")), F.lit(0.5), F.col("w")).alias("mad"), at(clip, 0.5, *cfg.band).alias("q"))
-    return out.select(*keys, "n", "median", F.bround(F.round(F.col("mad") / F.col("median"), 12), 4).alias("dispersion"), *[r(F.col("q")[i]).alias(c) for i, c in enumerate(("w_median", "p_lo", "p_hi"))])
+    clip = F.when(F.col("v").isNotNull(), F.least(F.greatest("v", "w_lo"), F.col("w_hi")))
+    out = v.join(mid, keys).groupBy(*keys, "n", "median").agg(F.percentile(F.abs(F.col("v") - F.col("median")), F.lit(0.5), F.col("w")).alias("mad"), at(clip, 0.5, *cfg.band).alias("q"))
+    out = out.where("n > 0").select(*keys, "n", "median", F.bround(F.round(F.col("mad") / F.col("median"), 12), 4).alias("dispersion"), *[r(F.col("q")[i]).alias(c) for i, c in enumerate(("w_median", "p_lo", "p_hi"))])
+    return out
 
 
 def confidence(n: Column, dispersion: Column, days: Column, step: Column, complete: Column, manual_share: Column, cfg: Config = DEFAULT) -> Column:

@@ -407,7 +407,7 @@ def test_bootstrap_against_plain_resampling(spark):
     df = spark.createDataFrame([(x,) for x in values], "v double").repartition(3)
     got = ev.bootstrap(df, "v", resamples=200, seed=11).first()
     n, ranked, means = len(values), sorted(values), []
-    draws = spark.range(200).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("i"))
+    draws = spark.range(200).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i"))
     picks = {}
     for r in draws.select("b", F.pmod(F.xxhash64(F.lit(11), "b", "i"), F.lit(n)).alias("p")).collect():
         picks.setdefault(r.b, []).append(ranked[r.p])
