@@ -38,12 +38,12 @@ def omitted_references(spark, sf_dir):
     return ct.omitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id")
 
 
-@R.query("""WITH v AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN 'permuta_o_financiacion' WHEN 1 THEN 'tipologia_distinta' WHEN 2 THEN 'fea' END AS motive, CASE WHEN doc_id % 5 = 0 THEN 'zzzz zzzz' ELSE upper(strip_accents(substring(text, 3, 12))) END AS cite FROM documents), n AS (SELECT *, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS t, trim(regexp_replace(lower(strip_accents(cite)), '\\s+', ' ', 'g')) AS c FROM v)
+@R.query("""WITH v AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN 'permuta_o_financiacion' WHEN 1 THEN 'tipologia_distinta' WHEN 2 THEN 'fea' END AS motive, CASE WHEN doc_id % 5 = 0 THEN 'zzzz zzzz' ELSE strip_accents(substring(text, 3, 12)) END AS cite FROM documents), n AS (SELECT *, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS t, trim(regexp_replace(lower(strip_accents(cite)), '\\s+', ' ', 'g')) AS c FROM v)
 SELECT doc_id, CASE WHEN motive IN ('permuta_o_financiacion', 'en_pozo_o_construccion', 'precio_promocional', 'tipologia_distinta', 'descripcion_inconsistente') AND trim(cite) <> '' AND contains(t, c) THEN motive END AS verdict FROM n""")
 def verdict_application(spark, sf_dir):
     i = F.col("doc_id")
     motive = F.when(i % 4 == 0, "permuta_o_financiacion").when(i % 4 == 1, "tipologia_distinta").when(i % 4 == 2, "fea")
-    cite = F.when(i % 5 == 0, "zzzz zzzz").otherwise(F.upper(tx.fold(F.substring("text", 3, 12))))
+    cite = F.when(i % 5 == 0, "zzzz zzzz").otherwise(tx.fold(F.substring("text", 3, 12)))
     return table(spark, sf_dir, "documents").select("doc_id", ct.verdict(motive, cite, F.col("text")).alias("verdict"))
 
 
