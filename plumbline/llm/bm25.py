@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,11 +47,15 @@ ROUGH = 1 - 1e-4  # and much more so in 32 bits, which only decide what is score
 WORD = re.compile(r"[^\W_]+")
 
 
-def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _words(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def _terms(texts: list[str | None], words: Callable[[str], list] = _words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, count), sorted by term and text, and the texts' lengths in words. Terms are XXH64 of the words."""
     parts, lens = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32))], np.zeros(len(texts), np.int64)
     for begin, end in slices(texts):  # words as strings take many times their length
-        lists = [WORD.findall(t.lower()) if t else [] for t in texts[begin:end]]
+        lists = [words(t) if t else [] for t in texts[begin:end]]
         lens[begin:end] = [len(x) for x in lists]
         flat = [w for x in lists for w in x]
         if flat:

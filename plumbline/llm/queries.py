@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bm25, covertree, langid, mixing, oracles, quality, sharding, simhash, suffix_dedup, url_filter
+from . import bm25, collocations, covertree, langid, max_tree, mixing, oracles, quality, sharding, simhash, suffix_dedup, super_kmers, url_filter
 from .bpe import encoding_digests
 from .common import table
 
@@ -55,6 +55,18 @@ def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_max_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_kmers.removal_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_language_id": op1_crf_language_id,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -66,5 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ftrl_quality": op8_ftrl_quality,
     "op9_block_max_wand": op9_block_max_wand,
     "op10_gray_simhash": op10_gray_simhash,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_max_tree_search": op12_max_tree_search,
+    "op13_super_kmer_dedup": op13_super_kmer_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op7_hierarchical_mixing": oracles.OP7,
+    "op11_phrase_collocations": oracles.OP11,
+    "op12_max_tree_search": oracles.OP12,
+    "op13_super_kmer_dedup": oracles.OP13,
 }
-ORACLES: dict[str, str] = {"op7_hierarchical_mixing": oracles.OP7}
