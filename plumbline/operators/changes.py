@@ -26,6 +26,63 @@ def upsert(current: DataFrame, batch: DataFrame, keys: list[str], hashed: str, p
     return both.select(*keys, action.alias("action"), changed.alias("snapshot"))
 
 
+def merged(current: DataFrame | None, batch: DataFrame, keys: list[str], data: list[str], now: str, order: list[Column]) -> DataFrame:
+    """The listings after a batch: keys, data, content_hash, first_seen, last_seen, active, delisted_at, with action
+    (insert, touch, update, keep) and snapshot (a new price, or the first).
+
+    Of a batch's rows with one key the first by order counts. A row with the same content is
+    touched: seen now and active, and nothing else, so the day it was taken off stays. Other content
+    overwrites the data, whatever is null in it too, and clears that day. Rows that the batch lacks are kept as they are.
+    data has price and currency; current has these columns, or is None before the first batch.
+    """
+    kind = batch.schema
+    at = F.lit(now).cast("timestamp")
+    if current is None:
+        current = batch.select(*keys, *data, F.lit("").alias("content_hash"), at.alias("first_seen"), at.alias("last_seen"), F.lit(True).alias("active"), at.alias("delisted_at")).where("false")
+    new = first_in_batch(batch, keys, order).withColumn("content_hash", content_hash(data))
+    both = current.select(*keys, F.struct(*[c for c in current.columns if c not in keys]).alias("o")).join(new.select(*keys, F.struct(*data, "content_hash").alias("n")), keys, "full_outer")
+    o, n = F.col("o"), F.col("n")
+    action = F.when(o.isNull(), "insert").when(n.isNull(), "keep").when(o["content_hash"] == n["content_hash"], "touch").otherwise("update")
+    both = both.withColumn("action", action)
+    written = F.col("action").isin("insert", "update")
+    seen = F.col("action") != "keep"
+    return both.select(
+        *keys,
+        *[F.when(written, n[c]).otherwise(o[c]).cast(kind[c].dataType).alias(c) for c in data],
+        F.when(written, n["content_hash"]).otherwise(o["content_hash"]).alias("content_hash"),
+        F.coalesce(o["first_seen"], at).alias("first_seen"),
+        F.when(seen, at).otherwise(o["last_seen"]).alias("last_seen"),
+        F.when(seen, F.lit(True)).otherwise(o["active"]).alias("active"),
+        F.when(~written, o["delisted_at"]).alias("delisted_at"),
+        "action",
+        ((F.col("action") == "insert") | ((F.col("action") == "update") & ~o["price"].eqNullSafe(n["price"]))).alias("snapshot"),
+    )
+
+
+def merged_inventory(current: DataFrame | None, batch: DataFrame, keys: list[str], data: list[str], now: str, order: list[Column], full: bool, scope: Column | None = None) -> DataFrame:
+    """The inventory after a batch: keys, data, last_seen and action (created, updated, unchanged, unpublished, kept).
+
+    Of a batch's rows with one key the last by order counts (each overwrites the one before).
+    A row that differs in any field is overwritten. A full batch unpublishes rows in scope that
+    it lacks, unless they are so already (published false, not null), and deletes none. data has published.
+    """
+    kind = batch.schema
+    at = F.lit(now).cast("timestamp")
+    if current is None:
+        current = batch.select(*keys, *data, at.alias("last_seen")).where("false")
+    new = first_in_batch(batch, keys, [F.desc(c) if isinstance(c, str) else c.desc() for c in order])
+    old = current.select(*keys, F.struct(*data, "last_seen").alias("o"), (F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))).alias("within"))
+    both = old.join(new.select(*keys, F.struct(*data).alias("n")), keys, "full_outer")
+    o, n = F.col("o"), F.col("n")
+    same = F.lit(True)
+    for c in data:
+        same = same & o[c].eqNullSafe(n[c])
+    gone = F.lit(full) & F.col("within") & ~o["published"].eqNullSafe(F.lit(False))
+    both = both.withColumn("action", F.when(o.isNull(), "created").when(n.isNull() & gone, "unpublished").when(n.isNull(), "kept").when(same, "unchanged").otherwise("updated"))
+    value = lambda c: F.when(n.isNotNull(), n[c]).when((F.col("action") == "unpublished") & F.lit(c == "published"), F.lit(False).cast(kind[c].dataType)).otherwise(o[c])
+    return both.select(*keys, *[value(c).alias(c) for c in data], F.when(F.col("action") == "kept", o["last_seen"]).otherwise(at).alias("last_seen"), "action")
+
+
 def inventory_refresh(current: DataFrame, batch: DataFrame, keys: list[str], hashed: str, full: bool) -> DataFrame:
     """keys, action; a full refresh unpublishes what is absent and never deletes."""
     merged = upsert(current, batch, keys, hashed, hashed).drop("snapshot")
