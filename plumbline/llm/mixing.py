@@ -91,22 +91,25 @@ def quotas(leaves: DataFrame, plan: Plan) -> DataFrame:
     return leaves.join(budget.withColumnRenamed("budget", "quota"), LEVELS).drop("cap")
 
 
-def selection(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
+def selection(docs: DataFrame, plan: Plan | None = None, apart: Column | None = None) -> DataFrame:
     """doc_id, domain, lang, source, epoch, n_tokens and take_tokens: a row per text and epoch it is in.
 
     Null languages and sources are children of their own, named `none`; null and empty texts
     have no tokens and are never taken; repeated rows count and are taken as often as they
     occur. Texts with equal hashes go by id, then by number of tokens. Other columns are
-    not read.
+    not read. With apart, a column of docs that tells rows of one id apart, it comes along as
+    `apart`, and rows without an id are drawn by it.
     """
     plan = plan or Plan()
+    more = [] if apart is None else ["apart"]
+    unnamed = F.lit("none") if apart is None else F.concat(F.lit("none:"), F.col("apart").cast("string"))
     source = F.col("source").cast("string")
-    rows = docs.select("doc_id", domain_of(source).alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("lang"), F.coalesce(source, F.lit("none")).alias("source"), token_count(F.col("text").cast("string")).alias("n_tokens"))
+    rows = docs.select("doc_id", domain_of(source).alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("lang"), F.coalesce(source, F.lit("none")).alias("source"), token_count(F.col("text").cast("string")).alias("n_tokens"), *([] if apart is None else [apart.alias("apart")]))
     rows = stored(rows.where("n_tokens > 0"))
     leaves = quotas(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), plan)
     bits = F.least(F.lit(BUCKET_BITS), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("rows") / BUCKET_ROWS)))).cast("int")
     leaves = stored(leaves.select(*LEVELS, F.floor(F.col("quota") / F.col("tokens")).cast("int").alias("whole"), (F.col("quota") % F.col("tokens")).alias("rest"), bits.alias("bits")))
-    order = F.md5(F.concat_ws(":", F.lit(str(plan.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).cast("binary"))
+    order = F.md5(F.concat_ws(":", F.lit(str(plan.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), unnamed)).cast("binary"))
     rows = rows.join(leaves, LEVELS).withColumn("order", order)
     rows = rows.withColumn("bucket", F.expr("cast(conv(substring(order, 1, 8), 16, 10) as bigint) div cast(pow(2, 32 - bits) as bigint)"))
     keys = [*LEVELS, "bucket"]
@@ -116,15 +119,20 @@ def selection(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     within = rows.join(cuts, keys, "left").withColumn("whole_bucket", F.col("before") + F.col("in_bucket") <= F.col("rest"))
     taken = within.where("whole_bucket").withColumn("take", F.col("n_tokens"))
     cut = within.where("not whole_bucket")  # one bucket of each leaf
-    start = F.sum("n_tokens").over(W.partitionBy(*keys).orderBy("order", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens") + F.col("before")
+    start = F.sum("n_tokens").over(W.partitionBy(*keys).orderBy("order", "doc_id", "n_tokens", *more).rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens") + F.col("before")
     cut = cut.withColumn("start", start).withColumn("take", F.least("n_tokens", F.greatest(F.lit(0), F.col("rest") - F.col("start")))).drop("start")
-    out = ["doc_id", *LEVELS, "epoch", "n_tokens", "take_tokens"]
-    partial = taken.unionByName(cut).where("take > 0").select("doc_id", *LEVELS, F.col("whole").alias("epoch"), "n_tokens", F.col("take").alias("take_tokens"))
-    full = rows.where("whole > 0").select("doc_id", *LEVELS, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"))
+    out = ["doc_id", *LEVELS, "epoch", "n_tokens", "take_tokens", *more]
+    partial = taken.unionByName(cut).where("take > 0").select("doc_id", *LEVELS, F.col("whole").alias("epoch"), "n_tokens", F.col("take").alias("take_tokens"), *more)
+    full = rows.where("whole > 0").select("doc_id", *LEVELS, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"), *more)
     return full.unionByName(partial).select(*out)
 
 
 def mixed(docs: DataFrame, plan: Plan) -> DataFrame:
-    """The rows of docs that one epoch takes, whole texts (also the last of a leaf); rows with a taken id stay together."""
-    ids = selection(docs, plan).select(F.col("doc_id").alias("__taken")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__taken")), "left_semi")
+    """The rows of docs that one epoch takes, whole texts (also the last of a leaf).
+
+    A row is known by id and text, so rows of one id, or of none, are drawn each for itself;
+    only rows equal in both stay together, which may take more than the budget.
+    """
+    apart = F.xxhash64(F.col("text").cast("string"))
+    ids = selection(docs, plan, apart).select(F.col("doc_id").alias("__taken"), F.col("apart").alias("__apart")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__taken")) & (apart == F.col("__apart")), "left_semi")

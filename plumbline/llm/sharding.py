@@ -137,13 +137,17 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, maps: str
     A group of equal texts can hold a third of all bytes, which no law of equal sizes allows in
     one shard: virtual slots hash the id, checksum and size, so copies of a text are split over
     the slots and shards. Null texts have size OVERHEAD and no checksum; null ids hash like a
-    value; repeated rows share a virtual slot and have places of their own; other columns are
-    not read.
+    value. Rows equal in all three are numbered within an input partition and from the second
+    on hash their number too, so they spread as well; such rows may change slots if the input
+    is partitioned anew, all others never do. Other columns are not read.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    rows = docs.select("doc_id", record_size(text).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = stored(rows.withColumn("vslot", slot_of(slots, F.col("doc_id"), F.col("text_crc32"), F.col("size"))))
+    rows = docs.select("doc_id", record_size(text).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.spark_partition_id().alias("read_by"))
+    known = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    again = F.row_number().over(W.partitionBy(*known, "read_by").orderBy("size")) - 1  # at most an input partition's rows
+    vslot = F.when(F.col("again") == 0, slot_of(slots, *known)).otherwise(slot_of(slots, *known, F.col("again")))
+    rows = stored(rows.withColumn("again", again).select(*known, vslot.alias("vslot")))
     path = maps or f"{shared_folder(spark)}/slot-maps-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     slot_map = kept_map(spark, path, stored(slot_stats(rows)), shards)
     return placed(rows, slot_map).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -34,6 +34,7 @@ DISTANCE = 4
 BLOCK, FAN = 512, 8
 QUERIES_AT_ONCE = 2048
 PIECE = 1 << 20
+SALTS = 32
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
@@ -193,14 +194,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row's whole text.
 
     Texts that are null or have no word have fingerprint zero and link like others. Rows
-    with a null doc_id get the component of their fingerprint, null if only such rows have
-    it; repeated rows are one document and come out as often. Columns other than doc_id
-    and text are not read.
+    with a null doc_id link too and get the smallest id of their component, null if only
+    such rows are in it; repeated rows are one document and come out as often. Columns
+    other than doc_id and text are not read.
     """
     fps = stored(fingerprints(docs))
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(classes.where("rep is not null")))
-    named = stored(classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
+    found = components(links(classes.select("fp", F.col("fp").alias("rep"))))
+    held = stored(classes.join(found, classes.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")))
+    # A component's smallest id goes back to its classes in SALTS copies, so that a large component is not one task's.
+    least = held.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = least.select("component", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    held = held.withColumn("salt", F.pmod("fp", F.lit(SALTS)).cast("int")).join(least, ["component", "salt"], "left")
+    named = stored(held.select("fp", F.coalesce("least", "rep").alias("component_id")))
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -71,3 +71,11 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.take_tokens) for r in out) == [(0, 3), (4, 2), (4, 2), (5, 200_000)]
     assert mixing.selection(docs.limit(0)).count() == 0
     assert mixing.mixed(docs, mixing.Plan(share=9.0, epochs=1)).columns == docs.columns
+
+
+def test_texts_without_an_id_keep_the_budget(spark):
+    rows = [(None if i % 3 == 0 else i, " ".join(["w"] * 9 + [str(i)]), "en", "s") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = mixing.mixed(docs, mixing.Plan(share=0.5, epochs=1)).collect()
+    assert len(kept) == 1500 and len({r.text for r in kept}) == 1500
+    assert 400 < sum(r.doc_id is None for r in kept) < 600

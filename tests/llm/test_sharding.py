@@ -72,3 +72,17 @@ def test_the_map_is_kept_and_edited_by_later_runs(spark, tmp_path):
     assert set(less.values()) == {0, 1, 2}
     for shard in range(3):
         assert sorted(r.slot for r in sharding.sharded(swollen, 3, 256, path).collect() if r.shard == shard) == list(range(sum(s == shard for s in less.values())))
+
+
+def test_equal_rows_spread(spark):
+    rows = [(i, f"t{i:05}") for i in range(1300)] + [(5, "t00005")] * 400 + [(None, "t")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = sharding.sharded(docs).collect()
+    assert Counter((r.doc_id, r.size) for r in out) == Counter((i, len(t) + 8) for i, t in rows)
+    loads, places = Counter(), defaultdict(list)
+    for r in out:
+        loads[r.shard] += r.size
+        places[r.shard].append(r.slot)
+    mean = sum(loads.values()) / 24
+    assert len(loads) == 24 and max(abs(v - mean) for v in loads.values()) <= 0.02 * mean + 14
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())

@@ -97,3 +97,23 @@ def test_finer_groups_find_the_same(spark, monkeypatch):
     got = {tuple(r) for r in simhash.near_duplicates(docs).collect()}
     monkeypatch.setattr(simhash, "masks", lambda n, of=simhash.masks: of(1 << 24))
     assert {tuple(r) for r in simhash.near_duplicates(docs).collect()} == got
+
+
+def test_rows_without_an_id_link_the_others(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    fps = []
+    for _ in range(60):  # chains whose ends are apart
+        fps.append(int(rng.integers(0, 2**62)))
+        for _ in range(int(rng.integers(0, 6))):
+            fps.append(fps[-1] ^ int(sum(1 << int(b) for b in rng.choice(62, 4, replace=False))))
+    rows = [(None if i % 3 == 1 else i, f) for i, f in enumerate(fps)]
+    rows += [(7, fps[6]), (None, fps[0])]  # repeated
+    comp = list(range(len(rows)))
+    for _ in range(12):
+        for x in range(len(rows)):
+            comp[x] = min(comp[y] for y in range(len(rows)) if (rows[x][1] ^ rows[y][1]).bit_count() <= 4)
+    least = {c: min((r[0] for r, d in zip(rows, comp, strict=True) if d == c and r[0] is not None), default=None) for c in comp}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    key = lambda r: (r[1], r[0] is None, r[0] or 0, r[2] is None, r[2] or 0)
+    assert sorted([tuple(r) for r in got], key=key) == sorted([(i, f"{f:016x}", least[c]) for (i, f), c in zip(rows, comp, strict=True)], key=key)
