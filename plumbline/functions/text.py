@@ -116,7 +116,14 @@ def tokens(text: Column) -> Column:
 
 def number(text: Column) -> Column:
     """1.234.567,8 and 1234.5: a comma is decimal, dots are thousands only in groups of three; stops at the end go."""
-    t = F.regexp_replace(F.trim(text), "[.,]+$", "")
+    return _read(_bare(text))
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.trim(text), "[.,]+$", "")
+
+
+def _read(t: Column) -> Column:
     plain = F.when(t.contains(","), F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(t.rlike(r"^[0-9]+([.][0-9]{3})+$"), F.replace(t, F.lit("."), F.lit(""))).otherwise(t)
     return F.when(t.rlike("^[0-9]"), plain.try_cast("double"))
 
@@ -124,7 +131,7 @@ def number(text: Column) -> Column:
 def numbers(text: Column) -> Column:
     """All numbers of a text, in order."""
     found = F.regexp_extract_all(text, F.lit(r"[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
-    return F.filter(F.transform(found, number), lambda x: x.isNotNull())
+    return F.filter(F.transform(found, _read), lambda x: x.isNotNull())  # what is found ends in a digit
 
 
 def orphans(said: Column, allowed: Column, share: float = 0.001, least: float = 0.5) -> Column:
@@ -151,11 +158,14 @@ def mean_confidence(confidences: Column) -> Column:
 
 def json_numbers(data: Column) -> Column:
     """All numbers of a JSON text: numeric leaves as they are, those in string leaves as number() reads them; keys do not count."""
-    quoted = r'"(?:[^"\\\\]|\\\\.)*"'
-    values = F.filter(F.regexp_extract_all(data, F.lit(quoted + r'\s*:|"((?:[^"\\\\]|\\\\.)*)"'), F.lit(1)), lambda v: v != "")
+    quoted = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'  # possessive: neither backtracking nor recursion on long texts
+    values = F.filter(F.regexp_extract_all(data, F.lit(quoted + r"\s*:|(" + quoted + ")"), F.lit(1)), lambda v: v != "")
+    # Spark's own reader undoes the escapes of all texts at once; their digits must not count.
+    lenient = {"allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    texts = F.array_join(F.from_json(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>", lenient), " ; ")
     bare = F.regexp_replace(data, quoted, " ")
     leaves = F.transform(F.regexp_extract_all(bare, F.lit(r"-?[0-9]+(?:[.][0-9]+)?(?:[eE][-+]?[0-9]+)?"), F.lit(0)), lambda x: x.try_cast("double"))
-    return F.concat(leaves, F.flatten(F.transform(values, numbers)))
+    return F.concat(leaves, F.coalesce(numbers(texts), F.array().cast("array<double>")))
 
 
 # What a report says about money, as paths of its JSON.
@@ -166,7 +176,7 @@ def money_figures(data: Column) -> Column:
     """The amounts of a report's JSON: suggested price, closing range, price for a square metre."""
     objects = [F.coalesce(F.map_values(F.from_json(F.get_json_object(data, p), "map<string,string>")), F.array().cast("array<string>")) for p in MONEY_OBJECTS]
     every = F.concat(*objects, F.array(F.get_json_object(data, MONEY_FIELD)))
-    return F.filter(F.transform(every, number), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.transform(every, _bare), _read), lambda x: x.isNotNull())
 
 
 def allowed_numbers(data: Column) -> Column:

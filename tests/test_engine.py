@@ -420,3 +420,34 @@ def test_bootstrap_against_plain_resampling(spark):
 def test_lots_only_end_short_once(spark):
     got = {r.i: r.lot for r in contracts.lots(spark.range(4090, 4110).withColumnRenamed("id", "i"), "i").collect()}
     assert got == {i: (i - 4090) // 6 for i in range(4090, 4110)}
+
+
+def test_numbers_of_any_json_are_those_of_its_leaves(spark):
+    import random
+
+    rng = random.Random(4)
+    bits = ['"', "\\", "\n", "é", "²", "1.234,5", "17", "7.", "x", " ", ":", "{", "[3]", '\\"9', "2.000"]
+    text = lambda: "".join(rng.choice(bits) for _ in range(rng.randrange(7)))
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 5)
+        if kind < 5:
+            return [text(), rng.randrange(-500, 500), rng.random() * 1e6, rng.choice([True, False, None]), text()][kind]
+        return [value(depth - 1) for _ in range(rng.randrange(4))] if kind == 5 else {text(): value(depth - 1) for _ in range(rng.randrange(4))}
+
+    def leaves(v):
+        if isinstance(v, dict | list):
+            return [x for w in (v.values() if isinstance(v, dict) else v) for x in leaves(w)]
+        return [v] if isinstance(v, str) or (isinstance(v, int | float) and not isinstance(v, bool)) else []
+
+    data = [{"t": 'vale "1.234,5" hoy'}, {"t": "it\\", "k 12": 3}, {"t": "a\\u00b2 m² 40" + "\\" * 5000}] + [{text(): value(3)} for _ in range(200)]
+    every = [leaves(d) for d in data]
+    rows = [(i, json.dumps(d, ensure_ascii=i % 2 == 0)) for i, d in enumerate(data)]
+    parts = [(i, x) for i, v in enumerate(every) for x in v if isinstance(x, str)]
+    said = {}
+    for r in spark.createDataFrame(parts, "i int, t string").select("i", tx.numbers(F.col("t")).alias("n")).collect():
+        said.setdefault(r.i, []).extend(r.n)
+    got = spark.createDataFrame(rows, "i int, data string").select("i", tx.json_numbers(F.col("data")).alias("n")).collect()
+    for r in got:
+        assert sorted(r.n) == sorted([float(x) for x in every[r.i] if not isinstance(x, str)] + said.get(r.i, [])), rows[r.i]
+    assert said[0] == [1234.5] and every[1] == ["it\\", 3]
