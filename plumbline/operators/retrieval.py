@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions import spanish
+
 
 def unknown_or_between(value: Column, lo: Column, hi: Column) -> Column:
     """Ranges let unknown values pass."""
@@ -205,17 +207,34 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame, most: int = 40) -> DataFrame:
-    """q, d, score: what the cover density of an OR of the query's words gives, best chunk of each document.
+def postings(chunks: DataFrame) -> DataFrame:
+    """d, chunk, term, n of chunks(d, chunk, text): how often each chunk has a term, a stem of its words without stopwords.
+
+    An index to be stored: nothing in it depends on other chunks, so new ones are appended and a
+    chunk's rows are replaced with it. A null text has none. Words are runs of letters and digits.
+    """
+    words = chunks.select("d", "chunk", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w")).where(~F.col("w").isin(spanish.STOPWORDS))
+    counted = words.groupBy("d", "chunk", "w").agg(F.count("*").alias("n"))
+    return spanish.stemmed(counted, "w", "term").groupBy("d", "chunk", "term").agg(F.sum("n").alias("n"))
+
+
+def query_terms(queries: DataFrame, most: int = 40) -> DataFrame:
+    """q, term of queries(q, text): the first `most` distinct words of three letters or digits or more, then stopwords go and stems are left."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-záéíóúñü0-9]{3,}"), F.lit(0)))
+    rows = queries.select("q", F.explode(F.slice(words, 1, most)).alias("w")).where(~F.col("w").isin(spanish.STOPWORDS))
+    return spanish.stemmed(rows, "w", "term").select("q", "term").distinct()
+
+
+def lexical_scores(queries: DataFrame, index: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """q, d, score: what the cover density of an OR of the query's terms gives, best chunk of each document.
 
-    queries(q, text), chunks(d, chunk, text). A query is its first `most` distinct words of three
-    letters or digits or more. Under OR each matching place of a chunk is a cover of its own and
-    weighs a tenth, and r / (r + 1) of their sum is the score; only chunks that match have one.
+    queries(q, text), index as of postings(); pairs(q, d) if only some documents are asked for. Under
+    OR each place of a chunk that has a term is a cover of its own and weighs a tenth, and
+    r / (r + 1) of their sum is the score. Only chunks that match have one, and only their postings are read on.
     """
-    words = lambda text: F.regexp_extract_all(F.lower(text), F.lit("[a-záéíóúñü0-9]{3,}"), F.lit(0))
-    q = queries.select("q", F.explode(F.slice(F.array_distinct(words(F.col("text"))), 1, most)).alias("w"))
-    c = chunks.select("d", "chunk", F.explode(words(F.col("text"))).alias("w")).groupBy("d", "chunk", "w").agg(F.count("*").alias("n"))
-    sums = c.join(q, "w").groupBy("q", "d", "chunk").agg((F.sum("n") * 0.1).alias("r"))
+    terms = query_terms(queries)
+    found = index.join(terms, "term") if pairs is None else index.join(pairs.select("q", "d").distinct(), "d").join(terms, ["q", "term"])
+    sums = found.groupBy("q", "d", "chunk").agg((F.sum("n") * 0.1).alias("r"))
     return sums.groupBy("q", "d").agg(F.max(F.col("r") / (F.col("r") + 1)).alias("score"))
 
 

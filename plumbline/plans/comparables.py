@@ -15,6 +15,7 @@ from plumbline.operators import rules
 from plumbline.operators import valuation as v
 
 from .base import Registry
+from .spanish import lexical_sql
 from .surrogates import AREAS_SQL, AS_OF, LISTINGS_SQL, areas, listings, table
 from .valuation import engine_sql, valued_sql
 
@@ -93,13 +94,25 @@ def relaxation_ladder(spark, sf_dir):
     return rt.ladder(ladder_pairs(spark, sf_dir), "subject_id", RUNGS, AS_OF, 25, 60).select("subject_id", "listing_id", "step", "used_step", "place")
 
 
-@R.query(ladder_sql(5000) + """, scored AS (SELECT subject_id, listing_id, place, CASE WHEN strpos(listing_id, '7') > 0 THEN (strpos(listing_id, '7') * 37 + subject_id) % 101 / 101 END AS score FROM ranked WHERE place <= 5000),
-o AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY coalesce(score, -1) DESC, place) AS new_place FROM scored) SELECT subject_id, listing_id, new_place, round_even(score, 4) AS score FROM o WHERE new_place <= 60""")
+WANTED = ["excelentes pisos al frente, con piletas", "muy buenos, al contrafrente; gimnasio y seguridad", "a estrenar, internos, con pileta y gimnasios", "para refaccionar, laterales"]
+WANTED_SQL = "(SELECT n_nationkey AS q, " + "CASE n_nationkey % 4 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(WANTED)) + " END || ' ' || n_name AS text FROM nation)"
+
+
+@R.query(ladder_sql(5000) + ", pool AS (SELECT * FROM ranked WHERE place <= 5000), "
+  + lexical_sql(WANTED_SQL, "(SELECT listing_id AS d, concat_ws(' ', kind, replace(condition, '_', ' '), orientation, array_to_string(amenities, ', '), n_name) AS text FROM canon JOIN nation ON n_nationkey = area_id WHERE listing_id IN (SELECT listing_id FROM pool))")
+  + """, o AS (SELECT pool.*, r / (r + 1) AS score, row_number() OVER (PARTITION BY subject_id ORDER BY coalesce(round_even(r / (r + 1), 9), -1) DESC, place) AS new_place FROM pool LEFT JOIN lx ON q = subject_id AND d = listing_id)
+SELECT subject_id, listing_id, new_place, round_even(score, 4) AS score FROM o WHERE new_place <= 60""")
 def semantic_ladder(spark, sf_dir):
-    """The ladder's pool of up to 5,000, ordered by a score that is given; unscored ones follow by recency."""
+    """The ladder's pool of up to 5,000, ordered by the cover density of the subject's words in the listings' texts; unscored ones follow by recency."""
     pool = rt.ladder(ladder_pairs(spark, sf_dir), "subject_id", RUNGS, AS_OF, 25, 5000)
-    at = F.instr("listing_id", "7")
-    scores = pool.where(at > 0).select("subject_id", "listing_id", ((at * 37 + F.col("subject_id")) % 101 / 101).alias("score"))
+    pairs = pool.select(F.col("subject_id").alias("q"), F.col("listing_id").alias("d"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    wanted = F.element_at(F.array(*[F.lit(w) for w in WANTED]), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    queries = n.select(F.col("n_nationkey").alias("q"), F.concat_ws(" ", wanted, "n_name").alias("text"))
+    said = F.concat_ws(" ", "kind", F.replace(F.col("condition"), F.lit("_"), F.lit(" ")), "orientation", F.array_join("amenities", ", "), "n_name")
+    rows = canon(spark, sf_dir).join(pairs.select(F.col("d").alias("listing_id")).distinct(), "listing_id", "left_semi").join(n, F.col("area_id") == F.col("n_nationkey"))
+    index = rt.postings(rows.select(F.col("listing_id").alias("d"), F.lit(0).alias("chunk"), said.alias("text")))
+    scores = rt.lexical_scores(queries, index, pairs).select(F.col("q").alias("subject_id"), F.col("d").alias("listing_id"), F.bround("score", 9).alias("score"))
     return rt.by_score(pool, scores, "subject_id").select("subject_id", "listing_id", "new_place", "score")
 
 

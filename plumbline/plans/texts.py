@@ -12,6 +12,7 @@ from plumbline.operators import evaluation as ev
 from plumbline.operators import retrieval as rt
 
 from .base import Registry
+from .spanish import lexical_sql
 from .surrogates import table
 
 R = Registry()
@@ -124,9 +125,7 @@ def double_gate_refusal(spark, sf_dir):
     return best.select("report", "best_cos", F.round("lexical", 6).alias("best_lexical"), rt.refused(F.col("best_cos"), F.col("lexical")).alias("refused"))
 
 
-LEXICAL_SQL = """qw AS (SELECT item_id AS q, unnest(list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 40)) AS w FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-záéíóúñü0-9]{3,}') AS w FROM benchmark)),
-cw AS (SELECT doc_id AS d, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-záéíóúñü0-9]{3,}')) AS w FROM documents) GROUP BY ALL),
-lx AS (SELECT q, d, sum(n) * 0.1::DOUBLE AS r FROM cw JOIN qw USING (w) GROUP BY ALL)"""
+LEXICAL_SQL = lexical_sql("(SELECT item_id AS q, text FROM benchmark)", "(SELECT doc_id AS d, text FROM documents)")
 
 
 @R.query(f"WITH {LEXICAL_SQL}, o AS (SELECT q, d, round(r / (r + 1), 9) AS score, row_number() OVER (PARTITION BY q ORDER BY round(r / (r + 1), 9) DESC, d) AS pos FROM lx) SELECT * FROM o WHERE pos <= 25")
@@ -134,7 +133,7 @@ def cover_density_topk(spark, sf_dir):
     """The lexical mode: passages as queries, whole documents as chunks."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.lit(0).alias("chunk"), "text")
-    scores = rt.lexical_scores(queries, chunks)
+    scores = rt.lexical_scores(queries, rt.postings(chunks))
     return rt.top_k(scores.select("q", "d", F.round("score", 9).alias("score")), "q", [F.desc("score"), F.col("d")], 25)
 
 

@@ -397,7 +397,8 @@ def test_modes_of_scoring(spark):
     assert run("denso") == {10: 0.9, 11: 0.5} and run("lexico") == {11: 0.7} and run("hibrido") == {10: round(1 / 61, 6), 11: round(1 / 62 + 1 / 61, 6)}
     with pytest.raises(ValueError):
         run("x")
-    hits = retrieval.lexical_scores(spark.createDataFrame([(1, "Sol y luz, luz")], "q int, text string"), spark.createDataFrame([(7, 0, "luz luz sol"), (7, 1, "sol"), (8, 0, "nada")], "d int, chunk int, text string")).collect()
+    index = retrieval.postings(spark.createDataFrame([(7, 0, "luz luz sol"), (7, 1, "sol"), (8, 0, "nada")], "d int, chunk int, text string"))
+    hits = retrieval.lexical_scores(spark.createDataFrame([(1, "Sol y luz, luz")], "q int, text string"), index).collect()
     assert [(r.d, round(r.score, 6)) for r in hits] == [(7, round(0.3 / 1.3, 6))]
 
 
