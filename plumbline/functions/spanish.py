@@ -1,12 +1,13 @@
 """Spanish words as search terms: stopwords, and stems by the published Snowball rules, as column functions.
 
-A stem is found by regular expressions over whole columns; nothing leaves the JVM. `stemmed()`
-adds it to rows that have a word each, in a few projections that build on each other.
+A stem is found by regular expressions over whole columns; nothing leaves the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 V = "aeiouáéíóúü"
@@ -68,6 +69,11 @@ R2 = f"^.*?[{V}][^{V}].*?[{V}][^{V}]"
 RV = f"^(?:.[^{V}].*?[{V}]|[{V}][{V}].*?[^{V}]|[^{V}][{V}].)"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value computed once; a filter on the result that is pushed down repeats it no further."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _end(text: Column, suffixes: list[str]) -> Column:
     return F.regexp_extract(text, any_of(suffixes), 0)
 
@@ -78,52 +84,68 @@ def _less(text: Column, suffix: Column) -> Column:
 
 
 def _cut(text: Column, suffixes: list[str], region: Column) -> Column:
-    """text without the longest of the suffixes that it ends in, if that lies in the region; else text."""
-    end = _end(text, suffixes)
-    return F.when((end != "") & (F.length(text) - F.length(end) >= region), _less(text, end)).otherwise(text)
-
-
-def stemmed(rows: DataFrame, word: str, stem: str = "stem") -> DataFrame:
-    """rows with the stem of a column of lower-case words; null stays null, and words of other letters mostly stay as they are."""
-    w, (p1, p2, pv) = F.col("__w"), (F.col(f"__{p}") for p in ("p1", "p2", "pv"))
-    region = lambda pattern: F.when(F.col(word).rlike(pattern), F.length(F.regexp_extract(word, pattern, 0))).otherwise(F.length(word))
-    out = rows.withColumns({"__w": F.col(word), "__p1": region(R1), "__p2": region(R2), "__pv": region(RV)})
-    # Step 0: a pronoun after an infinitive or a gerund in RV, whose accent goes too.
-    out = out.withColumn("__base", _less(w, _end(w, PRONOUNS)))
-    base = F.col("__base")
-    out = out.withColumn("__verb", F.when(base != w, _end(base, BEFORE_PRONOUN)).otherwise(""))
-    verb = F.col("__verb")
-    fits = (verb != "") & (F.length(base) - F.length(verb) >= pv) & ((verb != "yendo") | base.endswith("uyendo"))
-    out = out.withColumn("__w", F.when(fits, F.concat(_less(base, verb), F.translate(verb, "áéí", "aei"))).otherwise(w))
-    # Step 1: the longest of the standard suffixes counts, whether it can be removed or not.
-    out = out.withColumn("__end", _end(w, STEP_1))
-    end = F.col("__end")
-    out = out.withColumns({"__base": _less(w, end), "__in1": F.length(w) - F.length(end) >= p1, "__in2": F.length(w) - F.length(end) >= p2})
-    iv = _cut(base, ["iv"], p2)
-    removed = (
-        F.when(end == "", F.lit(None))
-        .when(end == "amente", F.when(F.col("__in1"), F.when(iv != base, _cut(iv, ["at"], p2)).otherwise(_cut(base, ["os", "ic", "ad"], p2))))
-        .when(~F.col("__in2"), F.lit(None))
-        .when(end.isin(IN_R2), base)
-        .when(end.isin(AFTER_IC), _cut(base, ["ic"], p2))
-        .when(end.isin(LOG), F.concat(base, F.lit("log")))
-        .when(end.isin(U), F.concat(base, F.lit("u")))
-        .when(end.isin(ENTE), F.concat(base, F.lit("ente")))
-        .when(end == "mente", _cut(base, ["ante", "able", "ible"], p2))
-        .when(end.isin(IDAD), _cut(base, ["abil", "ic", "iv"], p2))
-        .otherwise(_cut(base, ["at"], p2))
-    )
-    out = out.withColumn("__one", removed)
-    # Step 2: verb endings within RV, those with y after a u first.
-    out = out.withColumn("__end", F.when(F.col("__one").isNull(), _end(F.substring(w, pv + 1, F.length(w)), Y_VERBS)).otherwise(""))
-    out = out.withColumn("__two", F.when((end != "") & _less(w, end).endswith("u"), _less(w, end)))
-    out = out.withColumn("__end", F.when(F.col("__one").isNull() & F.col("__two").isNull(), _end(F.substring(w, pv + 1, F.length(w)), VERBS + GU_VERBS)).otherwise(""))
-    out = out.withColumn("__base", _less(w, end))
-    without = F.when(end.isin(GU_VERBS) & base.endswith("gu"), F.substring(base, F.lit(1), F.length(base) - 1)).otherwise(base)
-    out = out.withColumn("__w", F.coalesce("__one", "__two", without))
-    # Step 3: what is left of a vowel's ending, in RV; then accents.
-    out = out.withColumn("__end", _end(w, RESIDUAL))
-    out = out.withColumn("__base", F.when((end != "") & (F.length(w) - F.length(end) >= pv), _less(w, end)).otherwise(w))
-    silent = (base != w) & end.isin("e", "é") & base.endswith("gu") & (F.length(base) - 1 >= pv)
-    last = F.when(silent, F.substring(base, F.lit(1), F.length(base) - 1)).otherwise(base)
-    return out.withColumn(stem, F.translate(last, "áéíóú", "aeiou")).drop("__w", "__p1", "__p2", "__pv", "__base", "__verb", "__end", "__in1", "__in2", "__one", "__two")
+    """text without one of some suffixes of one length, if that lies in the region; else text."""
+    n = len(suffixes[0])
+    ends = F.lit(False)
+    for s in suffixes:
+        ends = ends | text.endswith(s)
+    return F.when(ends & (F.length(text) - n >= region), F.substring(text, F.lit(1), F.length(text) - n)).otherwise(text)
+
+
+def _without_pronoun(w: Column, pv: Column) -> Column:
+    """Step 0: a pronoun after an infinitive or a gerund in RV goes, and so does the verb's accent."""
+
+    def split(base: Column, verb: Column) -> Column:
+        fits = (verb != "") & (F.length(base) - F.length(verb) >= pv) & ((verb != "yendo") | base.endswith("uyendo"))
+        return F.when(fits, F.concat(_less(base, verb), F.translate(verb, "áéí", "aei"))).otherwise(w)
+
+    return _let(_less(w, _end(w, PRONOUNS)), lambda base: _let(F.when(base != w, _end(base, BEFORE_PRONOUN)).otherwise(""), lambda verb: split(base, verb)))
+
+
+def _without_suffix(w: Column, p1: Column, p2: Column) -> Column:
+    """Step 1: the longest of the standard suffixes counts, whether it can be removed or not; null if none goes."""
+
+    def removed(base: Column, end: Column) -> Column:
+        iv = base.endswith("iv") & (F.length(base) - 2 >= p2)
+        manner = F.when(iv, _cut(F.substring(base, F.lit(1), F.length(base) - 2), ["at"], p2)).otherwise(_cut(base, ["os", "ic", "ad"], p2))
+        return (
+            F.when(end == "", F.lit(None))
+            .when(end == "amente", F.when(F.length(base) >= p1, manner))
+            .when(F.length(base) < p2, F.lit(None))
+            .when(end.isin(IN_R2), base)
+            .when(end.isin(AFTER_IC), _cut(base, ["ic"], p2))
+            .when(end.isin(LOG), F.concat(base, F.lit("log")))
+            .when(end.isin(U), F.concat(base, F.lit("u")))
+            .when(end.isin(ENTE), F.concat(base, F.lit("ente")))
+            .when(end == "mente", _cut(base, ["ante", "able", "ible"], p2))
+            .when(end.isin(IDAD), F.when(base.endswith("abil"), _cut(base, ["abil"], p2)).otherwise(_cut(base, ["ic", "iv"], p2)))
+            .otherwise(_cut(base, ["at"], p2))
+        )
+
+    return _let(_end(w, STEP_1), lambda end: _let(_less(w, end), lambda base: removed(base, end)))
+
+
+def _without_verb(w: Column, pv: Column) -> Column:
+    """Step 2: verb endings within RV, those with y after a u first."""
+    within = lambda suffixes: _end(F.substring(w, pv + 1, F.length(w)), suffixes)
+    other = _let(within(VERBS + GU_VERBS), lambda end: _let(_less(w, end), lambda base: F.when(end.isin(GU_VERBS) & base.endswith("gu"), _less(base, F.lit("u"))).otherwise(base)))
+    return _let(within(Y_VERBS), lambda end: F.when((end != "") & _less(w, end).endswith("u"), _less(w, end)).otherwise(other))
+
+
+def _without_vowel(w: Column, pv: Column) -> Column:
+    """Step 3: what is left of an ending's vowel, in RV, with the silent u of gue."""
+    silent = lambda base, end: end.isin("e", "é") & base.endswith("gu") & (F.length(base) - 1 >= pv)
+    rest = lambda base, end: F.when(F.length(base) < pv, w).when(silent(base, end), _less(base, F.lit("u"))).otherwise(base)
+    return _let(_end(w, RESIDUAL), lambda end: F.when(end == "", w).otherwise(_let(_less(w, end), lambda base: rest(base, end))))
+
+
+def stem(word: Column) -> Column:
+    """The stem of a lower-case word; null stays null, and words of other letters mostly stay as they are."""
+    region = lambda w, pattern: _let(F.length(F.regexp_extract(w, pattern, 0)), lambda n: F.when(n == 0, F.length(w)).otherwise(n))
+
+    def of(w: Column, p1: Column, p2: Column, pv: Column) -> Column:
+        parts = _let(_without_pronoun(w, pv), lambda a: _let(_without_suffix(a, p1, p2), lambda b: F.when(b.isNotNull(), b).otherwise(_without_verb(a, pv))))
+        return F.translate(_let(parts, lambda c: _without_vowel(c, pv)), "áéíóú", "aeiou")
+
+    start = F.struct(word.alias("w"), region(word, R1).alias("p1"), region(word, R2).alias("p2"), region(word, RV).alias("pv"))
+    return _let(start, lambda s: of(s["w"], s["p1"], s["p2"], s["pv"]))
