@@ -10,6 +10,7 @@ from plumbline.operators import changes, lookup, resolution
 from plumbline.operators import contracts as ct
 from plumbline.operators import evaluation as ev
 from plumbline.operators import retrieval as rt
+from plumbline.sources import store
 
 from .base import Registry
 from .spanish import lexical_sql
@@ -460,6 +461,22 @@ def upsert_listing_changes(spark, sf_dir):
     return changes.upsert(mark(o), mark(batch), ["o_orderkey"], "hash", "price")
 
 
+@R.query("""WITH b AS (SELECT o_orderkey + CASE WHEN o_orderkey % 13 = 0 THEN 100000000 ELSE 0 END AS k, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderpriority END AS priority FROM orders)
+SELECT coalesce(o_orderkey, k) AS listing_id, coalesce(b.price, o_totalprice) AS price, coalesce(b.priority, o_orderpriority) AS priority, CASE WHEN o_orderkey IS NULL THEN DATE '2001-11-05' ELSE DATE '2001-11-04' END AS first_seen,
+CASE WHEN k IS NULL THEN DATE '2001-11-04' ELSE DATE '2001-11-05' END AS last_seen, true AS active, (o_orderkey IS NOT NULL)::INT + (k IS NOT NULL AND (o_orderkey IS NULL OR b.price <> o_totalprice))::INT AS snapshots FROM orders FULL JOIN b ON o_orderkey = k""")
+def stored_two_days(spark, sf_dir):
+    """Two days' batches merged into a store one after the other: the listings that it holds then, with their snapshots."""
+    key = F.col("listing_id")
+    one = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("listing_id"), F.col("o_totalprice").alias("price"), F.lit("USD").alias("currency"), F.col("o_orderpriority").alias("priority"))
+    two = one.select((key + F.when(key % 13 == 0, 100000000).otherwise(0)).alias("listing_id"), F.when(key % 7 == 0, F.col("price") + 1).otherwise(F.col("price")).alias("price"), "currency", F.when(key % 5 == 0, "X").otherwise(F.col("priority")).alias("priority"))
+    held = store.Store(spark, store.own_folder(spark), parts=16)
+    for batch, day in ((one, "2001-11-04"), (two, "2001-11-05")):
+        store.upsert_day(held, batch, ["listing_id"], ["price", "currency", "priority"], day, [F.col("price")])
+    seen = held.read("snapshots").groupBy("listing_id").agg(F.count("*").cast("int").alias("snapshots"))
+    dates = [F.col(c).cast("date").alias(c) for c in ("first_seen", "last_seen")]
+    return held.read("listings").join(seen, "listing_id", "left").select("listing_id", "price", "priority", *dates, "active", F.coalesce("snapshots", F.lit(0)).alias("snapshots"))
+
+
 @R.query("SELECT s.s_suppkey + CASE WHEN s.s_suppkey % 9 = 0 AND side = 1 THEN 1000000 ELSE 0 END AS s_suppkey, CASE WHEN s.s_suppkey % 9 = 0 THEN CASE WHEN side = 1 THEN 'created' ELSE 'unpublished' END WHEN s.s_suppkey % 4 = 0 THEN 'updated' ELSE 'unchanged' END AS action FROM supplier s, (VALUES (0), (1)) v(side) WHERE side = 0 OR s.s_suppkey % 9 = 0")
 def inventory_full_refresh(spark, sf_dir):
     i = F.col("s_suppkey")

@@ -11,6 +11,7 @@ the key; a batch reads and rewrites the parts that it has keys of, the others ar
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -138,6 +139,18 @@ class Store:
         return sorted(r[0] for r in batch.select(part_of(keys, self.parts)).distinct().collect())
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The path of a new folder for a run's tables, in spark.checkpoint.dir or the folder set with setCheckpointDir; where
+    neither is set, and in local mode only, a temporary one."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="plumbline-")
+    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
 def _counted(rows: DataFrame, names: list[str], more: dict[str, Column] | None = None) -> tuple[DataFrame, Observation]:
     seen = Observation()
     counts = [F.count_if(F.col("action") == n).alias(n) for n in names] + [c.alias(n) for n, c in (more or {}).items()]
