@@ -207,6 +207,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def term_of(word: Column) -> Column:
+    """A word's stem as a column that is never null, so that a join on it adds no test of each stem below the grouping."""
+    return F.coalesce(spanish.stem(word), F.lit(""))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """d, chunk, term, n of chunks(d, chunk, text): how often each chunk has a term, a stem of its words without stopwords.
 
@@ -215,14 +220,14 @@ def postings(chunks: DataFrame) -> DataFrame:
     """
     words = chunks.select("d", "chunk", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("w")).where(~F.col("w").isin(spanish.STOPWORDS))
     counted = words.groupBy("d", "chunk", "w").agg(F.count("*").alias("n"))
-    return counted.groupBy("d", "chunk", spanish.stem(F.col("w")).alias("term")).agg(F.sum("n").alias("n"))
+    return counted.groupBy("d", "chunk", term_of(F.col("w")).alias("term")).agg(F.sum("n").alias("n"))
 
 
 def query_terms(queries: DataFrame, most: int = 40) -> DataFrame:
     """q, term of queries(q, text): the first `most` distinct words of three letters or digits or more, then stopwords go and stems are left."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-záéíóúñü0-9]{3,}"), F.lit(0)))
     rows = queries.select("q", F.explode(F.slice(words, 1, most)).alias("w")).where(~F.col("w").isin(spanish.STOPWORDS))
-    return rows.select("q", spanish.stem(F.col("w")).alias("term")).distinct()
+    return rows.select("q", term_of(F.col("w")).alias("term")).distinct()
 
 
 def lexical_scores(queries: DataFrame, index: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
