@@ -107,3 +107,18 @@ def test_long_queries_find_what_only_late_terms_share(spark, monkeypatch):
     for name, value in (("RANGE", 2), ("FREQUENT", 2), ("BLOCK_QUERIES", 1), ("SHARD_DOCS", 3), ("AT_ONCE", 1)):
         monkeypatch.setattr(m, name, value)
         assert sorted((r.rank, r.doc_id or -1, r.score) for r in m.search(docs, docs.where("doc_id = 0"), k=7).collect()) == got
+
+
+def test_blocks_hold_a_term_once_and_shards_narrow_counts(spark):
+    rows = [(i, f"same words in all w{i}") for i in range(40)] + [(40, "often " * 300 + "same"), (41, "most " * 70_000 + "same")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    shards = m.index(docs)
+    s = shards.first()
+    assert len(s.dfs) == 4 * len(s.terms) // 8 and len(s.tf) == 4 * len(s.docs) // 2
+    block = m.query_blocks(docs.where("doc_id < 40"), shards, 42.0).first()
+    assert len(block.q_terms) == len(block.idfs) == 8 * 44 and len(block.which) == 4 * 40 * 5
+    for most, width in ((39, 1), (40, 2)):
+        s = m.index(docs.where(f"doc_id <= {most}")).first()
+        assert len(s.tf) == width * len(s.docs) // 2
+    got = m.search(docs, docs.where("doc_id >= 38")).collect()
+    same([(r.query_id, r.doc_id, r.score) for r in got], brute(rows, rows[38:]))
