@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch sent to Python, so that a batch of very long texts fits a worker.
 ARROW_ROWS, ARROW_BYTES = 1000, "16m"
+#: Rows of a file of a stored table of known length, so that files follow the rows and not the shuffle's partitions.
+FILE_ROWS = 8192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,16 +43,17 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get()
 
 
-def stored(df: DataFrame, release: bool = False) -> DataFrame:
+def stored(df: DataFrame, release: bool = False, rows: int | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs no recomputation of what came
     before. The folder goes when the driver's JVM ends. With release, Spark is made to look
-    for shuffle files that nothing refers to any more, which else stay for long.
+    for shuffle files that nothing refers to any more, which else stay for long. With rows
+    (about how many df has), small tables have few files, of FILE_ROWS each.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     jvm = spark.sparkContext._jvm
     if release:
         gc.collect()

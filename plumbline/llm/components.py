@@ -24,13 +24,13 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u <> v").distinct())
     before = None
     while (now := _state(e)) != before:
-        before = now
+        before, rows = now, now[0]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")))
-        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        floor = stored(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = stored(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")), rows=rows)
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), rows=rows)
+        floor = stored(large.groupBy("u").agg(F.min("v").alias("m")), rows=rows)
         small = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(floor.withColumnRenamed("m", "v"))
-        after = stored(small.distinct())
+        after = stored(small.distinct(), rows=rows)
         for t in (e, least, large, floor):
             drop(t)
         e = after

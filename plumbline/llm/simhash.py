@@ -199,14 +199,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other than doc_id and text are not read.
     """
     fps = stored(fingerprints(docs))
-    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    rows = fps.count()
+    classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), rows=rows)
     found = components(links(classes.select("fp", F.col("fp").alias("rep"))))
-    held = stored(classes.join(found, classes.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")))
+    held = stored(classes.join(found, classes.fp == found.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), rows=rows)
     # A component's smallest id goes back to its classes in SALTS copies, so that a large component is not one task's.
     least = held.groupBy("component").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
     least = least.select("component", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     held = held.withColumn("salt", F.pmod("fp", F.lit(SALTS)).cast("int")).join(least, ["component", "salt"], "left")
-    named = stored(held.select("fp", F.coalesce("least", "rep").alias("component_id")))
+    named = stored(held.select("fp", F.coalesce("least", "rep").alias("component_id")), rows=rows)
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -117,3 +117,27 @@ def test_rows_without_an_id_link_the_others(spark, monkeypatch):
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
     key = lambda r: (r[1], r[0] is None, r[0] or 0, r[2] is None, r[2] or 0)
     assert sorted([tuple(r) for r in got], key=key) == sorted([(i, f"{f:016x}", least[c]) for (i, f), c in zip(rows, comp, strict=True)], key=key)
+
+
+def test_small_tables_have_files_by_their_rows(spark, monkeypatch):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from plumbline.llm import components as c
+
+    made = []
+    keep = lambda *a, **b: made.append(stored(*a, **b)) or made[-1]
+    stored = c.stored
+    monkeypatch.setattr(c, "stored", keep)
+    monkeypatch.setattr(c, "drop", lambda df: None)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.range(1, 60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        assert {r.node: r.component for r in components(edges).collect()} == {i: 1 for i in range(1, 61)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [len(list(Path(urlparse(df._plumbline_path).path).glob("part-*"))) for df in made[1:]]
+    assert len(files) > 4 and set(files) == {1}
