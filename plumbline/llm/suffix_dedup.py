@@ -37,11 +37,24 @@ from .gsaca import suffix_arrays
 WIDTH, GRAM = 100, 32
 PORTION = 2048  # contexts of an anchor that one portion is meant for
 SYMBOLS = 2_000_000  # bytes sorted side by side
+PIECE = 50_000  # bytes hashed at a time, so that the arrays on the way stay in a processor's cache
 LAST = (1 << 63) - 1  # stands for a null doc_id, after all others
 
 
 def anchors(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: text, hash, first and last start of the strings, for each anchor in order."""
+    """Of texts laid end to end: text, hash, first and last start of the strings, for each anchor in order. Texts are
+    looked at in pieces that fit a processor's cache (a longer text stands alone)."""
+    ends, begin, parts = np.append(0, np.cumsum(size)), 0, [_anchors(data[:0], size[:0])]
+    while begin < len(size):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + PIECE, side="right")) - 1)
+        text, *rest = _anchors(data[ends[begin] : ends[end]], size[begin:end])
+        parts.append((text + begin, *rest))
+        begin = end
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _anchors(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """anchors() of one piece."""
     n, windows = len(data), WIDTH - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < WIDTH:
@@ -77,7 +90,15 @@ def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _string_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the WIDTH bytes from each place on (WIDTH is 64 + 32 + 4)."""
+    """A hash of the WIDTH bytes from each place on, in pieces."""
+    out = np.empty(max(0, len(data) - WIDTH + 1), np.uint64)
+    for lo in range(0, len(out), PIECE):
+        out[lo : lo + PIECE] = _hashes(data[lo : lo + PIECE + WIDTH - 1])
+    return out
+
+
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """_string_hashes() of one piece (WIDTH is 64 + 32 + 4)."""
     h, m, of = data.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15, {}
     for half in (1, 2, 4, 8, 16, 32):
         h = h[:-half] * np.uint64(m) + h[half:]
@@ -271,7 +292,7 @@ def spans(docs: DataFrame) -> DataFrame:
     met = stored(table.mapInPandas(contexts, "kind int, h long, portion int, d long, t long, begin int, end int, context binary"), release=True)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in whole_groups(batches, ["h", "portion"], 40_000):
+        for b in whole_groups(batches, ["h", "portion"], 10_000):
             h, portion, d, t, begin, context = (b[c].to_numpy() for c in ("h", "portion", "d", "t", "begin", "context"))
             out, groups, owners = [], [], []
             cuts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (portion[1:] != portion[:-1]))).tolist() + [len(h)]

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,3 +75,22 @@ def test_odd_rows_and_frequent_anchors(spark, monkeypatch):
     assert s.removal_digests(docs.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "z" * 50 + "y" * 100), (5, "y" * 100)], "doc_id long, text string")
     assert digests(nulls)[None][1] == 100 and digests(nulls)[5][1] == 0
+
+
+def test_hashing_goes_by_pieces(monkeypatch):
+    rng = random.Random(3)
+    texts = [bytes(rng.choices(b"abcdefgh ", k=rng.choice([0, 50, 99, 100, 101, 400, 900]))) for _ in range(200)]
+    data, size = s._flat(texts)
+    want, hashes = s.anchors(data, size), s._string_hashes(data)
+    for piece in (1, 333, 10_000_000):
+        monkeypatch.setattr(s, "PIECE", piece)
+        assert all((a == b).all() for a, b in zip(s.anchors(data, size), want, strict=True))
+        assert (s._string_hashes(data[:1000]) == hashes[:901]).all()
+    assert [len(x) for x in s.anchors(*s._flat([]))] == [0] * 4 and len(s._string_hashes(data[:99])) == 0
+    monkeypatch.undo()
+    data, size = s._flat([rng.randbytes(2000) for _ in range(2000)])
+    for run in (lambda: s.anchors(data, size), lambda: s._string_hashes(data)):
+        tracemalloc.start()
+        run()
+        assert tracemalloc.get_traced_memory()[1] < 60_000_000  # 4 MB of texts; all at once takes several times that
+        tracemalloc.stop()
