@@ -122,3 +122,22 @@ def test_blocks_hold_a_term_once_and_shards_narrow_counts(spark):
         assert len(s.tf) == width * len(s.docs) // 2
     got = m.search(docs, docs.where("doc_id >= 38")).collect()
     same([(r.query_id, r.doc_id, r.score) for r in got], brute(rows, rows[38:]))
+
+
+def test_ranges_multiplied_or_looked_at_one_by_one_and_lists_in_any_portions(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, lists = 300, [np.sort(rng.choice(300, size, replace=False)) for size in (250, 200, 120, 60, 40, 20, 9, 5, 3, 2, 1) * 4]
+    tf, lens = [rng.integers(1, 5, len(x)).astype(float) for x in lists], rng.integers(1, 9, n)
+    shard = m.Shard(np.arange(len(lists)), np.cumsum([len(x) for x in lists]), np.concatenate(lists), np.concatenate(tf), lens, 4.0)
+    idfs, norm, dense = rng.random(len(lists)) + 0.1, m.K1 * (1 - m.B + m.B * lens / 4.0), np.zeros((40, n))
+    queries = [np.sort(rng.choice(len(lists), rng.integers(1, 30), replace=False)) for _ in dense]
+    for q, mine in enumerate(queries):
+        for t in mine:
+            dense[q, lists[t]] += idfs[t] * tf[t] * (m.K1 + 1) / (tf[t] + norm[lists[t]])
+    floor = np.partition(dense, -12, axis=1)[:, -12]
+    for name, value in (("AT_ONCE", 128), ("MANY", -1), ("MANY", 1), ("CACHED", 1), ("CACHED", 500), ("POSTINGS", 1), ("AT_ONCE", 3)):
+        monkeypatch.setattr(m, name, value)
+        found = list(shard.search(np.array([len(q) for q in queries]), np.concatenate(queries), idfs[np.concatenate(queries)], floor, 5))
+        query, doc, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        assert len(set(zip(query.tolist(), doc.tolist(), strict=True))) == len(query) and np.allclose(score, dense[query, doc], atol=1e-12)
+        assert all((dense[q] > floor[q]).sum() <= (query == q).sum() == ((dense[q] >= floor[q] * m.SLACK) & (dense[q] > 0)).sum() for q in range(40))
