@@ -8,8 +8,8 @@
    which each sum up the blocks' shares; a share is at most `least`, since more is not asked.
    Phrases whose counter stays under `least` are no candidates. Each part tells each block
    which of its counters passed, so nobody needs the whole table.
-3. The candidates of a block are compiled into an Aho-Corasick automaton (pyahocorasick). Its
-   patterns begin and end with a space and the block's words have one on both sides, so a match
+3. The candidates of a slice of a block are compiled into an Aho-Corasick automaton (pyahocorasick).
+   Its patterns begin and end with a space and the block's words have one on both sides, so a match
    never starts or ends within a word or crosses pieces. A scan counts all matches, overlapping
    ones too; counts are summed over the blocks, and what is under `least` goes now. What is
    left is exact: the sketch lets pass too much at times, never too little.
@@ -37,6 +37,7 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 SCALE = 1_000_000
 INSIDE = 50  # per cent of a phrase's occurrences in one longer candidate, from which it goes
 BLOCK_BYTES = 6_000_000
+SLICE_BYTES = 1_000_000  # of a block, whose words are held as objects at once
 PART = 1 << 22  # phrases of a part of the sketch, on average
 SALTS = 32
 
@@ -86,8 +87,18 @@ def blocks(docs: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(build, "block long, lang string, words long, data binary"))
 
 
+def _slices(data: bytes, size: int) -> Iterator[bytes]:
+    """A block's text in parts of about size bytes, cut between pieces (a piece stays whole)."""
+    begin = 0
+    while begin < len(data):
+        cut = data.find(b"\n", begin + size)
+        end = len(data) if cut < 0 else cut
+        yield data[begin:end]
+        begin = end + 1
+
+
 def _hashes(lang: str, data: bytes) -> tuple[list[bytes], np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """A block's different words, its words as numbers, and for 1 to LONGEST words the starts and hashes of its phrases."""
+    """A slice's different words, its words as numbers, and for 1 to LONGEST words the starts and hashes of its phrases."""
     pieces = data.split(b"\n")
     words = data.replace(b"\n", b"").replace(b"  ", b" ").split(b" ")[1:-1]
     codes, unique = pd.factorize(np.array(words, dtype=object))
@@ -108,6 +119,13 @@ def _hashes(lang: str, data: bytes) -> tuple[list[bytes], np.ndarray, list[np.nd
     return list(unique), codes, starts, hashes
 
 
+def _counters(lang: str, data: bytes, bits: int, size: int) -> np.ndarray:
+    """The sorted counters of a block's phrases, each as often as it occurs."""
+    counter = np.concatenate([h >> np.uint64(64 - bits) for text in _slices(data, size) for h in _hashes(lang, text)[3]])
+    counter.sort()
+    return counter
+
+
 def candidates(found: DataFrame, least: int = LEAST) -> DataFrame:
     """block, parts (array<struct<part, offsets>>): the counters of each block's phrases that reach least in the sketch."""
     words = found.agg(F.sum("words")).first()[0] or 0
@@ -117,9 +135,8 @@ def candidates(found: DataFrame, least: int = LEAST) -> DataFrame:
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, lang, data in zip(*(b.column(c).to_pylist() for c in ("block", "lang", "data")), strict=True):
-                _, _, _, hashes = _hashes(lang, zstandard.decompress(data))
-                counter = np.sort(np.concatenate(hashes) >> np.uint64(64 - bits))
+            for block, lang, data in zip(b.column("block").to_pylist(), b.column("lang").to_pylist(), b.column("data"), strict=True):
+                counter = _counters(lang, zstandard.decompress(data.as_buffer()), bits, SLICE_BYTES)
                 head = np.flatnonzero(np.append(True, counter[1:] != counter[:-1]))
                 share = np.minimum(np.diff(np.append(head, len(counter))), least).astype(np.uint8 if least < 256 else np.uint32)
                 counter = counter[head]
@@ -159,26 +176,33 @@ def counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     parts = candidates(found, least)
     bits, within = parts._plumbline_bits
 
+    def passing(lang: str, text: bytes, ok: np.ndarray) -> list[str]:
+        unique, codes, starts, hashes = _hashes(lang, text)
+        phrases = []
+        for size, (start, h) in enumerate(zip(starts, hashes, strict=True), 1):
+            counter = h >> np.uint64(64 - bits)
+            start = start[ok[np.minimum(np.searchsorted(ok, counter), len(ok) - 1)] == counter]
+            own = _distinct([codes[start + i] for i in range(size)])
+            phrases += [b" ".join([unique[c] for c in row]).decode() for row in zip(*(x.tolist() for x in own), strict=True)]
+        return phrases
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang, data, told in zip(*(b.column(c).to_pylist() for c in ("lang", "data", "parts")), strict=True):
-                data = zstandard.decompress(data)
-                ok = np.sort(np.concatenate([np.frombuffer(x["offsets"], np.uint32).astype(np.uint64) | np.uint64(x["part"] << within) for x in told]))
-                unique, codes, starts, hashes = _hashes(lang, data)
-                phrases: dict[bytes, int] = {}
-                for size, (start, h) in enumerate(zip(starts, hashes, strict=True), 1):
-                    counter = h >> np.uint64(64 - bits)
-                    start = start[ok[np.minimum(np.searchsorted(ok, counter), len(ok) - 1)] == counter]
-                    own = _distinct([codes[start + i] for i in range(size)])
-                    for row in zip(*(x.tolist() for x in own), strict=True):
-                        phrases[b" ".join([unique[c] for c in row])] = size
-                automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-                names = list(phrases)
-                for i, p in enumerate(names):
-                    automaton.add_word(f" {p.decode()} ", i)
-                automaton.make_automaton()
-                f = np.bincount(np.fromiter((i for _, i in automaton.iter(data.decode())), np.int64), minlength=len(names))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names)), pa.array(list(phrases.values()), pa.int32()), pa.array([p.decode() for p in names]), pa.array(f)], names=["lang", "size", "phrase", "f"])
+            for lang, data, told in zip(b.column("lang").to_pylist(), b.column("data"), b.column("parts"), strict=True):
+                ok = np.concatenate([np.frombuffer(x["offsets"].as_buffer(), np.uint32).astype(np.uint64) | np.uint64(x["part"].as_py() << within) for x in told])
+                ok.sort()
+                f: dict[str, int] = {}
+                for text in _slices(zstandard.decompress(data.as_buffer()), SLICE_BYTES):
+                    phrases = passing(lang, text, ok)
+                    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+                    for i, p in enumerate(phrases):
+                        automaton.add_word(f" {p} ", i)
+                    automaton.make_automaton()
+                    matches = np.bincount(np.fromiter((i for _, i in automaton.iter(text.decode())), np.int64), minlength=len(phrases))
+                    for p, x in zip(phrases, matches.tolist(), strict=True):
+                        f[p] = f.get(p, 0) + x
+                sizes = np.fromiter((p.count(" ") + 1 for p in f), np.int32, len(f))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f)), pa.array(sizes), pa.array(list(f), pa.string()), pa.array(list(f.values()), pa.int64())], names=["lang", "size", "phrase", "f"])
 
     scanned = found.select("block", "lang", "data").join(parts, "block").select("lang", "data", "parts").mapInArrow(scan, "lang string, size int, phrase string, f long")
     out = stored(scanned.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), release=True)

@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -73,6 +74,33 @@ def test_hashes_name_each_phrase_and_no_other():
     assert len({x for h in hashes for x in h.tolist()}) == sum(len(set(h.tolist())) for h in hashes)
 
 
+def test_a_block_is_hashed_in_slices_of_whole_pieces():
+    data = m.normalised("a b a b. a b c\nd. " + "x y z, " * 40)
+    for size in (1, 7, 50, 10_000):
+        slices = list(m._slices(data, size))
+        assert b"\n".join(slices) == data and (size >= len(data)) == (len(slices) == 1)
+        assert m._counters("en", data, 30, size).tolist() == m._counters("en", data, 30, 10_000).tolist()
+
+
+def test_memory_of_a_block_s_counters():
+    data = b"\n".join(b" %d of the %d " % (i % 9973, i) for i in range(200_000))
+
+    def peak(size):
+        tracemalloc.start()
+        m._counters("en", data, 30, size)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(len(data) // 8) < 0.5 * peak(len(data))
+
+
+def test_slices_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(m, "SLICE_BYTES", 30)
+    rows = [("the new york, a new york city. of the new york city x " * 3, lang) for lang in ("en", None, "en")]
+    assert run(spark, rows, 2) == brute(rows, 2)
+
+
 def test_matches_brute_force(spark, small_blocks):
     import random
 
