@@ -1,3 +1,4 @@
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -141,3 +142,25 @@ def test_ranges_multiplied_or_looked_at_one_by_one_and_lists_in_any_portions(mon
         query, doc, score = (np.concatenate(x) for x in zip(*found, strict=True))
         assert len(set(zip(query.tolist(), doc.tolist(), strict=True))) == len(query) and np.allclose(score, dense[query, doc], atol=1e-12)
         assert all((dense[q] > floor[q]).sum() <= (query == q).sum() == ((dense[q] >= floor[q] * m.SLACK) & (dense[q] > 0)).sum() for q in range(40))
+
+
+def test_a_shard_is_unpacked_once_for_several_blocks(spark, monkeypatch, tmp_path):
+    shard = m.Shard
+
+    def counted(*arrays):
+        (tmp_path / uuid.uuid4().hex).touch()
+        return shard(*arrays)
+
+    for name, value in (("Shard", counted), ("BLOCK_QUERIES", 1)):
+        monkeypatch.setattr(m, name, value)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "4m", "spark.sql.shuffle.partitions": "24"}
+    before = {name: spark.conf.get(name) for name in conf}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        docs = spark.createDataFrame([(i, f"word{i % 5} other{i % 3} term{i}") for i in range(24)], "doc_id long, text string").coalesce(1)
+        assert m.search(docs, docs, 3).count() == 72
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert 0 < len(list(tmp_path.iterdir())) <= 24 // m.TOGETHER
