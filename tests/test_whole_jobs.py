@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
-from plumbline.operators import lookup, resolution
+from plumbline.operators import lookup, resolution, retrieval, valuation
 
 
 def packed(parts, target, most):
@@ -52,3 +52,34 @@ def test_units_and_rooms_decide_before_the_layers(spark):
     assert got[1, 3] == "layer1"  # one flat, whatever its price
     assert (4, 5) not in got  # a floor alone decides nothing
     assert got[6, 7] == "layer2" and got[6, 8] == got[7, 8] == got[1, 6] == "layer1"
+
+
+def test_pairs_of_cases_follow_classes(spark):
+    """Cases of one area, surface and rooms share their comparables, which are looked for once and meet nothing else."""
+    rng = random.Random(5)
+    rows = [(f"{i}-x", rng.randrange(2), float(rng.randrange(1, 12)), rng.choice([None, 1, 2, 3]), i) for i in range(600)]
+    pool = spark.createDataFrame(rows, "ref_id string, area_id int, surface double, rooms int, n int")
+    cases = pool.where("n % 3 = 0").select(F.col("ref_id").alias("case_id"), "area_id", F.col("surface").alias("c_surface"), F.col("rooms").alias("c_rooms"))
+    df = retrieval.closest_by_surface(cases, pool, 4)
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.case_id, []).append((r.pos, r.ref_id))
+    want = {}
+    for c, area, s, rooms, i in rows:
+        if i % 3 == 0:
+            near = sorted((abs(x - s), ref) for ref, a, x, m, _ in rows if a == area and ref != c and s * (1 - 0.3) <= x <= s * (1 + 0.3) and (m is None or rooms is None or abs(m - rooms) <= 1))
+            want[c] = [(p, ref) for p, (_, ref) in enumerate(near[:4], 1)]
+    assert {c: sorted(x) for c, x in got.items()} == {c: x for c, x in want.items() if x}
+    # The window over a case's pairs is gone: what is ranked are the pairs of classes.
+    assert "PARTITION BY case_id" not in df._jdf.queryExecution().analyzed().toString() and "windowspecdefinition(case_id" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_values_of_few_rows_are_those_of_histograms(spark):
+    rng = random.Random(6)
+    rows = [(g, float(rng.randrange(900, 3000)) if rng.random() < 0.9 else None, rng.randrange(200), rng.random() < 0.5) for g in range(60) for _ in range(rng.randrange(1, 27))]
+    df = spark.createDataFrame(rows, "k int, price double, days int, manual boolean").withColumns({
+        "price": F.col("price") * 50, "surface": F.lit(50.0), "currency": F.lit("USD"), "parking": F.lit(0), "subject_surface": F.lit(50.0), "subject_parking": F.lit(0), "subject_step": F.lit(0), "subject_complete": F.lit(0.5),
+        "own": F.array(*[F.lit(1.0)] * 5), "subject_own": F.array(*[F.lit(1.0)] * 5),
+    })
+    few = {r.k: r for r in valuation.valued_few(valuation.adjusted(df), ["k"]).collect()}
+    assert few == {r.k: r for r in valuation.value(df, ["k"]).collect()} and len(few) == 60
