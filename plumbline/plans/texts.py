@@ -135,7 +135,7 @@ def cover_density_topk(spark, sf_dir):
     """The lexical mode: passages as queries, whole documents as chunks."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), "text")
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.lit(0).alias("chunk"), "text")
-    scores = rt.lexical_scores(queries, rt.postings(chunks))
+    scores = rt.lexical_scores(queries, rt.postings(chunks, rt.query_terms(queries)))
     return rt.top_k(scores.select("q", "d", F.round("score", 9).alias("score")), "q", [F.desc("score"), F.col("d")], 25)
 
 
